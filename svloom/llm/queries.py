@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from svloom.llm import chat, sharding, token_counts, token_files, tokenizing
-from svloom.llm.common import documents, shared_dir, table, whole_text
+from svloom.llm import chat, quality, sharding, simhash, token_counts, token_files, tokenizing
+from svloom.llm.common import P, documents, saved, shared_dir, table, whole_text
 
 SHARDS = 40
 
@@ -29,6 +29,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    rows = saved(quality.measured(docs, quality.build_model(docs)).drop("text", "lang"), "quality")
+    named = quality.judged(rows, quality.bands(rows).collect())
+    columns = [x.split()[0] for x in quality.MEASURES.split(", ")]
+    return named.select("doc_id", *[F.col(P + c).alias(c) for c in [*columns[:5], "base_failed", "kept", columns[5]]])
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encode_digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -52,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op7_bpe, op8_token_counts, op9_chat, op10_token_files)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op4_simhash, op7_bpe, op8_token_counts, op9_chat, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
