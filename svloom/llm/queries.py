@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from svloom.llm import chat, quality, sharding, simhash, token_counts, token_files, tokenizing
+from svloom.llm import chat, decontamination, line_dedup, quality, sharding, simhash, token_counts, token_files, tokenizing
 from svloom.llm.common import P, documents, saved, shared_dir, table, whole_text
 
 SHARDS = 40
@@ -37,11 +37,20 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", *[F.col(P + c).alias(c) for c in [*columns[:5], "base_failed", "kept", columns[5]]])
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", F.col(f"{P}lines").alias("n_lines"), F.col(f"{P}went").alias("n_removed"), F.md5("text").alias("kept_md5"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encode_digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -65,8 +74,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op4_simhash, op7_bpe, op8_token_counts, op9_chat, op10_token_files)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_decontamination, op4_simhash, op5_line_dedup, op7_bpe, op8_token_counts, op9_chat, op10_token_files)}
+
+
+#: Words per line, prefixes by document frequency, Jaccard of 0.8: the set-similarity join in SQL.
+LINE_DEDUP_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM split),
+t AS (SELECT DISTINCT doc_id, pos, w FROM (SELECT doc_id, pos, unnest(regexp_extract_all(line, '[^\x09-\x0D ]+')) AS w FROM l) u),
+df AS (SELECT w, count(*) AS d FROM t GROUP BY w),
+r AS (SELECT t.doc_id, t.pos, t.w, row_number() OVER (PARTITION BY t.doc_id, t.pos ORDER BY df.d, t.w) AS i, count(*) OVER (PARTITION BY t.doc_id, t.pos) AS n FROM t JOIN df ON t.w = df.w),
+p AS (SELECT * FROM r WHERE i <= n - ((80 * n + 99) // 100) + 1),
+c AS (SELECT DISTINCT a.doc_id AS da, a.pos AS pa, a.n AS na, b.doc_id AS db, b.pos AS pb, b.n AS nb FROM p a JOIN p b ON a.w = b.w
+      WHERE (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.pos < a.pos)) AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+s AS (SELECT c.da, c.pa, c.na, c.nb, c.db, c.pb, count(*) AS shared FROM c JOIN t x ON x.doc_id = c.da AND x.pos = c.pa JOIN t y ON y.doc_id = c.db AND y.pos = c.pb AND y.w = x.w GROUP BY ALL),
+gone AS (SELECT DISTINCT da AS doc_id, pa AS pos FROM s WHERE 100 * shared >= 80 * (na + nb - shared)),
+k AS (SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS went FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE went) AS n_removed, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT went), '')) AS kept_md5
+FROM k GROUP BY doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": LINE_DEDUP_SQL}
