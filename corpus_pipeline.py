@@ -1,12 +1,57 @@
-"""A corpus pipeline of the training-data operators: documents in, encoded documents out."""
+"""A corpus pipeline of the training-data operators: documents in, encoded documents out.
+
+Each stage works on all that its predecessor kept and returns the columns of documents; the
+last returns the digests of each document's ids and decoded text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from svloom.llm import decontamination, line_dedup, quality, simhash, tokenizing
+from svloom.llm.common import P, documents, saved, table
+from svloom.llm.queries import tokenizer
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie in their language's perplexity band."""
+    rows = quality.measured(docs, quality.build_model(docs))
+    return quality.judged(rows, quality.bands(rows).collect()).where(f"{P}kept").select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later similar lines; those of which nothing is left go."""
+    rows = line_dedup.dedup(docs)
+    left = (F.col(f"{P}went") == 0) | F.col("text").rlike(r"[^\x09-\x0D ]")
+    kept = rows.where(left).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a test item."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
+    return tokenizing.encode_digests(docs, tokenizer("byte_bpe_50k.json"))
+
 
-from svloom.llm.common import documents, saved
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", without_repeated_lines),
+    ("SimHash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("BPE encoding and decoding", encoded),
+]
 
-STAGES: list = []
+#: Perplexity, fingerprints and tokenizers aren't expressible; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
@@ -16,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = saved(docs, f"pipeline-{name.replace(' ', '-')}")
+            docs = saved(docs, f"pipeline-{name.replace(' ', '-').lower()}")
     return docs
