@@ -3,8 +3,7 @@
 TreeEncoder encodes as the library does, byte-level BPE: a text with a very long unsplit
 piece (one pre-token, as a run of letters without white space) has that piece encoded by
 tree concatenation; everything else goes to the library whole. ChunkEncoder encodes with
-tokenizers that drop white space, chunk by chunk between white space, each distinct chunk
-once.
+tokenizers that drop white space, each distinct pre-token or chunk between white space once.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ LONG_PIECE = 4096
 LEAF = 2048
 #: Tokens on either side of a join that are encoded again at first.
 WINDOW = 8
-#: Chunks that an encoder remembers at most; then it begins anew.
-REMEMBERED = 400_000
+#: Pre-tokens that an encoder remembers at most; then it begins anew.
+REMEMBERED = 1_200_000
 #: Characters handed to the library at once.
 BATCH_CHARS = 1 << 21
 
@@ -135,14 +134,34 @@ class TreeEncoder:
             return data.decode("utf-8", "replace").encode()
 
 
+class _Pieces(dict):
+    """Ids of pre-tokens, as bytes; a missing one is encoded by the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+        self.alphabet = {b: c for c, b in _byte_of_char().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        level = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        self[piece] = ids = np.array([t.id for t in self.tokenize(level)], dtype="<u2").tobytes()
+        return ids
+
+
 class ChunkEncoder:
-    """For tokenizers whose normaliser and splitter never look across white space and drop it.
+    """For tokenizers that lower-case, drop white space and cut words as word_bpe_49k.json does.
 
-    Texts with a control character that Python counts as white space and the library doesn't
-    are encoded whole.
+    Latin-1 texts are cut into pre-tokens here (in that range the rules need no tables) and each
+    distinct one goes through the library's model once. Other texts go to the library by chunks
+    between white space, each distinct chunk once; texts with special tokens or with a control character that
+    Python counts as white space and the library doesn't go to it whole.
     """
 
-    _odd = re.compile("[\x1c-\x1f]")
+    _odd = re.compile("[\x1c-\x1f\x85]")
+    _letters, _digits = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+    _cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_digits}]|[^\\s{_letters}{_digits}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -151,26 +170,39 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.pieces = _Pieces(self.tok.model)
+        self.chunks: dict[str, bytes] = {}
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u2").tobytes() for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def _by_chunks(self, texts: Sequence[str]) -> list[bytes]:
+        chunks = [t.split() for t in texts]
+        if len(self.chunks) > REMEMBERED // 4:
+            self.chunks.clear()
+        missed = list(set().union(*chunks).difference(self.chunks))
+        self.chunks.update(zip(missed, self._library(missed), strict=True))
+        return [b"".join(map(self.chunks.__getitem__, c)) for c in chunks]
+
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
-        chunks = [t.split() for t in texts]
-        missed = list(set().union(*chunks).difference(self.memo))
-        if len(self.memo) + len(missed) > REMEMBERED:
-            self.memo.clear()
-            missed = list(set().union(*chunks))
-        for i in range(0, len(missed), 20_000):
-            part = missed[i : i + 20_000]
-            self.memo.update(zip(part, self._library(part), strict=True))
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
+        out: list[bytes] = [b""] * len(texts)
+        whole, wide = [], []
+        cut, pieces = self._cut.findall, self.pieces
         for i, t in enumerate(texts):
-            if self._odd.search(t):
-                out[i] = self._library([t])[0]
+            if self._odd.search(t) or any(x in t for x in self.special):
+                whole.append(i)
+                continue
+            try:
+                t.encode("latin-1")
+            except UnicodeEncodeError:
+                wide.append(i)
+                continue
+            out[i] = b"".join([pieces[p] for p in cut(t.lower())])
+        for at, ids in ((whole, self._library([texts[i] for i in whole])), (wide, self._by_chunks([texts[i] for i in wide]))):
+            for i, x in zip(at, ids, strict=True):
+                out[i] = x
         return out
 
 
