@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from svloom.llm import chat, decontamination, line_dedup, quality, sharding, simhash, token_counts, token_files, tokenizing
+from svloom.llm import chat, decontamination, line_dedup, quality, sharding, simhash, substring_dedup, token_counts, token_files, tokenizing
 from svloom.llm.common import P, documents, saved, shared_dir, table, whole_text
 
 SHARDS = 40
@@ -51,6 +51,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col(f"{P}lines").alias("n_lines"), F.col(f"{P}went").alias("n_removed"), F.md5("text").alias("kept_md5"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(documents(spark, sf_dir))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encode_digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -74,7 +78,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_decontamination, op4_simhash, op5_line_dedup, op7_bpe, op8_token_counts, op9_chat, op10_token_files)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_decontamination, op4_simhash, op5_line_dedup, op6_substring_dedup, op7_bpe, op8_token_counts, op9_chat, op10_token_files)}
 
 
 #: Words per line, prefixes by document frequency, Jaccard of 0.8: the set-similarity join in SQL.
