@@ -43,11 +43,23 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark drops a query's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage is cut."""
+    """df, written to the shared folder and read again: its lineage is cut.
+
+    What it was shuffled through is of no more use then, so those files go at once.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,3 +75,9 @@ def key_bounds(df: DataFrame, key: str, parts: int) -> np.ndarray:
 
 def part_count(spark: SparkSession, least: int = 32, most: int = 4096) -> int:
     return min(most, max(least, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The values of an integer array, sorted, each once. (np.unique hashes first, which is slower here.)"""
+    y = np.sort(x)
+    return y[np.concatenate([[True], y[1:] != y[:-1]])] if len(y) else y

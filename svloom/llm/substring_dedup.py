@@ -168,10 +168,11 @@ def shared_strings(row: np.ndarray, start: np.ndarray, n: np.ndarray, contexts:
     owner = np.repeat(np.arange(len(n)), n)
     offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     wanted = gap[owner] + offset
+    owner_at = np.repeat(np.arange(len(base), dtype=np.int32), size + 1)
     found_row, found_start = [], []
     held: np.ndarray | None = None
     for at in sorted_suffixes(symbols, wanted):
-        own = np.searchsorted(gap, at, side="right") - 1
+        own = owner_at[at].astype(np.int64)
         plain = at - own  # in data
         if held is not None:
             plain, own, at = np.concatenate([held[0], plain]), np.concatenate([held[1], own]), np.concatenate([held[2], at])

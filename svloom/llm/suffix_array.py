@@ -98,6 +98,9 @@ class _Level:
         self.samples = np.flatnonzero(grows & np.concatenate([[False], ~grows[:-1]]))
         if not len(self.samples) or self.samples[-1] != n - 1:
             self.samples = np.append(self.samples, n - 1)
+        is_sample = np.zeros(n, bool)
+        is_sample[self.samples] = True
+        self.ahead = np.minimum(np.cumsum(is_sample, dtype=np.int32), np.int32(len(self.samples) - 1))
         self.bits = int(t.max()).bit_length() + 1
         self.per = max(1, 63 // self.bits)
         code = t << 1 | grows
@@ -105,7 +108,7 @@ class _Level:
 
     def next_sample(self, at: np.ndarray) -> np.ndarray:
         """Index of the first sample behind each position; the end is its own."""
-        return np.minimum(np.searchsorted(self.samples, at, side="right"), len(self.samples) - 1)
+        return self.ahead[at]
 
     def word(self, at: np.ndarray, to: np.ndarray, skip: int) -> np.ndarray:
         """The next packed symbols up to and with the sample at `to`; zeros behind it."""
@@ -163,7 +166,7 @@ class _Level:
         names, last = np.zeros(m, np.int64), 0
         for at, head in self.order(self.samples[:-1], None):
             name = last + np.cumsum(head)
-            names[np.searchsorted(self.samples, at)] = name
+            names[self.ahead[at] - 1] = name
             last = int(name[-1])
         if last == m - 1:
             return names  # the end has 0
