@@ -75,9 +75,3 @@ def key_bounds(df: DataFrame, key: str, parts: int) -> np.ndarray:
 
 def part_count(spark: SparkSession, least: int = 32, most: int = 4096) -> int:
     return min(most, max(least, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def distinct(x: np.ndarray) -> np.ndarray:
-    """The values of an integer array, sorted, each once. (np.unique hashes first, which is slower here.)"""
-    y = np.sort(x)
-    return y[np.concatenate([[True], y[1:] != y[:-1]])] if len(y) else y

@@ -40,7 +40,7 @@ WINDOW_WORDS = 8
 LOWER, UPPER = 8.0, 20.0
 LEAST_SPREAD = 0.02
 #: A block is ended by the batch that takes it over so many characters.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 8 << 20
 BEGIN, END = 2, 3
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW_WORDS)], dtype=np.uint64)
 
@@ -101,16 +101,16 @@ class Block:
         lens = np.fromiter(map(len, words), np.int64, len(words)) + 1  # with the end
         pad = ORDER - 1
         at = np.cumsum(lens + pad) - lens  # of each word's first character
-        cp = np.frombuffer("".join(chr(BEGIN) * pad + w + chr(END) for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        cp = np.frombuffer("".join(chr(BEGIN) * pad + w + chr(END) for w in words).encode("utf-32-le"), dtype=np.uint32)
         spots = np.repeat(at - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(int(lens.sum()))
         own = np.ones(len(spots), bool)
         own[np.cumsum(lens) - 1] = False
         real = spots[own]
+        cp = np.where(cp < 2048, cp, 2048 + cp % 2048).astype(np.uint16)
         cp[real[cp[real] < 32]] = 1
-        cp = np.where(cp < 2048, cp, 2048 + cp % 2048)
         code = np.zeros(len(spots), np.uint64)
         for k in range(ORDER):
-            code |= cp[spots - k] << np.uint64(CHAR_BITS * k)
+            code |= cp[spots - k].astype(np.uint64) << np.uint64(CHAR_BITS * k)
         return code.view(np.int64), np.concatenate([[0], np.cumsum(lens)])
 
     def by_lang(self) -> Iterator[tuple[str, list[int]]]:
