@@ -411,7 +411,7 @@ class Parser:
         if self.eat("::"):
             package, t = t.text, self.take()
         self.use(t, "type_then_value", package)
-        return {"name": t.text, "package": package, "user": True, "signed": False, "dims": self.dims()}
+        return {"name": t.text, "package": package, "user": True, "start": t.start, "signed": False, "dims": self.dims()}
 
     def enum(self) -> dict:
         start = self.take()

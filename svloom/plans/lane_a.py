@@ -15,6 +15,7 @@ from svloom.functions import preprocess as pp
 from svloom.operators import elab, policies, rules
 from svloom.operators import relops as ro
 from svloom.operators.resolve import Unit
+from svloom.operators.types import Types
 from svloom.plans.lane_b import query, read
 
 NATIONS, REGIONS, TOP = 1_000_000, 2_000_000, 3_000_000
@@ -124,3 +125,51 @@ def sv_elaborate(spark, d):
     tree = elab.elaborate(unit(spark, d)[2], "design_top")
     value = lambda n: F.get_json_object("params", f"$.{n}").cast("long")
     return tree.select("kind", "path", "module", "depth", value("P").alias("p"), value("Q").alias("q"))
+
+
+# Types: each nation becomes a package of types and a module that uses them.
+
+_W = "(n_nationkey % 7 + 1)"
+TYPED_TEXT = f"""'package tp_' || n_nationkey || ';' || chr(10) || 'parameter W = ' || {_W} || ';' || chr(10) || 'typedef logic [W-1:0] word_t;' || chr(10) || 'typedef struct packed {{ word_t a; logic signed [3:0] b; }} rec_t;' || chr(10)
+|| 'typedef union packed {{ word_t a; byte b; }} un_t;' || chr(10) || 'typedef enum logic [7:0] {{ E0, E1 = W, E2[2], E5 }} en_t;' || chr(10) || 'endpackage' || chr(10)
+|| 'module tm_' || n_nationkey || '; import tp_' || n_nationkey || '::*; word_t x; rec_t r; un_t u; en_t e; logic [$bits(r)-1:0] m [0:W]; int i;' || chr(10)
+|| 'localparam B = $bits(m) + $size(m) + $left(x);' || chr(10) || 'assign x = r;' || chr(10) || 'assign i = x;' || chr(10) || 'assign x = x + 1;' || chr(10) || 'assign x = {{x, 1''b0}};' || chr(10) || 'assign x = r.a;' || chr(10) || 'endmodule' || chr(10)"""
+
+
+def typed(spark: SparkSession, d: str) -> Types:
+    sources = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("file_id"), F.concat(F.lit("tp_"), "n_nationkey", F.lit(".sv")).alias("path"), F.expr(TYPED_TEXT).alias("text"), F.array().cast("array<struct<kind:string,spelling:string,file_id:int,text:string>>").alias("includes"))
+    return Types(Unit(ro.written(parser.facts(pp.expanded(sources)), "facts")))
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation)
+SELECT file_id, v.name, CASE v.name WHEN 'x' THEN w WHEN 'r' THEN w + 4 WHEN 'u' THEN greatest(w, 8) WHEN 'e' THEN 8 WHEN 'm' THEN (w + 4) * (w + 1) ELSE 32 END AS width, v.name = 'i' AS signed, v.name <> 'i' AS four_state
+FROM n JOIN (VALUES ('x'), ('r'), ('u'), ('e'), ('m'), ('i')) v(name) ON true""")
+def sv_symbol_types(spark, d):
+    return typed(spark, d).symbols().where("kind = 'variable'").select("file_id", "name", "width", "signed", "four_state")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation) SELECT file_id, 'W' AS name, w AS value FROM n UNION ALL SELECT file_id, 'B', (w + 4) * (w + 1) + w + 1 + w - 1 FROM n""")
+def sv_parameter_values(spark, d):
+    return typed(spark, d).symbols().where("kind in ('parameter', 'localparam')").select("file_id", "name", "value")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation)
+SELECT file_id, v.i AS ordinal, v.name, CASE WHEN v.i = 0 THEN 0 ELSE w + v.i - 1 END AS value, v.i IN (2, 3) AS generated FROM n JOIN (VALUES (0, 'E0'), (1, 'E1'), (2, 'E20'), (3, 'E21'), (4, 'E5')) v(i, name) ON true""")
+def sv_enum_members(spark, d):
+    return typed(spark, d).enum_members().select("file_id", "ordinal", "name", "value", "generated")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation) SELECT file_id, v.kind, v.i AS ordinal, v.name, CASE WHEN v.name = 'a' THEN w WHEN v.kind = 'struct' THEN 4 ELSE 8 END AS width
+FROM n JOIN (VALUES ('struct', 0, 'a'), ('struct', 1, 'b'), ('union', 0, 'a'), ('union', 1, 'b')) v(kind, i, name) ON true""")
+def sv_record_fields(spark, d):
+    return typed(spark, d).record_fields().select("file_id", "kind", "ordinal", "name", "width")
+
+
+@query("SELECT n_nationkey AS file_id, 'b' AS name, 'packed_union_width' AS code FROM nation")
+def sv_packed_unions(spark, d):
+    return typed(spark, d).packed_union_findings().select("file_id", "name", "code")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation) SELECT file_id, w AS lhs_width, w + 4 AS rhs_width FROM n UNION ALL SELECT file_id, w, w + 1 FROM n""")
+def sv_truncations(spark, d):
+    return typed(spark, d).truncations().select("file_id", "lhs_width", "rhs_width")
