@@ -873,7 +873,12 @@ class Parser:
                 self.i += 1
                 e = ["field", e, self.take().text]
             elif self.at("(") and e[0] in ("name", "field"):
+                t = self.now
                 e = ["call", e, self.arguments()]
+                if e[1][0] == "field":
+                    self.site("method", t, json.dumps([e, bool(self.at("with"))]))
+                    if self.eat("with"):
+                        self.parens()
             elif self.at("'") and self.peek().text == "(":
                 self.i += 2
                 e = ["cast", e, self.expr()]
@@ -904,6 +909,7 @@ class Parser:
                     self.skip_to(")")
                 else:
                     args = self.arguments()
+            self.site("system", t, json.dumps([t.text, len(args)]))
             return ["sys", t.text, args]
         if t.kind in ("ident", "escaped"):
             self.i += 1

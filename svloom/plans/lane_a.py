@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from svloom.functions import lexer, parser
 from svloom.functions import preprocess as pp
-from svloom.operators import elab, policies, rules
+from svloom.operators import connect, cursor, elab, members, policies, rules
 from svloom.operators import relops as ro
 from svloom.operators.resolve import Unit
 from svloom.operators.types import Types
 from svloom.plans.lane_b import query, read
+from svloom.streaming import changes
 
 NATIONS, REGIONS, TOP = 1_000_000, 2_000_000, 3_000_000
 
@@ -173,3 +174,45 @@ def sv_packed_unions(spark, d):
 @query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation) SELECT file_id, w AS lhs_width, w + 4 AS rhs_width FROM n UNION ALL SELECT file_id, w, w + 1 FROM n""")
 def sv_truncations(spark, d):
     return typed(spark, d).truncations().select("file_id", "lhs_width", "rhs_width")
+
+
+# Connections, places and calls
+
+
+@query(f"""SELECT s_suppkey AS file_id, 'u' AS instance, 'a' AS port, 'matched' AS status FROM supplier UNION ALL SELECT {TOP}, 's_' || s_suppkey, 'a', 'matched' FROM supplier""")
+def sv_connections(spark, d):
+    return connect.connections(unit(spark, d)[2]).select("file_id", "instance", "port", "status")
+
+
+PORTS_TEXT = "'module leaf(input a, input b); endmodule module p' || p_partkey || '; leaf u(' || (CASE p_partkey % 6 WHEN 0 THEN '1, 2' WHEN 1 THEN '1, 2, 3' WHEN 2 THEN '.a(1)' WHEN 3 THEN '.a(1), .z(2), .b(3)' WHEN 4 THEN '.a(1), .a(2), .b(1)' ELSE '.*' END) || '); endmodule'"
+
+
+@query("""SELECT p_partkey AS file_id, v.code, v.severity, v.name FROM part JOIN (VALUES (1, 'too_many_ports', 'error', 'u'), (2, 'missing_port', 'warning', 'b'), (3, 'unknown_port', 'error', 'z'), (4, 'duplicate_port', 'error', 'a')) v(k, code, severity, name) ON v.k = p_partkey % 6""")
+def sv_port_findings(spark, d):
+    sources = read(spark, d, "part").select(F.col("p_partkey").cast("int").alias("file_id"), F.expr(PORTS_TEXT).alias("text"))
+    return connect.findings(Unit(ro.written(parser.facts(sources), "facts"))).select("file_id", "code", "severity", "name")
+
+
+@query(f"""SELECT n_nationkey + {NATIONS} AS file_id, 'K' AS name, 'lexical' AS step, 'parameter' AS kind, strpos({NATION_TEXT}, 'K =') - 1 AS declared_at FROM nation""")
+def sv_resolve_at(spark, d):
+    u = unit(spark, d)[2]
+    text = read(spark, d, "nation").select((F.col("n_nationkey") + NATIONS).cast("int").alias("file_id"), F.expr(f"instr({NATION_TEXT}, '+ K;') + 1").alias("at"))
+    return cursor.resolve_at(u, text).select("file_id", "name", "step", "kind", F.col("declared_at").cast("long").alias("declared_at"))
+
+
+CALLS_TEXT = "'module c' || s_suppkey || '; int q[$]; string s; int m[string]; initial begin ' || (CASE s_suppkey % 7 WHEN 0 THEN 'q.push_back(1);' WHEN 1 THEN 'q.push_back();' WHEN 2 THEN 'q.find();' WHEN 3 THEN 's.nope();' WHEN 4 THEN 'm.push_back(1);' WHEN 5 THEN '$pow(1);' ELSE '$nope(1); $clog2(2);' END) || ' end endmodule'"
+
+
+@query("""SELECT s_suppkey AS file_id, v.name, v.code FROM supplier JOIN (VALUES (1, 'push_back', 'method_arity'), (2, 'find', 'with_needed'), (3, 'nope', 'no_such_method'), (4, 'push_back', 'no_such_method'), (5, '$pow', 'system_call_arity'), (6, '$nope', 'system_call_unsupported')) v(k, name, code) ON v.k = s_suppkey % 7""")
+def sv_call_findings(spark, d):
+    sources = read(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("file_id"), F.expr(CALLS_TEXT).alias("text"))
+    u = Unit(ro.written(parser.facts(sources), "facts"))
+    return members.method_findings(Types(u)).unionByName(members.system_findings(u)).select("file_id", "name", "code")
+
+
+@query("SELECT n_nationkey AS file_id, CASE n_nationkey % 3 WHEN 0 THEN 'layout' ELSE 'names' END AS what FROM nation WHERE n_nationkey % 3 < 2")
+def sv_changes(spark, d):
+    """Every third file gets other white space, every third another name."""
+    nation = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("file_id"), F.concat(F.lit("n"), "n_nationkey").alias("path"), F.expr(TYPED_TEXT).alias("text"), F.array().cast("array<struct<kind:string,spelling:string,file_id:int,text:string>>").alias("includes"))
+    edited = F.when(F.col("file_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("  "))).when(F.col("file_id") % 3 == 1, F.replace("text", F.lit("word_t"), F.lit("term_t"))).otherwise(F.col("text"))
+    return changes.changed(changes.fingerprints(nation), changes.fingerprints(nation.withColumn("text", edited)))

@@ -17,17 +17,24 @@ def from_texts(spark: SparkSession, files: Sequence[tuple[str, str]]) -> DataFra
     return spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], SOURCES)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (path and more, each path once) with file_id from 0, a function of the set of paths.
+
+    Paths are counted by 1,024 buckets of their hash, so no task sees them all.
+    """
+    groups = rows.select("path").distinct().groupBy(F.xxhash64("path").bitwiseAND(F.lit(0x3FF)).alias("b")).agg(F.array_sort(F.collect_set("path")).alias("p"))
+    begins, at = {}, 0
+    for r in sorted(groups.select("b", F.size("p").alias("n")).collect()):
+        begins[r["b"]], at = at, at + r["n"]
+    begin = F.create_map(*[F.lit(x) for kv in begins.items() for x in kv]) if begins else F.create_map(F.lit(0).cast("long"), F.lit(0))
+    ids = groups.select("b", F.posexplode("p").alias("i", "path")).select("path", (F.col("i") + begin[F.col("b")]).cast("int").alias("file_id"))
+    return rows.join(ids, "path")
+
+
 def read(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Sources of whole text files; ids follow the order of paths and need one row for each file only."""
+    """Sources of whole text files."""
     rows = spark.read.option("wholetext", True).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    ids = rows.select("path").groupBy(F.xxhash64("path").bitwiseAND(F.lit(0x3FF)).alias("b")).agg(F.array_sort(F.collect_set("path")).alias("p"))
-    begins = {r["b"]: r["n"] for r in ids.select("b", F.size("p").alias("n")).collect()}
-    at, start = 0, {}
-    for b in sorted(begins):
-        start[b], at = at, at + begins[b]
-    offset = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    numbered = ids.select("b", F.posexplode("p").alias("i", "path")).select("path", (F.col("i") + offset[F.col("b")]).cast("int").alias("file_id"))
-    return rows.join(numbered, "path").select("file_id", "path", "text")
+    return numbered(rows).select("file_id", "path", "text")
 
 
 def include_requests(sources: DataFrame) -> DataFrame:
