@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 P = "__llm_"
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a saved DataFrame that is of no more use."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +51,19 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once: texts may be long, and a batch is held several times over.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; the session hands texts to Python in small batches unless it was told of another size."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS) == "10000":
+        conf.set(_ROWS, str(BATCH_ROWS))
+    return df
+
+
 #: Whether Spark drops a query's shuffle files when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

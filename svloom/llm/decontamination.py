@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import P
+from svloom.llm.common import bounded_batches
 
 SEED, RUN = 3, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -167,6 +167,7 @@ def parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def prepared(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
     """All parts with seeds chosen by their frequency in the documents."""
     out = []
+    bounded_batches(docs)
     for rows in parts(benchmark):
         items = Items(rows)
 
@@ -205,15 +206,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a passage of a test item; all columns stay."""
+    """docs without the rows that hold a passage of a test item; all columns stay; text must be a string."""
     for items in prepared(docs, benchmark):
 
         def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             memo: dict = {}
             for b in batches:
-                texts = b.column(b.schema.get_field_index(P + "text")).to_pylist()
+                texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 yield b.filter(pa.array([not items.matches(t or "", memo) for t in texts], pa.bool_()))
 
-        rows = docs.withColumn(P + "text", F.col("text").cast("string"))
-        docs = rows.mapInArrow(clean, rows.schema).drop(P + "text")
+        docs = docs.mapInArrow(clean, docs.schema)
     return docs

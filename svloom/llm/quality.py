@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import P, shared_dir
+from svloom.llm.common import P, bounded_batches, shared_dir
 
 ORDER = 5
 CHAR_BITS = 12
@@ -190,7 +190,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, code (n-gram of the highest order) and n, over whole texts of all documents."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = bounded_batches(docs).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -249,7 +249,7 @@ def _measured(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Reco
 
     block, held, base = Block(), [], []
     for b in batches:
-        texts, langs, begin = b.column(b.schema.get_field_index(P + "text")).to_pylist(), b.column(b.schema.get_field_index(P + "lang")).to_pylist(), 0
+        texts, langs, begin = b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index(P + "lang")).to_pylist(), 0
         for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
             text = text or ""
             ids = block.add(text, "" if lang is None else "=" + lang)
@@ -266,11 +266,11 @@ def _measured(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Reco
 
 
 def measured(docs: DataFrame, model: str) -> DataFrame:
-    """docs with the measures in columns of an internal prefix, row by row and without a shuffle."""
-    rows = docs.select("*", F.col("text").cast("string").alias(P + "text"), F.col("lang").cast("string").alias(P + "lang"))
+    """docs with the measures in columns of an internal prefix, row by row and without a shuffle; text must be a string."""
+    rows = bounded_batches(docs).select("*", F.col("lang").cast("string").alias(P + "lang"))
     names = ", ".join(P + x for x in MEASURES.split(", "))
     kind = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(lambda it: _measured(it, model), f"{kind}, {names}").drop(P + "text")
+    return rows.mapInArrow(lambda it: _measured(it, model), f"{kind}, {names}")
 
 
 def base_failed(prefix: str = P) -> Column:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import P, saved, whole_text
+from svloom.llm.common import P, bounded_batches, saved, whole_text
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             made = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made)], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(work, "doc_id long, fingerprint long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(work, "doc_id long, fingerprint long")
 
 
 def _merge(x: np.ndarray, root: np.ndarray, at: np.ndarray) -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import P, saved, whole_text
+from svloom.llm.common import bounded_batches, saved, whole_text
 from svloom.llm.sharding import numbered
 from svloom.llm.suffix_array import equal_prefix, sorted_suffixes
 
@@ -273,7 +273,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """row, doc_id and text; row orders the documents."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     clash = plain.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if clash.isEmpty():
         return plain.select(F.col("doc_id").alias("row"), "doc_id", "text")

@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import P, whole_text
+from svloom.llm.common import bounded_batches, whole_text
 from svloom.llm.tokenizing import by_chars, chunk_encoder
 
 CACHE = "content binary, tokenizer string, n_tokens long"
@@ -80,7 +80,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str) -> DataFrame:
     results; other columns are left out. The cache gets one row for each content that it
     lacked; a count that is appended twice (by two runs at once) is the same and read once.
     """
-    text = docs.select("doc_id", whole_text().alias("text"))
+    text = bounded_batches(docs).select("doc_id", whole_text().alias("text"))
     version = tokenizer_version(path)
     known = cached(docs, cache).where(F.col("tokenizer") == version).select("content")
     distinct = text.select("text").mapInArrow(_packed, "content binary, packed binary").dropDuplicates(["content"])

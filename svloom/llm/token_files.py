@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import P, key_bounds, part_count, shared_dir, whole_text
+from svloom.llm.common import bounded_batches, key_bounds, part_count, whole_text
 from svloom.llm.tokenizing import by_chars, chunk_encoder
 
 MAGIC = b"RANKVB1\n"
@@ -130,7 +130,7 @@ def write_ids(docs: DataFrame, path: str, end: int, root: str, file_ids: int = F
     where.create_dir(folder, recursive=True)
     n = part_count(spark)
     bounds = key_bounds(docs, "doc_id", n)
-    rows = docs.select("doc_id", whole_text().alias("text")).mapInArrow(lambda it: _encoded(it, path, end, bounds), "doc_id long, part int, ids binary")
+    rows = bounded_batches(docs).select("doc_id", whole_text().alias("text")).mapInArrow(lambda it: _encoded(it, path, end, bounds), "doc_id long, part int, ids binary")
     ordered = rows.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     files = ordered.mapInArrow(lambda it: _written(it, root, file_ids), "file string, n_docs long, n_ids long")
     return sorted(tuple(r) for r in files.collect())

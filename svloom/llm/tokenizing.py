@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import whole_text
+from svloom.llm.common import bounded_batches, whole_text
 
 #: A piece of more characters than this is encoded as a tree.
 LONG_PIECE = 4096
@@ -234,7 +234,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     A null text is an empty one; an empty one has no ids; texts of any length are encoded
     whole; repeated rows give repeated results; other columns are left out.
     """
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(lambda it: _encode_decode(it, path), "doc_id long, ids array<int>, decoded binary")
+    return bounded_batches(docs).select("doc_id", whole_text().alias("text")).mapInArrow(lambda it: _encode_decode(it, path), "doc_id long, ids array<int>, decoded binary")
 
 
 def _encode_decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -248,7 +248,7 @@ def _encode_decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, of encode_decode's ids and decoded text."""
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(lambda it: _encode_digests(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select("doc_id", whole_text().alias("text")).mapInArrow(lambda it: _encode_digests(it, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encode_digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
