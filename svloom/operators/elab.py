@@ -178,9 +178,11 @@ def elaborate(unit: Unit, top: str, most: int = MOST_DEPTH) -> DataFrame:
     params = unit.params.groupBy("file_id", "def_ordinal").agg(F.collect_list(rows).alias("params"))
     values = package_values(unit).where("err is null")
     surface = unit.imports.join(values, "package").where("member is null or member = name").groupBy("file_id").agg(F.collect_set(F.struct("name", "value")).alias("imported"))
-    every = values.select(F.concat_ws("::", "package", "name").alias("name"), "value").agg(F.collect_list(F.struct("name", "value")).alias("qualified"))
-    packages = F.concat(F.coalesce("imported", F.array().cast("array<struct<name:string,value:bigint>>")), "qualified")
-    modules = defs.join(bodies, ["file_id", "def_ordinal"]).join(params, ["file_id", "def_ordinal"], "left").join(surface, "file_id", "left").withColumn("qualified", every.scalar()).withColumn("packages", packages)
+    named = unit.uses.where("qualifier is not null").select("file_id", F.col("qualifier").alias("package"), "name").distinct().join(values, ["package", "name"])
+    qualified = named.groupBy("file_id").agg(F.collect_set(F.struct(F.concat_ws("::", "package", "name").alias("name"), "value")).alias("qualified"))
+    none = F.array().cast("array<struct<name:string,value:bigint>>")
+    packages = F.concat(F.coalesce("imported", none), F.coalesce("qualified", none))
+    modules = defs.join(bodies, ["file_id", "def_ordinal"]).join(params, ["file_id", "def_ordinal"], "left").join(surface, "file_id", "left").join(qualified, "file_id", "left").withColumn("packages", packages)
     modules = ro.written(modules.select("module", "body", "params", "packages"), "modules")
     spark = unit.defs.sparkSession
     level = spark.createDataFrame([(top, None, top, 0, [top], None, None)], INSTANCES)

@@ -33,7 +33,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Sources of whole text files."""
-    rows = spark.read.option("wholetext", True).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(list(paths), wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("path"), F.col("value").alias("text"))
     return numbered(rows).select("file_id", "path", "text")
 
 

@@ -115,3 +115,23 @@ def test_cursor(spark):
     found = {r["name"]: (r["step"], r["kind"]) for r in cursor.resolve_at(t.unit, places).collect()}
     assert found == {"A": ("explicit_import", "parameter"), "v": ("lexical", "variable"), "n": ("definition", "module")}
     assert {r["name"]: r["width"] for r in cursor.type_at(t, places).collect()} == {"A": 32, "v": 4}
+
+
+def test_check_command(spark, tmp_path, capsys):
+    from svloom.__main__ import main
+
+    (tmp_path / "inc").mkdir()
+    (tmp_path / "inc" / "w.svh").write_text("wire included;\n")
+    (tmp_path / "a.sv").write_text('`include <w.svh>\n`timescale 1ps/1ns\nmodule a;\n  leaf u(.z(included));\n  assign included = lost;\nendmodule\n')
+    (tmp_path / "b.sv").write_text("module leaf(input z); gone g(); endmodule\n")
+    code = main(["check", "--top", "a", "-I", str(tmp_path / "inc"), str(tmp_path / "a.sv"), str(tmp_path / "b.sv")])
+    found = [line.removeprefix(f"{tmp_path}/") for line in capsys.readouterr().out.splitlines() if "[" in line]
+    assert code == 1
+    assert found == [
+        "a.sv:2:1: error[timescale_precision]: 1ps/1ns",
+        "a.sv:3:8: error[elaboration]: a.u.g: unknown module",
+        "a.sv:5:21: error[unresolved_name]: lost",
+        "b.sv:1:23: error[unresolved_name]: gone",
+    ]
+    (tmp_path / "ok.sv").write_text("module ok; endmodule\n")
+    assert main(["check", str(tmp_path / "ok.sv")]) == 0
