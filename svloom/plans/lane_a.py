@@ -47,16 +47,16 @@ def unit(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Unit]:
     return sources, pp.directive_events(sources), Unit(facts)
 
 
-@query(f"""SELECT s_suppkey AS file_id, strlen({SUPPLIER_TEXT}) AS n_bytes, 0 AS n_errors FROM supplier UNION ALL SELECT n_nationkey + {NATIONS}, strlen({NATION_TEXT}), 0 FROM nation
+@query(f"""SELECT s_suppkey AS file_id, strlen({SUPPLIER_TEXT}) AS n_bytes, 0::BIGINT AS n_errors FROM supplier UNION ALL SELECT n_nationkey + {NATIONS}, strlen({NATION_TEXT}), 0 FROM nation
 UNION ALL SELECT r_regionkey + {REGIONS}, strlen({REGION_TEXT}), 0 FROM region""")
 def sv_tokens(spark, d):
     tokens = lexer.tokens(design(spark, d).where(f"file_id <> {TOP}"))
-    return tokens.groupBy("file_id").agg(F.sum("len").alias("n_bytes"), F.sum(F.when(F.col("kind") == "error", 1).otherwise(0)).cast("long").alias("n_errors"))
+    return tokens.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.sum("len").alias("n_bytes"), F.sum(F.when(F.col("kind") == "error", 1).otherwise(0)).cast("long").alias("n_errors"))
 
 
 @query(f"SELECT s_suppkey AS file_id, 0 AS event_seq, 'default_nettype' AS kind, {_NET} AS arg FROM supplier UNION ALL SELECT s_suppkey, 1, 'resetall', NULL FROM supplier")
 def sv_directives(spark, d):
-    return pp.directive_events(design(spark, d)).select("file_id", "event_seq", "kind", "arg")
+    return pp.directive_events(design(spark, d)).select(F.col("file_id").cast("long").alias("file_id"), "event_seq", "kind", "arg")
 
 
 @query(f"SELECT 'sup_' || s_suppkey AS name, {_NET} AS net FROM supplier UNION ALL SELECT 'dup_' || (s_suppkey % 10), 'wire' FROM supplier")
@@ -69,12 +69,12 @@ def sv_default_nettype(spark, d):
 @query(f"""SELECT s_suppkey AS file_id, 'sup_' || s_suppkey AS name, 'module' AS kind FROM supplier UNION ALL SELECT s_suppkey, 'dup_' || (s_suppkey % 10), 'module' FROM supplier UNION ALL SELECT n_nationkey + {NATIONS}, 'nat_' || n_nationkey, 'package' FROM nation
 UNION ALL SELECT r_regionkey + {REGIONS}, 'reg_' || r_regionkey, 'package' FROM region UNION ALL SELECT {TOP}, 'leaf', 'module' UNION ALL SELECT {TOP}, 'design_top', 'module'""")
 def sv_definitions(spark, d):
-    return unit(spark, d)[2].defs.select("file_id", "name", "kind")
+    return unit(spark, d)[2].defs.select(F.col("file_id").cast("long").alias("file_id"), "name", "kind")
 
 
 @query("SELECT s_suppkey AS file_id, 'dup_' || (s_suppkey % 10) AS name FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_suppkey) > 1")
 def sv_duplicate_definitions(spark, d):
-    return unit(spark, d)[2].duplicate_definitions().select("file_id", "name")
+    return unit(spark, d)[2].duplicate_definitions().select(F.col("file_id").cast("long").alias("file_id"), "name")
 
 
 @query("""SELECT 'reg_' || r_regionkey AS package, 'value' AS ns, v.name, 'reg_' || r_regionkey AS origin FROM region JOIN (VALUES ('B'), ('Z')) v(name) ON true UNION ALL SELECT 'reg_' || r_regionkey, 'value', 'A' || r_regionkey, 'reg_' || r_regionkey FROM region
@@ -88,7 +88,7 @@ def sv_package_surface(spark, d):
     return u.package_surface().join(origin, "target_file").select("package", "ns", "name", "origin")
 
 
-@query("SELECT 'nat_' || n_nationkey AS package, 'K' AS name, n_nationkey * 4 AS value FROM nation UNION ALL SELECT 'nat_' || n_nationkey, 'R', 3 * n_regionkey + 1 + n_nationkey * 4 FROM nation UNION ALL SELECT 'reg_' || r_regionkey, 'B', 3 * r_regionkey + 1 FROM region")
+@query("SELECT 'nat_' || n_nationkey AS package, 'K' AS name, (n_nationkey * 4)::BIGINT AS value FROM nation UNION ALL SELECT 'nat_' || n_nationkey, 'R', 3 * n_regionkey + 1 + n_nationkey * 4 FROM nation UNION ALL SELECT 'reg_' || r_regionkey, 'B', 3 * r_regionkey + 1 FROM region")
 def sv_constants(spark, d):
     return elab.package_values(unit(spark, d)[2]).select("package", "name", "value")
 
@@ -100,13 +100,13 @@ UNION ALL SELECT {TOP}, 'sup_' || s_suppkey, 'resolved', 'definition', 1 FROM su
 UNION ALL SELECT n_nationkey + {NATIONS}, v.name, 'resolved', v.step, 1 FROM nation JOIN (VALUES ('B', 'explicit_import'), ('K', 'lexical')) v(name, step) ON true""")
 def sv_resolutions(spark, d):
     _, events, u = unit(spark, d)
-    return rules.use_outcomes(u, events).groupBy("file_id", "name", "outcome", "step").agg(F.count("*").alias("n"))
+    return rules.use_outcomes(u, events).groupBy(F.col("file_id").cast("long").alias("file_id"), "name", "outcome", "step").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey AS file_id, 'y' AS name, CASE WHEN s_suppkey % 3 = 1 THEN 'wire' ELSE 'tri' END AS net_kind FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 3 <> 0")
 def sv_implicit_nets(spark, d):
     _, events, u = unit(spark, d)
-    return rules.implicit_nets(rules.use_outcomes(u, events))
+    return rules.implicit_nets(rules.use_outcomes(u, events)).withColumn("file_id", F.col("file_id").cast("long"))
 
 
 @query("""WITH p AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 9 ELSE 8 END AS line FROM supplier)
@@ -149,13 +149,13 @@ def sv_symbol_types(spark, d):
     return typed(spark, d).symbols().where("kind = 'variable'").select("file_id", "name", "width", "signed", "four_state")
 
 
-@query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation) SELECT file_id, 'W' AS name, w AS value FROM n UNION ALL SELECT file_id, 'B', (w + 4) * (w + 1) + w + 1 + w - 1 FROM n""")
+@query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation) SELECT file_id, 'W' AS name, w::BIGINT AS value FROM n UNION ALL SELECT file_id, 'B', (w + 4) * (w + 1) + w + 1 + w - 1 FROM n""")
 def sv_parameter_values(spark, d):
     return typed(spark, d).symbols().where("kind in ('parameter', 'localparam')").select("file_id", "name", "value")
 
 
 @query(f"""WITH n AS (SELECT n_nationkey AS file_id, {_W} AS w FROM nation)
-SELECT file_id, v.i AS ordinal, v.name, CASE WHEN v.i = 0 THEN 0 ELSE w + v.i - 1 END AS value, v.i IN (2, 3) AS generated FROM n JOIN (VALUES (0, 'E0'), (1, 'E1'), (2, 'E20'), (3, 'E21'), (4, 'E5')) v(i, name) ON true""")
+SELECT file_id, v.i AS ordinal, v.name, (CASE WHEN v.i = 0 THEN 0 ELSE w + v.i - 1 END)::BIGINT AS value, v.i IN (2, 3) AS generated FROM n JOIN (VALUES (0, 'E0'), (1, 'E1'), (2, 'E20'), (3, 'E21'), (4, 'E5')) v(i, name) ON true""")
 def sv_enum_members(spark, d):
     return typed(spark, d).enum_members().select("file_id", "ordinal", "name", "value", "generated")
 
@@ -181,7 +181,7 @@ def sv_truncations(spark, d):
 
 @query(f"""SELECT s_suppkey AS file_id, 'u' AS instance, 'a' AS port, 'matched' AS status FROM supplier UNION ALL SELECT {TOP}, 's_' || s_suppkey, 'a', 'matched' FROM supplier""")
 def sv_connections(spark, d):
-    return connect.connections(unit(spark, d)[2]).select("file_id", "instance", "port", "status")
+    return connect.connections(unit(spark, d)[2]).select(F.col("file_id").cast("long").alias("file_id"), "instance", "port", "status")
 
 
 PORTS_TEXT = "'module leaf(input a, input b); endmodule module p' || p_partkey || '; leaf u(' || (CASE p_partkey % 6 WHEN 0 THEN '1, 2' WHEN 1 THEN '1, 2, 3' WHEN 2 THEN '.a(1)' WHEN 3 THEN '.a(1), .z(2), .b(3)' WHEN 4 THEN '.a(1), .a(2), .b(1)' ELSE '.*' END) || '); endmodule'"
@@ -190,7 +190,7 @@ PORTS_TEXT = "'module leaf(input a, input b); endmodule module p' || p_partkey |
 @query("""SELECT p_partkey AS file_id, v.code, v.severity, v.name FROM part JOIN (VALUES (1, 'too_many_ports', 'error', 'u'), (2, 'missing_port', 'warning', 'b'), (3, 'unknown_port', 'error', 'z'), (4, 'duplicate_port', 'error', 'a')) v(k, code, severity, name) ON v.k = p_partkey % 6""")
 def sv_port_findings(spark, d):
     sources = read(spark, d, "part").select(F.col("p_partkey").cast("int").alias("file_id"), F.expr(PORTS_TEXT).alias("text"))
-    return connect.findings(Unit(ro.written(parser.facts(sources), "facts"))).select("file_id", "code", "severity", "name")
+    return connect.findings(Unit(ro.written(parser.facts(sources), "facts"))).select(F.col("file_id").cast("long").alias("file_id"), "code", "severity", "name")
 
 
 @query(f"""SELECT n_nationkey + {NATIONS} AS file_id, 'K' AS name, 'lexical' AS step, 'parameter' AS kind, strpos({NATION_TEXT}, 'K =') - 1 AS declared_at FROM nation""")
@@ -207,7 +207,7 @@ CALLS_TEXT = "'module c' || s_suppkey || '; int q[$]; string s; int m[string]; i
 def sv_call_findings(spark, d):
     sources = read(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("file_id"), F.expr(CALLS_TEXT).alias("text"))
     u = Unit(ro.written(parser.facts(sources), "facts"))
-    return members.method_findings(Types(u)).unionByName(members.system_findings(u)).select("file_id", "name", "code")
+    return members.method_findings(Types(u)).unionByName(members.system_findings(u)).select(F.col("file_id").cast("long").alias("file_id"), "name", "code")
 
 
 @query("SELECT n_nationkey AS file_id, CASE n_nationkey % 3 WHEN 0 THEN 'layout' ELSE 'names' END AS what FROM nation WHERE n_nationkey % 3 < 2")

@@ -95,13 +95,13 @@ def fingerprint_changed(spark, d):
 
 @query("SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ordinal FROM nation QUALIFY ordinal > 1")
 def duplicates_after_first(spark, d):
-    return ro.duplicates_after_first(read(spark, d, "nation").select("n_nationkey", "n_regionkey"), ["n_regionkey"], ["n_nationkey"])
+    return ro.duplicates_after_first(read(spark, d, "nation").select("n_nationkey", "n_regionkey"), ["n_regionkey"], ["n_nationkey"]).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS ordinal FROM lineitem QUALIFY ordinal > 1")
 def duplicate_definitions(spark, d):
     rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return ro.duplicates_after_first(rows, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]).drop("l_suppkey")
+    return ro.duplicates_after_first(rows, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]).drop("l_suppkey").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query("SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS previous FROM orders QUALIFY previous IS NOT NULL")
@@ -155,7 +155,7 @@ def surface_merge(spark, d):
 bind AS (SELECT n_nationkey AS nation, 0 AS distance, 'BUILDING' AS name, n_nationkey AS sym FROM nation WHERE n_nationkey % 3 = 0
 UNION ALL SELECT n.n_nationkey, 1, v.name, 100 + r.r_regionkey FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey JOIN (VALUES ('BUILDING'), ('MACHINERY')) v(name) ON r.r_regionkey < 4
 UNION ALL SELECT n_nationkey, 2, 'AUTOMOBILE', 200 FROM nation)
-SELECT b.use, bind.distance, bind.sym FROM b JOIN bind ON bind.nation = b.nation AND bind.name = b.name QUALIFY row_number() OVER (PARTITION BY b.use ORDER BY bind.distance, bind.sym) = 1""")
+SELECT b.use, bind.distance, bind.sym::BIGINT AS sym FROM b JOIN bind ON bind.nation = b.nation AND bind.name = b.name QUALIFY row_number() OVER (PARTITION BY b.use ORDER BY bind.distance, bind.sym) = 1""")
 def nearest_ancestor(spark, d):
     nation, region = read(spark, d, "nation"), read(spark, d, "region")
     scopes = nation.select(F.col("n_nationkey").cast("string").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent")).unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.lit("root").alias("parent")))
