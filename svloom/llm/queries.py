@@ -99,5 +99,19 @@ FROM k GROUP BY doc_id
 """
 
 
+#: A turn's text is escaped where it wouldn't be read back as it is; 15 characters stand around role and text.
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, CASE WHEN contains(text, '\###') OR contains(text, '\</turn>') OR strpos(chr(10) || text || chr(10) || '</turn>' || chr(10), chr(10) || '</turn>' || chr(10)) < length(text) + 2
+    THEN regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') ELSE text END AS body FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(length(role) + length(body) + 15)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP_SQL}
+    return {"op5_line_dedup": LINE_DEDUP_SQL, "op9_chat": CHAT_SQL}

@@ -2,14 +2,12 @@
 
 import pytest
 
-pytest.importorskip("svloom.llm")
+import corpus_pipeline
+from pyspark.sql import functions as F
 
-import corpus_pipeline  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-
-from svloom.llm import chat, decontamination, line_dedup, quality, sharding, simhash, substring_dedup, token_counts, token_files, tokenizing  # noqa: E402
-from svloom.llm.common import shared_dir  # noqa: E402
-from svloom.llm.queries import tokenizer  # noqa: E402
+from svloom.llm import chat, decontamination, line_dedup, quality, sharding, simhash, substring_dedup, token_counts, token_files, tokenizing
+from svloom.llm.common import shared_dir
+from svloom.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, shard string, n string, pos string, gone string, ids string, spans string, fingerprint string, component_id string, kept string, anchor string, b string, prefix string"
 WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty once more"

@@ -10,11 +10,9 @@ import numpy as np
 import pytest
 import xxhash
 
-pytest.importorskip("svloom.llm")
-
-from svloom.llm import chat, decontamination, line_dedup, quality, sharding, simhash, substring_dedup, suffix_array, token_counts, token_files, tokenizing  # noqa: E402
-from svloom.llm.common import P, shared_dir  # noqa: E402
-from svloom.llm.queries import tokenizer  # noqa: E402
+from svloom.llm import chat, decontamination, line_dedup, quality, sharding, simhash, substring_dedup, suffix_array, token_counts, token_files, tokenizing
+from svloom.llm.common import P, shared_dir
+from svloom.llm.queries import tokenizer
 
 
 def corpus(n=80, seed=3):
