@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -51,6 +53,12 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def trim() -> None:
+    """Hands a worker's freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Rows that go to a Python worker at once: texts may be long, and a batch is held several times over.
 BATCH_ROWS = 2000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import P, bounded_batches, shared_dir
+from svloom.llm.common import P, bounded_batches, shared_dir, trim
 
 ORDER = 5
 CHAR_BITS = 12
@@ -40,7 +40,7 @@ WINDOW_WORDS = 8
 LOWER, UPPER = 8.0, 20.0
 LEAST_SPREAD = 0.02
 #: A block is ended by the batch that takes it over so many characters.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 3 << 20
 BEGIN, END = 2, 3
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW_WORDS)], dtype=np.uint64)
 
@@ -177,6 +177,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(block: Block) -> Iterator[pa.RecordBatch]:
         for lang, values, counts in block.counts():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(counts)], names=["lang", "code", "n"])
+        trim()
 
     block = Block()
     for b in batches:
@@ -246,6 +247,7 @@ def _measured(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Reco
         for b in held:
             part = slice(at, at := at + b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c[part]) for c in columns], pa.array(scores[part], from_pandas=True)], names=[*b.schema.names, *[P + x for x in _NAMES]])
+        trim()
 
     block, held, base = Block(), [], []
     for b in batches:

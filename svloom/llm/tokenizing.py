@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import bounded_batches, whole_text
+from svloom.llm.common import bounded_batches, trim, whole_text
 
 #: A piece of more characters than this is encoded as a tree.
 LONG_PIECE = 4096
@@ -263,3 +263,4 @@ def _encode_digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
                 ids.append(hashlib.sha256(",".join([as_text[i] for i in x]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(enc.decode(x)).hexdigest())
         yield pa.RecordBatch.from_arrays([rows, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    trim()
