@@ -6,11 +6,12 @@ before its hash, so all lines share one order whatever the counters merge. Lines
 become one, the first by (doc_id, position). Of n keys the n - ceil(t n) + 1 rarest form the prefix:
 two lines with a Jaccard similarity of t share a key there. Lines that share a prefix key, whose lengths
 allow t, whose places leave enough keys behind, and whose parity sketches differ in no more bits than
-the sets may, are candidates; their Jaccard similarity is verified on the whole sets. A line goes if
+the sets may, are candidates; their Jaccard similarity is verified on the whole sets of 64-bit
+word hashes. A line goes if
 an earlier line is similar: earlier by doc_id, then position, judged on the input.
 
-Copies cost rows in proportion: each line is tried against the first line of each of its prefix
-keys; only lines that this doesn't settle are joined to all others.
+Groups of copies cost rows in proportion: each line is tried against the first and the LAST
+lines before it under each of its LEADS rarest keys; only lines that this doesn't settle are joined to all others.
 
 Lines without a word stay. A null text stays null. Rows that repeat a doc_id are versions of one
 document: lines at the same place are never earlier than one another. Null doc_ids come first.
@@ -18,55 +19,69 @@ document: lines at the same place are never earlier than one another. Null doc_i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import P, saved
+from svloom.llm.common import P, forget, saved
 
-#: Words are cut as the other operators cut them.
-_GAP = "[\\x09-\\x0D ]+"
 #: Counters of the rarity sketch: a fixed size, whatever the vocabulary.
 SKETCH = 1 << 18
-_GROUP = 1 << 10
 #: Jaccard similarity, in hundredths.
 SIMILARITY = 80
+#: Rarest keys of a line, and the lines before it under each of them, that are tried before all others.
+LEADS, LAST = 4, 10
+#: Rows that may be broadcast; beyond, the join is by shuffle.
+BROADCAST_ROWS = 400_000
+#: Stands for a null doc_id.
+_FIRST = -(1 << 63)
 
 
-def _words(line: str) -> Column:
-    return F.filter(F.split(F.col(line), _GAP), lambda w: w != "")
+def _words(text: Column) -> Column:
+    """Words as the other operators cut them; an empty text has one empty word."""
+    return F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
+
+
+def _id(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(_FIRST))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos and line for each line of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
+    """doc_id, pos and line for each line of each document; a null doc_id as the least integer."""
+    parts = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
+    return docs.select(_id(docs).alias("doc_id"), F.posexplode(parts).alias("pos", "line"))
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SKETCH - 1)).cast("int")
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row: levels, a byte for each counter (from 1; more for more occurrences)."""
+    """One row: levels, a small integer for each counter, greater for more occurrences."""
     spark = docs.sparkSession
-    counts = docs.select(F.explode(F.split(F.col("text").cast("string"), _GAP)).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(SKETCH)).alias("id")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), F.floor(6 * F.log2(F.coalesce("n", F.lit(0)) + 1)) + 1)
-    every = spark.range(SKETCH).join(counts, "id", "left").select("id", F.lpad(F.hex(level.cast("long")), 2, "0").alias("h"))
-    strung = lambda x, field: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda s: s[field]), "")
-    groups = every.groupBy(F.expr(f"id div {_GROUP}").alias("g")).agg(strung(F.struct("id", "h"), "h").alias("h"))
-    return groups.agg(F.unhex(strung(F.struct("g", "h"), "h")).alias("levels"))
+    words = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("id")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), F.floor(6 * F.log2(F.coalesce("n", F.lit(0)) + 1)) + 1).cast("tinyint")
+    every = spark.range(SKETCH).select(F.col("id").cast("int").alias("id")).join(counts, "id", "left").select("id", level.alias("level"))
+    group = every.groupBy(F.shiftright("id", 9).alias("g")).agg(F.sort_array(F.collect_list(F.struct("id", "level"))).alias("s"))
+    whole = group.agg(F.sort_array(F.collect_list(F.struct("g", "s"))).alias("s"))
+    return whole.select(F.flatten(F.transform("s", lambda x: x["s"]["level"])).alias("levels"))
 
 
-def _key(w: Column, levels: Column) -> Column:
-    h = F.xxhash64(w)
-    level = F.ascii(F.substring(levels, (F.pmod(h, F.lit(SKETCH)) + 1).cast("int"), F.lit(1)).cast("string"))
-    return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def line_sets(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """rows with keys, the sorted distinct word keys of column line, and n, their number; lines without a word are left out."""
 
+    def key(w: Column) -> Column:
+        level = F.element_at(f"{P}levels", _bucket(F.xxhash64(w)) + 1)
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
 
-def line_sets(rows: DataFrame, levels: DataFrame) -> DataFrame:
-    """rows with n and keys, the sorted distinct word keys of column line; lines without a word are left out."""
-    with_levels = rows.withColumn(f"{P}levels", levels.scalar())
-    keyed = with_levels.withColumn("keys", F.array_sort(F.array_distinct(F.transform(_words("line"), lambda w: _key(w, F.col(f"{P}levels"))))))
-    return keyed.drop(f"{P}levels").withColumn("n", F.size("keys")).where("n > 0")
+    found = rows.withColumn(f"{P}levels", levels.scalar()).withColumn("keys", F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), key))))
+    return found.drop(f"{P}levels").withColumn("n", F.size("keys")).where("n > 0")
 
 
-def _prefix_size() -> Column:
-    return F.expr(f"cast(n - ((n * {SIMILARITY} + 99) div 100) + 1 as int)")
+def _parity(half: int) -> Column:
+    """64 of 128 bits, each the parity of the keys that fall on it."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == 64 * half), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
 
 
 def _needed(a: str, b: str) -> str:
@@ -74,84 +89,82 @@ def _needed(a: str, b: str) -> str:
     return f"(({SIMILARITY} * ({a} + {b}) + {99 + SIMILARITY}) div {100 + SIMILARITY})"
 
 
-def _candidates(later: str, earlier: str) -> Column:
-    """Length, positional and sketch filters for two postings of one key."""
-    n, m = f"{later}.n", f"{earlier}.n"
+def _candidate(later: str, earlier: str) -> str:
+    """Order, length, positional and sketch filters for two postings of one key.
+
+    The shorter line shares 2t / (1 + t) of its keys at least, so a shared key lies in a shorter prefix of its own.
+    """
+    p, q = later, earlier
+    n, m = f"{p}.n", f"{q}.n"
     need = _needed(n, m)
-    return F.expr(
-        f"{100} * least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m})"
-        f" and 1 + least({n} - {later}.i - 1, {m} - {earlier}.i - 1) >= {need}"
-        f" and bit_count({later}.b0 ^ {earlier}.b0) + bit_count({later}.b1 ^ {earlier}.b1) <= {n} + {m} - 2 * {need}"
+    return (
+        f"({q}.doc_id < {p}.doc_id or {q}.doc_id = {p}.doc_id and {q}.pos < {p}.pos)"
+        f" and 100 * least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m})"
+        f" and least({n} - {p}.i, {m} - {q}.i) >= {need}"
+        f" and if({n} <= {m}, {p}.i <= {n} - {_needed(n, n)}, {q}.i <= {m} - {_needed(m, m)})"
+        f" and bit_count({p}.b0 ^ {q}.b0) + bit_count({p}.b1 ^ {q}.b1) <= {n} + {m} - 2 * {need}"
     )
 
 
-def _before(a: str, b: str) -> str:
-    """Whether line a comes before line b; null doc_ids first."""
-    da, db = f"{a}.doc_id", f"{b}.doc_id"
-    return f"(({da} is null and {db} is not null) or {da} < {db} or ({da} <=> {db} and {a}.pos < {b}.pos))"
+_PAIR = ("p.doc_id", "p.pos", "q.doc_id as doc_id2", "q.pos as pos2")
 
 
-def similar_later(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All worded lines with their set's digests (doc_id, pos, s0, s1), and the digests of what stays.
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    The second has s0, s1, doc_id and pos of each distinct set whose first line has no earlier similar line.
-    """
-    levels = rarity(docs)
-    sets = line_sets(lines(docs), levels)
-    parity = lambda half: F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: F.when(F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1)) == half, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
-    marks = saved(
-        sets.select("doc_id", "pos", "n", F.xxhash64("keys").alias("s0"), F.xxhash64(F.lit(1), "keys").alias("s1"), F.slice("keys", F.lit(1), _prefix_size()).alias("prefix"), parity(0).alias("b0"), parity(1).alias("b1")), "line-sets"
-    )
-    first = marks.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "pos", "n", "b0", "b1", "prefix")).alias("f")).select("s0", "s1", "f.*")
-    posted = first.select("doc_id", "pos", "n", "b0", "b1", F.posexplode("prefix").alias("i", "key"))
-    lead = posted.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "n", "b0", "b1", "i")).alias("lead"), F.count("*").alias("times"))
-    alive = posted.join(lead.where("times > 1"), "key")
-    pair = lambda later, earlier: [F.col(f"{later}.doc_id").alias("doc_id"), F.col(f"{later}.pos").alias("pos"), F.col(f"{earlier}.doc_id").alias("doc_id2"), F.col(f"{earlier}.pos").alias("pos2")]
-    to_first = alive.alias("p").where(F.expr(_before("lead", "p"))).where(_candidates("p", "lead")).select(*pair("p", "lead")).distinct()
-    gone = saved(_verified(docs, levels, to_first), "gone")
-    open_ = alive.join(gone, _same(alive, gone), "left_anti").drop("lead", "times")
-    others = alive.drop("lead", "times")
-    more = open_.alias("p").join(others.alias("q"), F.col("p.key") == F.col("q.key")).where(F.expr(_before("q", "p"))).where(_candidates("p", "q")).select(*pair("p", "q")).distinct()
-    gone2 = saved(_verified(docs, levels, more), "gone")
-    gone = gone.unionByName(gone2).distinct()
-    stay = first.select("s0", "s1", "doc_id", "pos").join(gone, _same(first, gone), "left_anti")
-    return marks.select("doc_id", "pos", "s0", "s1"), stay
-
-
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["pos"] == b["pos"])
-
-
-def _verified(docs: DataFrame, levels: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id and pos of the later lines of those pairs that are similar."""
     pairs = saved(pairs, "line-pairs")
-    wanted = pairs.select("doc_id", "pos").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("pos2").alias("pos"))).distinct()
-    ids = wanted.select("doc_id").distinct()
-    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = near.join(ids, near["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    rows = lines(near)
-    rows = rows.join(wanted, _same(rows, wanted), "left_semi")
-    whole = saved(line_sets(rows, levels).select("doc_id", "pos", "n", "keys"), "candidate-sets")
-    a, b = whole.alias("a"), whole.alias("b")
-    p = pairs.alias("p")
-    both = p.join(a, F.expr("p.doc_id <=> a.doc_id and p.pos = a.pos")).join(b, F.expr("p.doc_id2 <=> b.doc_id and p.pos2 = b.pos"))
-    shared = F.size(F.array_intersect("a.keys", "b.keys"))
-    return both.where(100 * shared >= SIMILARITY * (F.col("a.n") + F.col("b.n") - shared)).select(F.col("p.doc_id").alias("doc_id"), F.col("p.pos").alias("pos")).distinct()
+    wanted = saved(pairs.select("doc_id", "pos").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("pos2").alias("pos"))).distinct(), "wanted-lines")
+    ids = _small(wanted.select(F.col("doc_id").alias(f"{P}id")).distinct())
+    near = docs.select("doc_id", "text")
+    near = near.join(ids, _id(near) == F.col(f"{P}id"), "left_semi")
+    held = lines(near).join(_small(wanted), ["doc_id", "pos"], "left_semi").dropDuplicates(["doc_id", "pos"])
+    held = saved(held.select("doc_id", "pos", F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), lambda w: F.xxhash64(w))).alias("w")), "candidate-lines")
+    other = held.select(F.col("doc_id").alias("doc_id2"), F.col("pos").alias("pos2"), F.col("w").alias("w2"))
+    both = pairs.join(held, ["doc_id", "pos"]).join(other, ["doc_id2", "pos2"]).withColumn("shared", F.size(F.array_intersect("w", "w2")))
+    return saved(both.where(100 * F.col("shared") >= SIMILARITY * (F.size("w") + F.size("w2") - F.col("shared"))).select("doc_id", "pos").distinct(), "gone")
 
 
 def line_flags(docs: DataFrame) -> DataFrame:
-    """doc_id, and the positions of the lines that go (sorted, not empty)."""
-    marks, stay = similar_later(docs)
-    kept = stay.select(F.col("s0").alias("k0"), F.col("s1").alias("k1"), F.col("doc_id").alias("kd"), F.col("pos").alias("kp"))
-    joined = marks.join(kept, F.expr("s0 = k0 and s1 = k1"), "left")
-    stays = F.expr("kp is not null and kd <=> doc_id and kp = pos")
-    return joined.where(~stays).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    """doc_id (a null as the least integer) and the positions of the lines that go."""
+    levels = saved(rarity(docs), "rarity")
+    sets = line_sets(lines(docs), levels)
+    prefix = F.slice("keys", F.lit(1), F.expr(f"cast(n - ((n * {SIMILARITY} + 99) div 100) + 1 as int)"))
+    whole = saved(sets.select("doc_id", "pos", "n", F.xxhash64("keys").alias("s0"), F.xxhash64(F.lit(1), "keys").alias("s1"), _parity(0).alias("b0"), _parity(1).alias("b1"), prefix.alias("prefix")), "line-sets")
+    marks = saved(whole.select("doc_id", "pos", "s0", "s1"), "line-marks")
+    first = saved(whole.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "pos", "n", "b0", "b1", "prefix")).alias("f")).select("f.*"), "line-firsts")
+    forget(whole)
+
+    leads = first.select("doc_id", "pos", "n", "b0", "b1", F.posexplode(F.slice("prefix", 1, LEADS)).alias("i", "key"))
+    by_key = Window.partitionBy("key").orderBy("doc_id", "pos")
+    own = F.struct("doc_id", "pos", "n", "b0", "b1", "i")
+    before = F.array_append(F.collect_list(own).over(by_key.rowsBetween(-LAST, -1)), F.first(own).over(by_key))
+    tried = leads.select(own.alias("p"), before.alias("before")).select("p", F.explode("before").alias("q"))
+    settled = verified(docs, tried.where(_candidate("p", "q")).selectExpr(*_PAIR).distinct())
+
+    flagged = first.join(_small(settled.withColumn("settled", F.lit(True))), ["doc_id", "pos"], "left").withColumn("open", F.col("settled").isNull())
+    posted = flagged.select("doc_id", "pos", "n", "b0", "b1", "open", F.posexplode("prefix").alias("i", "key"))
+    # The condition names open on both sides, so both are one exchange.
+    asked = "(p.open or q.open and q.n < 0)"
+    pairs = posted.alias("p").join(posted.alias("q"), F.expr(f"p.key = q.key and {asked} and {_candidate('p', 'q')}")).selectExpr(*_PAIR).distinct()
+    gone = settled.unionByName(verified(docs, pairs)).distinct()
+
+    leaders = marks.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select("s0", "s1", F.col("f.doc_id").alias("kd"), F.col("f.pos").alias("kp"))
+    stay = leaders.join(_small(gone.select(F.col("doc_id").alias("kd"), F.col("pos").alias("kp"))), ["kd", "kp"], "left_anti")
+    joined = marks.select("doc_id", "pos", "s0", "s1").join(stay, ["s0", "s1"], "left")
+    return joined.where("kp is null or kd <> doc_id or kp <> pos").groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without later similar lines, with two more columns of the internal prefix: lines that there were, and that went."""
-    flags = line_flags(docs).select(F.col("doc_id").alias(f"{P}id"), F.col("gone").alias(f"{P}gone"))
-    at = docs.join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{P}id")), "left")
+    flags = saved(line_flags(docs), "line-flags").select(F.col("doc_id").alias(f"{P}id"), F.col("gone").alias(f"{P}gone"))
+    at = docs.join(_small(flags), _id(docs) == F.col(f"{P}id"), "left")
     parts = F.split(F.col("text").cast("string"), "\n")
-    flagged = F.when(F.col(f"{P}gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(f"{P}gone"), i)), "\n"))
-    return at.select(*[F.col(c) for c in docs.columns if c != "text"], flagged.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(f"{P}lines"), F.coalesce(F.size(f"{P}gone"), F.lit(0)).cast("long").alias(f"{P}went")).select(*docs.columns, f"{P}lines", f"{P}went")
+    gone = F.col(f"{P}gone")
+    kept = F.when(gone.isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    went = F.size(F.filter(parts, lambda x, i: F.array_contains(gone, i)))
+    counts = [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(f"{P}lines"), F.when(gone.isNull(), F.lit(0)).otherwise(F.coalesce(went, F.lit(0))).cast("long").alias(f"{P}went")]
+    return at.select(*[F.col(c) for c in docs.columns if c != "text"], kept.alias("text"), *counts).select(*docs.columns, f"{P}lines", f"{P}went")
