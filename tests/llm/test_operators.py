@@ -123,6 +123,20 @@ def test_base_rules():
     assert quality.dup_lines("a\n\n\n a\na\nb\na") == 2
 
 
+def test_band_rejects_planted_junk(spark):
+    rng = random.Random(11)
+    lexicon = ["".join(rng.choice("the an ing ed re tion of and st er".split()) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    text = lambda n: [rng.choice(lexicon) for _ in range(n)]
+    clean = {i: " ".join(text(rng.randint(60, 900))) for i in range(400)}
+    junk = {1000 + i: " ".join(w + rng.choice(["***", "%%%", "$$$", "&&&"]) for w in text(rng.randint(60, 900))) for i in range(20)}
+    junk |= {2000 + i: " | ".join(text(rng.randint(60, 900))) for i in range(20)}
+    docs = frame(spark, [(i, t, "en") for i, t in (clean | junk).items()])
+    rows = quality.measured(docs, quality.build_model(docs))
+    kept = {r["doc_id"] for r in quality.judged(rows, quality.bands(rows).collect()).where(f"{P}kept").collect()}
+    assert not kept & junk.keys()
+    assert len(kept) >= 0.95 * len(clean)
+
+
 # Decontamination
 
 
