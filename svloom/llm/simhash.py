@@ -18,8 +18,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from svloom.llm.common import P, bounded_batches, saved, whole_text
 
@@ -167,36 +168,49 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id for each row of docs."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, root (a fingerprint that names the component) and component_id for each row of docs."""
     marks = saved(fingerprints(docs), "fingerprints")
     nodes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = components(linked_pairs(nodes.select("fingerprint")))
     placed = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marks.join(placed.join(least, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marks.join(placed.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (long) and component_id for each row of docs."""
+    return _grouped(docs).select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the least doc_id.
+    """docs with one row of each near-duplicate group: that of the least doc_id, nulls last, then of the least text.
 
-    Rows that repeat a doc_id and its fingerprint count as copies of one; the one with the
-    least text stays.
+    Groups are told by their fingerprints alone: rows that share a doc_id, or have none, but aren't
+    linked are kept each.
     """
-    found = saved(near_duplicates(docs), "near-duplicates")
+    found = saved(_grouped(docs), "near-duplicates")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = first.select(F.col("doc_id").alias(f"{P}id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(f"{P}id")), "left_semi")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    marked = kept.select(*docs.columns, F.row_number().over(_by_id(docs)).alias(f"{P}n"))
-    return marked.where(f"{P}n = 1").select(*docs.columns)
+        ids = first.select(F.col("doc_id").alias(f"{P}id")).distinct()
+        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(f"{P}id")), "left_semi")
+    groups = first.select(F.col("fingerprint").alias(f"{P}fp"), F.col("root").alias(f"{P}root"), F.col("component_id").alias(f"{P}least")).distinct()
+    own = _with_fingerprint(docs).join(groups, f"{P}fp").where(F.col("doc_id").cast("long").eqNullSafe(F.col(f"{P}least")))
+    by_group = Window.partitionBy(f"{P}root").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return own.select(*docs.columns, F.row_number().over(by_group).alias(f"{P}n")).where(f"{P}n = 1").select(*docs.columns)
+
 
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    """docs with each row's fingerprint in a column of an internal prefix."""
+    rows = bounded_batches(docs).select("*", whole_text().alias(f"{P}text"))
 
-def _by_id(docs: DataFrame):
-    from pyspark.sql import Window
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = np.array([fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made)], names=[*b.schema.names[:-1], f"{P}fp"])
 
-    return Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    kind = StructType([*docs.schema.fields, StructField(f"{P}fp", LongType())])
+    return rows.mapInArrow(work, kind)
 
 
 def hex_digits(column: str):

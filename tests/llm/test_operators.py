@@ -245,6 +245,14 @@ def test_keep_first(spark):
     assert kept == set(brute_components({i: brute_fingerprint(t) for i, t, _ in rows}).values())
 
 
+def test_keep_first_goes_by_group_not_by_doc_id(spark):
+    """Null and repeated ids with different texts stay; copies among them go."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1), "en"), (None, text(2), "en"), (None, text(3), "en"), (7, text(4), "en"), (7, text(5), "en"), (8, text(5), "en"), (None, text(4), "en"), (None, text(3), "en"), (9, text(6), "en")]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_first(frame(spark, rows)).collect())
+    assert got == sorted([(0, text(1)), (0, text(2)), (0, text(3)), (7, text(4)), (7, text(5)), (9, text(6))])
+
+
 # Line dedup
 
 
