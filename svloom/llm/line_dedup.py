@@ -7,7 +7,7 @@ become one, the first by (doc_id, position). Of n keys the n - ceil(t n) + 1 rar
 two lines with a Jaccard similarity of t share a key there. Lines that share a prefix key, whose lengths
 allow t, whose places leave enough keys behind, and whose parity sketches differ in no more bits than
 the sets may, are candidates; their Jaccard similarity is verified on the whole sets of 64-bit
-word hashes. A line goes if
+word hashes; equal sets are told by two 64-bit digests of them. A line goes if
 an earlier line is similar: earlier by doc_id, then position, judged on the input.
 
 Groups of copies cost rows in proportion: each line is tried against the first and the LAST
@@ -28,17 +28,30 @@ from svloom.llm.common import P, forget, saved
 SKETCH = 1 << 18
 #: Jaccard similarity, in hundredths.
 SIMILARITY = 80
-#: Rarest keys of a line, and the lines before it under each of them, that are tried before all others.
-LEADS, LAST = 4, 10
-#: Rows that may be broadcast; beyond, the join is by shuffle.
+#: Rarest keys of a line, and the neighbours under each of them that are tried before all others.
+LEADS, NEAR = 6, 5
+#: Lines of fewer words have a parity sketch of 64 bits, others one of 128.
+FEW = 64
+#: Rows of 64 bytes at most that may be broadcast, so 25 MB; beyond, the join is by shuffle.
 BROADCAST_ROWS = 400_000
 #: Stands for a null doc_id.
 _FIRST = -(1 << 63)
 
 
+#: White space besides the line end and the space; few texts have any.
+_RARE = "\t\x0b\x0c\r"
+
+
 def _words(text: Column) -> Column:
-    """Words as the other operators cut them; an empty text has one empty word."""
-    return F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
+    """Words as the other operators cut them, with empty ones between neighbouring spaces; an empty text has one empty word."""
+    odd = F.lit(False)
+    for c in _RARE:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.split(F.when(odd, F.translate(text, "\n" + _RARE, " " * 5)).otherwise(F.replace(text, F.lit("\n"), F.lit(" "))), " ")
+
+
+def _hashes(line: Column) -> Column:
+    return F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
 
 
 def _id(docs: DataFrame) -> Column:
@@ -52,15 +65,16 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(SKETCH - 1)).cast("int")
+    """A counter's index: the hash's top bits."""
+    return F.shiftrightunsigned(h, 65 - SKETCH.bit_length())
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row: levels, a small integer for each counter, greater for more occurrences."""
+    """One row: levels, a small integer in the top byte for each counter, greater for more occurrences."""
     spark = docs.sparkSession
     words = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("w")).where("w <> ''")
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("id")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), F.floor(6 * F.log2(F.coalesce("n", F.lit(0)) + 1)) + 1).cast("tinyint")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).cast("int").alias("id")).agg(F.count("*").alias("n"))
+    level = F.shiftleft(F.least(F.lit(126), F.floor(6 * F.log2(F.coalesce("n", F.lit(0)) + 1)) + 1).cast("long"), 56)
     every = spark.range(SKETCH).select(F.col("id").cast("int").alias("id")).join(counts, "id", "left").select("id", level.alias("level"))
     group = every.groupBy(F.shiftright("id", 9).alias("g")).agg(F.sort_array(F.collect_list(F.struct("id", "level"))).alias("s"))
     whole = group.agg(F.sort_array(F.collect_list(F.struct("g", "s"))).alias("s"))
@@ -70,18 +84,30 @@ def rarity(docs: DataFrame) -> DataFrame:
 def line_sets(rows: DataFrame, levels: DataFrame) -> DataFrame:
     """rows with keys, the sorted distinct word keys of column line, and n, their number; lines without a word are left out."""
 
-    def key(w: Column) -> Column:
-        level = F.element_at(f"{P}levels", _bucket(F.xxhash64(w)) + 1)
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    def key(h: Column) -> Column:
+        # Without nulls, arrays are sorted as plain longs; a line's functions run for each word, so they are few.
+        level = F.coalesce(F.get(f"{P}levels", _bucket(h)), F.lit(0).cast("long"))
+        return level.bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    found = rows.withColumn(f"{P}levels", levels.scalar()).withColumn("keys", F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), key))))
-    return found.drop(f"{P}levels").withColumn("n", F.size("keys")).where("n > 0")
+    # A filter on n would have the keys made twice.
+    worded = rows.where(F.btrim("line", F.lit(" " + _RARE)) != "")
+    found = worded.withColumn(f"{P}levels", levels.scalar()).withColumn("keys", F.sort_array(F.array_distinct(F.transform(_hashes(F.col("line")), key))))
+    return found.drop(f"{P}levels").withColumn("n", F.size("keys"))
 
 
 def _parity(half: int) -> Column:
-    """64 of 128 bits, each the parity of the keys that fall on it."""
+    """64 of 128 bits, each the parity of the keys that fall on it; lines of few words have all on the first 64, and no others."""
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == 64 * half), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+    fold = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+    own = fold(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == 64 * half))
+    few = F.col("n") < FEW
+    return F.when(~few, own) if half else F.when(few, fold(F.col("keys"))).otherwise(own)
+
+
+def _differing(p: str, q: str) -> str:
+    """Bits in which two sketches differ, as far as both have them."""
+    fold = lambda x: f"({x}.b0 ^ coalesce({x}.b1, 0))"
+    return f"if({p}.b1 is null or {q}.b1 is null, bit_count({fold(p)} ^ {fold(q)}), bit_count({p}.b0 ^ {q}.b0) + bit_count({p}.b1 ^ {q}.b1))"
 
 
 def _needed(a: str, b: str) -> str:
@@ -102,16 +128,17 @@ def _candidate(later: str, earlier: str) -> str:
         f" and 100 * least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m})"
         f" and least({n} - {p}.i, {m} - {q}.i) >= {need}"
         f" and if({n} <= {m}, {p}.i <= {n} - {_needed(n, n)}, {q}.i <= {m} - {_needed(m, m)})"
-        f" and bit_count({p}.b0 ^ {q}.b0) + bit_count({p}.b1 ^ {q}.b1) <= {n} + {m} - 2 * {need}"
+        f" and {_differing(p, q)} <= {n} + {m} - 2 * {need}"
     )
 
 
 _PAIR = ("p.doc_id", "p.pos", "q.doc_id as doc_id2", "q.pos as pos2")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, weight: str = "1") -> DataFrame:
+    """df, to be broadcast if its rows weigh little."""
+    few = df.limit(BROADCAST_ROWS + 1).agg(F.coalesce(F.sum(F.expr(weight)), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if few <= BROADCAST_ROWS else df
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -122,7 +149,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     near = docs.select("doc_id", "text")
     near = near.join(ids, _id(near) == F.col(f"{P}id"), "left_semi")
     held = lines(near).join(_small(wanted), ["doc_id", "pos"], "left_semi").dropDuplicates(["doc_id", "pos"])
-    held = saved(held.select("doc_id", "pos", F.array_distinct(F.transform(F.array_remove(_words(F.col("line")), ""), lambda w: F.xxhash64(w))).alias("w")), "candidate-lines")
+    held = saved(held.select("doc_id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("w")), "candidate-lines")
     other = held.select(F.col("doc_id").alias("doc_id2"), F.col("pos").alias("pos2"), F.col("w").alias("w2"))
     both = pairs.join(held, ["doc_id", "pos"]).join(other, ["doc_id2", "pos2"]).withColumn("shared", F.size(F.array_intersect("w", "w2")))
     return saved(both.where(100 * F.col("shared") >= SIMILARITY * (F.size("w") + F.size("w2") - F.col("shared"))).select("doc_id", "pos").distinct(), "gone")
@@ -139,10 +166,12 @@ def line_flags(docs: DataFrame) -> DataFrame:
     forget(whole)
 
     leads = first.select("doc_id", "pos", "n", "b0", "b1", F.posexplode(F.slice("prefix", 1, LEADS)).alias("i", "key"))
-    by_key = Window.partitionBy("key").orderBy("doc_id", "pos")
     own = F.struct("doc_id", "pos", "n", "b0", "b1", "i")
-    before = F.array_append(F.collect_list(own).over(by_key.rowsBetween(-LAST, -1)), F.first(own).over(by_key))
-    tried = leads.select(own.alias("p"), before.alias("before")).select("p", F.explode("before").alias("q"))
+    # Every key has an order of its own, so that a line has other neighbours under each.
+    around = Window.partitionBy("key").orderBy(F.xxhash64("key", "doc_id", "pos"), "doc_id", "pos")
+    near = [F.lag(own, k).over(around) for k in range(1, NEAR + 1)]
+    tried = leads.select(own.alias("p"), F.array(*near, F.min(own).over(Window.partitionBy("key"))).alias("near")).select("p", F.explode("near").alias("q")).where("q is not null")
+    tried = tried.select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q"))
     settled = verified(docs, tried.where(_candidate("p", "q")).selectExpr(*_PAIR).distinct())
 
     flagged = first.join(_small(settled.withColumn("settled", F.lit(True))), ["doc_id", "pos"], "left").withColumn("open", F.col("settled").isNull())
@@ -161,10 +190,10 @@ def line_flags(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without later similar lines, with two more columns of the internal prefix: lines that there were, and that went."""
     flags = saved(line_flags(docs), "line-flags").select(F.col("doc_id").alias(f"{P}id"), F.col("gone").alias(f"{P}gone"))
-    at = docs.join(_small(flags), _id(docs) == F.col(f"{P}id"), "left")
+    at = docs.join(_small(flags, f"1 + size({P}gone) / 16"), _id(docs) == F.col(f"{P}id"), "left")
     parts = F.split(F.col("text").cast("string"), "\n")
-    gone = F.col(f"{P}gone")
-    kept = F.when(gone.isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    went = F.size(F.filter(parts, lambda x, i: F.array_contains(gone, i)))
-    counts = [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(f"{P}lines"), F.when(gone.isNull(), F.lit(0)).otherwise(F.coalesce(went, F.lit(0))).cast("long").alias(f"{P}went")]
-    return at.select(*[F.col(c) for c in docs.columns if c != "text"], kept.alias("text"), *counts).select(*docs.columns, f"{P}lines", f"{P}went")
+    rows = at.withColumn(f"{P}parts", parts).withColumn(f"{P}lines", F.coalesce(F.size(f"{P}parts"), F.lit(0)).cast("long"))
+    stay = F.when(F.col(f"{P}gone").isNotNull() & F.col("text").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(f"{P}parts") - 1), f"{P}gone"))
+    rows = rows.withColumn(f"{P}stay", stay).withColumn(f"{P}went", F.coalesce(F.col(f"{P}lines") - F.size(f"{P}stay"), F.lit(0)).cast("long"))
+    kept = F.when(F.col(f"{P}stay").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.transform(f"{P}stay", lambda i: F.get(f"{P}parts", i)), "\n"))
+    return rows.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns], f"{P}lines", f"{P}went")
