@@ -21,21 +21,23 @@ def literal(text: str) -> Value:
     if "'" not in clean:
         return int(clean) if int(clean) <= _HIGH else "Overflow"
     size, rest = clean.split("'", 1)
-    if rest[0] == "s":
-        return "Unsupported"
-    base, digits = _BASE[rest[0]], rest[1:]
+    signed = rest[0] == "s"
+    base, digits = _BASE[rest[signed]], rest[1 + signed :]
     if re.search("[xz?]", digits):
         return "NonConstant"
-    width = int(size) if size else 32
-    if width > 64:
-        return "Overflow"
+    if signed or not digits:
+        return "Unsupported"
     try:
         value = int(digits, base)
     except ValueError:
-        return "Unsupported"
+        return "Overflow"
     if value >> 128:
         return "Overflow"
-    value &= (1 << width) - 1
+    if not size:
+        return value if value <= _HIGH else "Overflow"
+    if int(size) > 64:
+        return "Overflow"
+    value &= (1 << int(size)) - 1
     return value - (1 << 64) if value > _HIGH else value
 
 

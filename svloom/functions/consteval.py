@@ -73,25 +73,35 @@ def decimal_literal(text: Column) -> Column:
 
 
 def based_literal(text: Column) -> Column:
-    """[size]'[s]{b,o,d,h}digits, cut to its size; 64 bits with the top one set are negative.
+    """[size]'[s]{b,o,d,h}digits of 128 bits at most, cut to its size; 64 bits with the top one set are negative.
 
-    Signed forms are Unsupported, unknown digits (x, z, ?) NonConstant, sizes over 64 Overflow.
+    Unknown digits (x, z, ?) are NonConstant, signed forms Unsupported; sizes over 64, digits that the base
+    lacks and forms without a size that exceed 63 bits Overflow.
     """
     clean = F.lower(F.replace(text, F.lit("_"), F.lit("")))
     shape = r"^\s*([0-9]*)\s*'\s*(s?)([bodh])\s*([0-9a-fxz?]+)$"
     part = lambda i: F.regexp_extract(clean, shape, i)
     base = F.when(part(3) == "b", 2).when(part(3) == "o", 8).when(part(3) == "d", 10).otherwise(16)
-    size = F.coalesce(part(1).try_cast("int"), F.lit(32))
-    big = F.call_function("conv", part(4), base, F.lit(10)).try_cast("decimal(20,0)")
-    digits = F.length(F.regexp_replace(part(4), "^0+", ""))
-    too_long = digits > F.when(base == 2, 64).when(base == 8, 22).when(base == 10, 20).otherwise(16)
-    cut = F.when(size < 64, big % F.pow(F.lit(2.0), size).cast("decimal(20,0)")).otherwise(big)
-    signed = F.when(cut >= F.lit("9223372036854775808").cast("decimal(20,0)"), cut - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(cut).cast("long")
+    size = part(1).try_cast("int")
+    digits = F.regexp_replace(part(4), "^0+(?=.)", "")
+    n, wide = F.length(digits), lambda c: c.try_cast("decimal(20,0)")
+    foreign = digits.rlike(r"[^01]") & (base == 2) | digits.rlike("[^0-7]") & (base == 8) | digits.rlike("[^0-9]") & (base == 10)
+    most = F.lit(str((1 << 128) - 1))
+    over_128 = F.when(base == 2, n > 128).when(base == 16, n > 32).when(base == 8, (n > 43) | (n == 43) & (F.substring(digits, 1, 1) > "3")).otherwise((n > 39) | (n == 39) & (digits > most))
+    turn = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    conv = lambda t, b: wide(F.call_function("conv", t, F.lit(b), F.lit(10)))
+    # The low 64 bits: the last digits of a power of two, the remainder of a decimal number without its last digit.
+    octal = conv(F.right(digits, F.lit(21)), 8) + F.when(n > 21, (F.substring(digits, -22, 1).try_cast("int") % 2) * F.lit(str(1 << 63)).cast("decimal(20,0)")).otherwise(F.lit(0))
+    tens = F.when(n == 39, (wide(F.substring(digits, 1, 38).try_cast("decimal(38,0)") % turn) * 10 + F.right(digits, F.lit(1)).try_cast("int")) % turn).otherwise(digits.try_cast("decimal(38,0)") % turn)
+    low = F.when(base == 2, conv(F.right(digits, F.lit(64)), 2)).when(base == 16, conv(F.right(digits, F.lit(16)), 16)).when(base == 8, octal).otherwise(tens).cast("decimal(20,0)")
+    high = F.when(base == 2, n > 63).when(base == 16, (n > 16) | (n == 16) & (F.substring(digits, 1, 1) > "7")).when(base == 8, n > 21).otherwise((n > 19) | (n == 19) & (digits > str((1 << 63) - 1)))
+    cut = F.when(size < 64, low % F.pow(F.lit(2.0), size).cast("decimal(20,0)")).otherwise(low)
+    signed = F.when(cut >= F.lit(str(1 << 63)).cast("decimal(20,0)"), cut - turn).otherwise(cut).cast("long")
     err = (
         F.when(~clean.rlike(shape), F.lit(UNSUPPORTED))
-        .when(part(2) == "s", F.lit(UNSUPPORTED))
         .when(part(4).rlike("[xz?]"), F.lit(NON_CONSTANT))
-        .when((size > 64) | too_long, F.lit(OVERFLOW))
+        .when(part(2) == "s", F.lit(UNSUPPORTED))
+        .when(foreign | over_128 | (size > 64) | size.isNull() & high, F.lit(OVERFLOW))
     )
     return result(F.when(err.isNull(), F.when(size == 0, F.lit(0)).otherwise(signed)), err)
 
