@@ -1,8 +1,8 @@
 """Encoding with public tokenizer files on the executors.
 
-TreeEncoder encodes as the library does, byte-level BPE: a text with a very long unsplit
-piece (one pre-token, as a run of letters without white space) has that piece encoded by
-tree concatenation; everything else goes to the library whole. ChunkEncoder encodes with
+TreeEncoder encodes as the library does, byte-level BPE, and long texts by tree concatenation: a text is
+halved, unsplit, until a leaf is short, the leaves are encoded side by side, and at each join a window of the
+text on both sides is encoded again, a wider one until it agrees with both. ChunkEncoder encodes with
 tokenizers that drop white space, each distinct pre-token or chunk between white space once.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from svloom.llm.common import bounded_batches, trim, whole_text
 
-#: A piece of more characters than this is encoded as a tree.
-LONG_PIECE = 4096
+#: A text of more characters than this is encoded as a tree.
+LONG_TEXT = 4096
 #: Leaves of a tree, in characters.
 LEAF = 2048
 #: Tokens on either side of a join that are encoded again at first.
@@ -42,22 +42,26 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class TreeEncoder:
-    def __init__(self, path: str, long_piece: int = LONG_PIECE, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF, window: int = WINDOW):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.long_piece, self.leaf, self.window = long_piece, leaf, window
+        self.long_text, self.leaf, self.window = long_text, leaf, window
+        self.joins = 0  # made so far
         added = self.tok.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         alphabet = _byte_of_char()
         self.bytes_of = [b""] * self.tok.get_vocab_size(with_added_tokens=True)
         for piece, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.bytes_of[i] = piece.encode() if i in added else bytes(alphabet[c] for c in piece)
-        # A run that the pre-tokenizer may keep whole holds no change between space and other characters.
-        self._long = re.compile(r"\S{%d,}|\s{%d,}" % (long_piece + 1, long_piece + 1))
+        # White space behind another character parts pre-tokens, whatever stands around: no match of the pattern
+        # holds the one after the other, and none looks back. Texts without such places for long have _long pieces.
+        self._long = re.compile(r"[^ \t\n\r]{%d,}|\s{%d,}" % (leaf + 1, leaf + 1))
+        self._opens = [b[:1] in (b" ", b"\t", b"\n", b"\r") for b in self.bytes_of]
+        self._closes = [0x21 <= b[-1] <= 0x7E if b else False for b in self.bytes_of]
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
@@ -65,30 +69,71 @@ class TreeEncoder:
 
     def encode_all(self, texts: Sequence[str]) -> list[list[int]]:
         """The ids of each text, as the library's."""
-        plain = [i for i, t in enumerate(texts) if len(t) <= self.long_piece or not self._long.search(t)]
+        plain = [i for i, t in enumerate(texts) if len(t) <= self.long_text]
         out: list[list[int]] = [[]] * len(texts)
         for i, ids in zip(plain, self._library([texts[i] for i in plain]), strict=True):
             out[i] = ids
+        parts: list[tuple[int, str]] = []  # of long texts, between special tokens
         for i in sorted({*range(len(texts))} - {*plain}):
-            out[i] = self._with_trees(texts[i])
+            out[i] = []
+            parts += [(i, p) for p in (self._split.split(texts[i]) if self._split else [texts[i]]) if p]
+        trees = [p for _, p in parts if p not in self.special and not self._long.search(p)]
+        made = iter(self._trees(trees))
+        for i, p in parts:
+            out[i] += [self.special[p]] if p in self.special else self._by_pieces(p) if self._long.search(p) else next(made)
         return out
 
-    def _with_trees(self, text: str) -> list[int]:
-        """Pre-tokens are independent, so each is encoded by itself, the long ones as trees."""
-        out: list[int] = []
-        for part in self._split.split(text) if self._split else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            pieces = [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
-            short = [i for i, p in enumerate(pieces) if len(p) <= self.long_piece]
-            ids = dict(zip(short, self._library([pieces[i] for i in short]), strict=True))
-            for i, p in enumerate(pieces):
-                out += ids[i] if i in ids else self.tree(p)
+    def _trees(self, texts: Sequence[str]) -> list[list[int]]:
+        """Texts of short pieces, all of them level by level, so that the library gets many leaves and windows at once."""
+        cuts = [range(0, len(t), self.leaf) for t in texts]
+        leaves = iter(self._library([t[i : i + self.leaf] for t, own in zip(texts, cuts, strict=True) for i in own]))
+        rows = [[next(leaves) for _ in own] for own in cuts]
+        while any(len(r) > 1 for r in rows):
+            pairs = [(r[k], r[k + 1]) for r in rows for k in range(0, len(r) - 1, 2)]
+            joined = iter(self._joined(pairs))
+            rows = [[next(joined) if k + 1 < len(r) else r[k] for k in range(0, len(r), 2)] for r in rows]
+        return [r[0] for r in rows]
+
+    def _joined(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The ids of neighbours as one.
+
+        A window begins where white space follows another character on the left side, and ends before such a
+        place on the right; what lies outside is then as it would be in the whole text.
+        """
+        out: list[list[int]] = [[]] * len(pairs)
+        left, k = list(range(len(pairs))), self.window
+        while left:
+            self.joins += len(left)
+            edges = [self._edges(*pairs[p], k) for p in left]
+            windows = self._library([b"".join([self.bytes_of[x] for x in (*pairs[p][0][i:], *pairs[p][1][:j])]).decode() for p, (i, j) in zip(left, edges, strict=True)])
+            again = []
+            for p, (i, j), ids in zip(left, edges, windows, strict=True):
+                a, b = pairs[p]
+                if (i == 0 or ids[0] == a[i]) and (j == len(b) or ids[-1] == b[j - 1]):
+                    out[p] = [*a[:i], *ids, *b[j:]]
+                else:
+                    again.append(p)
+            left, k = again, 2 * k
         return out
 
+    def _edges(self, a: list[int], b: list[int], k: int) -> tuple[int, int]:
+        """Where a window of k tokens or more on either side of a join begins and ends."""
+        i, j = max(0, len(a) - k), min(len(b), k)
+        while i and not (self._opens[a[i]] and self._closes[a[i - 1]]):
+            i -= 1
+        while j < len(b) and not (self._opens[b[j]] and self._closes[b[j - 1]]):
+            j += 1
+        return i, j
+
+    def _by_pieces(self, text: str) -> list[int]:
+        """Pre-tokens are independent, so each is encoded by itself, the long ones as trees."""
+        pieces = [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        short = [i for i, p in enumerate(pieces) if len(p) <= self.leaf]
+        ids = dict(zip(short, self._library([pieces[i] for i in short]), strict=True))
+        return [x for i, p in enumerate(pieces) for x in (ids[i] if i in ids else self.tree(p))]
+
     def tree(self, piece: str) -> list[int]:
-        """One pre-token, by tree concatenation."""
+        """One pre-token, by tree concatenation; its joins are anywhere in it."""
         leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
         with ThreadPoolExecutor(2) as pool:
             parts = list(pool.map(lambda x: self._library([x])[0], leaves))
@@ -118,6 +163,7 @@ class TreeEncoder:
         """
         k = self.window
         while True:
+            self.joins += 1
             i, j, text = self._whole_chars(left, right, k)
             ids = self._library([text])[0]
             if (i == 0 or ids[0] == left[i]) and (j == len(right) or ids[-1] == right[j - 1]):

@@ -363,13 +363,24 @@ def word_bpe():
 
 def test_tree_encoding(byte_bpe):
     rng = random.Random(1)
-    enc = tokenizing.TreeEncoder(tokenizer("byte_bpe_50k.json"), long_piece=50, leaf=20, window=2)
+    enc = tokenizing.TreeEncoder(tokenizer("byte_bpe_50k.json"), long_text=50, leaf=20, window=2)
     parts = ["the", "ing", "é", "x", "1", "$", " ", "  ", "\n", "<|endoftext|>", "中", "'s", "ation", "===", "\t", "\U0001f600"]
     for _ in range(400):
         t = "".join(rng.choice(parts) * rng.choice([1, 1, 30]) for _ in range(rng.randint(0, 30))) + "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(0, 300)))
         ids = enc.encode_all([t])[0]
         assert ids == byte_bpe.encode(t, add_special_tokens=False).ids
         assert enc.decode(ids).decode() == byte_bpe.decode(ids, skip_special_tokens=False) == t
+    assert enc.joins > 1000
+
+
+def test_long_texts_are_trees(byte_bpe):
+    rng = random.Random(7)
+    enc = tokenizing.TreeEncoder(tokenizer("byte_bpe_50k.json"))
+    words = ["the", "ation", "don't", "x1", "!'s", "'ll", "é", "中文", "\u2003", "\x1c", "\u00a0y", "12", "_", "...", "\n", "\t\t", "  ", "a\u0301"]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (10, 900, 3000, 20_000, 40_000)] + ["".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(9000))]
+    texts += [texts[2] + "<|endoftext|>" + texts[3], "x" * 5000 + texts[2], " " * 5000 + texts[2]]
+    assert enc.encode_all(texts) == [byte_bpe.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc.joins >= sum(len(t) // tokenizing.LEAF for t in texts if len(t) > tokenizing.LONG_TEXT) / 2
 
 
 def test_very_long_unsplit_text(byte_bpe):
