@@ -5,12 +5,13 @@ frequency is counted over all documents; in every run of RUN neighbouring n-gram
 a seed, so any unedited stretch of RUN + SEED - 1 words of an item holds one however often the
 item leaked. Documents' seeds name (item, place); the passage around each is aligned with the
 item word by word, and a pair is reported if the alignment scores THRESHOLD of a perfect one, or
-has LONG matched words of which few are broken, and MATCHED words agree at least.
+holds a stretch with LONG matched words of which few are broken, and MATCHED words agree at least.
+An item of fewer than MATCHED words is a passage only where it stands by itself: it matches documents that
+have it as a line, word for word.
 
 Test items come in parts of PART_CHARS at most, each part with its own scans of the documents, so
-what is sent to the tasks is bounded whatever the benchmark's size. Items of fewer than MATCHED words
-can't be told from chance and match nothing. Null and empty texts match nothing; repeated rows are
-reported each.
+what is sent to the tasks is bounded whatever the benchmark's size. Null and empty texts match nothing,
+nor do items without a word; repeated rows are reported each.
 """
 
 from __future__ import annotations
@@ -39,8 +40,25 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def longest_stretch(steps: list[bool]) -> int:
+    """Matched words of the stretch of an alignment that has most of them at LONG_IDENTITY."""
+    same = np.array(steps, dtype=bool)
+    # Matches less what the identity asks, in whole numbers: a stretch is good if its sum isn't negative.
+    ups = round(1 / (1 - LONG_IDENTITY)) - 1
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -ups))])
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    matched = np.concatenate([[0], np.cumsum(same)])
+    return int((matched - matched[first]).max())
+
+
+def leaked(found: tuple[int, int, int, int, int], n: int) -> bool:
+    """Whether what align gave for an item of n words is a leak."""
+    score, same, stretch, _, _ = found
+    return same >= MATCHED and (score >= THRESHOLD * MATCH * n or stretch >= LONG)
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment of two word-id arrays: score, matches, length, begin and end in b.
+    """Best local alignment of two word-id arrays: score, matches, matches of its longest good stretch, begin and end in b.
 
     Ids of -1 agree with nothing. Linear gaps; the matrix is filled row by row, the gaps along a
     row by a running maximum.
@@ -55,18 +73,17 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
         np.maximum(row, 0, out=row)
         h[i] = np.maximum.accumulate(row + ramp) - ramp
     i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, end, matches, length = int(h[i, j]), int(j), 0, 0
+    score, end, steps = int(h[i, j]), int(j), []
     while i and j and h[i, j] > 0:
         same = a[i - 1] == b[j - 1] and a[i - 1] >= 0
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matches += bool(same)
+        if straight := h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
             i, j = i - 1, j - 1
         elif h[i, j] == h[i - 1, j] + GAP:
             i -= 1
         else:
             j -= 1
-        length += 1
-    return score, matches, length, int(j), end
+        steps.append(bool(straight and same))
+    return score, sum(steps), longest_stretch(steps), int(j), end
 
 
 class Items:
@@ -75,9 +92,12 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.number: dict[str, int] = {}
         self.ids, self.texts = [], []
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for item, text in rows:
             w = words(text or "")
-            if len(w) >= MATCHED:
+            if 0 < len(w) < MATCHED:
+                self.short[tuple(w)].append(item)
+            elif w:
                 self.ids.append(item)
                 self.texts.append(np.array([self.number.setdefault(x, len(self.number)) for x in w], dtype=np.int64))
         self.codes = np.unique(np.concatenate([self.grams(t) for t in self.texts])) if self.texts else np.zeros(0, np.int64)
@@ -142,13 +162,22 @@ class Items:
                         if len(memo) > 20_000:
                             memo.clear()
                         memo[key] = align(self.texts[k], piece)
-                    score, same, length, i, j = memo[key]
-                    hit = same >= MATCHED and (score >= THRESHOLD * MATCH * n or same >= LONG and same >= LONG_IDENTITY * length)
-                    if hit and (best is None or score > best[0]):
+                    score, same, _, i, j = memo[key]
+                    if leaked(memo[key], n) and (best is None or score > best[0]):
                         best = (score, same, c + i, c + j)
             if best:
                 out.append((self.ids[k], best[0] / (MATCH * n), best[1], n, best[2], best[3]))
-        return sorted(out)
+        return sorted([*out, *(self.alone(text) if self.short else [])], key=lambda r: (r[0] is not None, r[0] or 0))
+
+    def alone(self, text: str) -> list[tuple]:
+        """As matches, of the short items that are a line of the text."""
+        found, at = {}, 0
+        for line in text.split("\n"):
+            w = tuple(words(line))
+            for item in self.short.get(w, ()) if len(w) < MATCHED else ():
+                found.setdefault(item, (item, 1.0, len(w), len(w), at, at + len(w)))
+            at += len(w)
+        return list(found.values())
 
 
 def parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -179,7 +208,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
                         n[c] += 1
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], names=["code", "n"])
 
-        if len(items.codes):
+        if len(items.codes) or items.short:
             rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
             items.choose({r[0]: r[1] for r in rows.toLocalIterator()})
             out.append(items)

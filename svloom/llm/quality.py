@@ -4,10 +4,14 @@ The language model is a modified Kneser-Ney model over the characters of words:
 characters and its end are predicted from the four characters before (the word's start at
 first), so a word's probability depends on the word and language alone. Spark counts the
 n-grams of all documents, by blocks of text that are summed in their task first, and derives
-continuation counts, discounts and probabilities of all orders by grouping and joining. The
-model is kept as sorted arrays of n-gram hashes with log probabilities in the shared folder;
-scoring streams through them, so neither counts nor model pass through the driver or have to
-fit a task's memory.
+continuation counts, discounts and probabilities of all orders by grouping and joining (n-grams
+that begin a word keep their own counts, as nothing else can stand before them). The
+model is kept as arrays of packed n-grams, sorted by language and n-gram, with log probabilities in the shared folder.
+A worker holds the arrays of a model of HELD_GRAMS n-grams at most and looks n-grams up by binary search; of a larger
+one it reads the row groups that may hold a block's n-grams, one after the other. So neither counts nor model pass
+through the driver or have to fit a task's memory.
+
+A character beyond 2047 is two symbols, so that n-grams are packed without loss; perplexities are by symbol.
 
 The perplexity of a document is that of its words' characters. A mean over n characters scatters the
 more the shorter the text, so a log-perplexity's distance from the language's median m is divided by
@@ -49,6 +53,12 @@ SPREAD_CHARS = 10_000
 #: A block is ended by the batch that takes it over so many characters.
 BLOCK_CHARS = 3 << 20
 BEGIN, END = 2, 3
+#: A character above PLAIN is a symbol of its high bits, then one of its low bits.
+PLAIN, LOW_BITS = 2047, 11
+#: N-grams of a model (12 bytes each) that a worker holds.
+HELD_GRAMS = 4 << 20
+#: Languages whose few figures are broadcast; beyond, joins are by shuffle.
+FEW_LANGS = 10_000
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW_WORDS)], dtype=np.uint64)
 
 
@@ -105,20 +115,29 @@ class Block:
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Packed n-grams of all words, one word after the other; where each word's begin (and the end)."""
         words = [w.decode() for w in self.number]
-        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1  # with the end
         pad = ORDER - 1
-        at = np.cumsum(lens + pad) - lens  # of each word's first character
+        # Words' bounds are told from white space in a word by their places.
         cp = np.frombuffer("".join(chr(BEGIN) * pad + w + chr(END) for w in words).encode("utf-32-le"), dtype=np.uint32)
-        spots = np.repeat(at - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(int(lens.sum()))
-        own = np.ones(len(spots), bool)
-        own[np.cumsum(lens) - 1] = False
-        real = spots[own]
-        cp = np.where(cp < 2048, cp, 2048 + cp % 2048).astype(np.uint16)
-        cp[real[cp[real] < 32]] = 1
+        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1 + pad
+        last = np.cumsum(lens) - 1
+        control = cp < 32
+        control[last] = False
+        for k in range(pad):
+            control[last - lens + 1 + k] = False
+        cp = np.where(control, 1, cp)
+        if (wide := cp > PLAIN).any():
+            at = np.cumsum(1 + wide) - 1  # of each character's last symbol
+            split = np.empty(int(at[-1]) + 1, np.uint32)
+            split[at] = np.where(wide, cp & PLAIN, cp)
+            split[at[wide] - 1] = PLAIN + 1 + (cp[wide] >> LOW_BITS)
+            cp, last = split, at[last]
+            lens = np.diff(last, prepend=-1)
+        n = lens - pad
+        spots = np.repeat(last - np.cumsum(n) + 1, n) + np.arange(int(n.sum()))
         code = np.zeros(len(spots), np.uint64)
         for k in range(ORDER):
             code |= cp[spots - k].astype(np.uint64) << np.uint64(CHAR_BITS * k)
-        return code.view(np.int64), np.concatenate([[0], np.cumsum(lens)])
+        return code.view(np.int64), np.concatenate([[0], np.cumsum(n)])
 
     def by_lang(self) -> Iterator[tuple[str, list[int]]]:
         found: dict[str, list[int]] = {}
@@ -157,26 +176,73 @@ class Block:
         return out
 
 
+_models: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _groups(model: str) -> Iterator[tuple[pq.ParquetFile, int]]:
+    """All row groups of a model."""
+    where, folder = fs.FileSystem.from_uri(model)
+    for info in sorted(where.get_file_info(fs.FileSelector(folder)), key=lambda x: x.path):
+        if info.path.endswith(".parquet"):
+            with where.open_input_file(info.path) as f:
+                file = pq.ParquetFile(f)
+                for g in range(file.num_row_groups):
+                    yield file, g
+
+
+def _arrays(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Language, n-grams and log probabilities of each run of a language."""
+    lang = pa.Table.from_batches([table]).column(0) if isinstance(table, pa.RecordBatch) else table.column(0)
+    lang = lang.combine_chunks().dictionary_encode()
+    names, which = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    codes, logp = table.column(1).to_numpy(), table.column(2).to_numpy()
+    cuts = np.flatnonzero(np.diff(which)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(which)], strict=True):
+        if b > a:
+            yield names[which[a]], codes[a:b], logp[a:b]
+
+
+def _held(model: str) -> dict[str, tuple[np.ndarray, np.ndarray]] | None:
+    """The sorted arrays of a model by language, if it is small enough to be held."""
+    if model not in _models:
+        _models.clear()
+        parts: dict[str, list] = {}
+        if sum(file.metadata.row_group(g).num_rows for file, g in _groups(model)) <= HELD_GRAMS:
+            for file, g in _groups(model):
+                for lang, codes, logp in _arrays(file.read_row_group(g)):
+                    parts.setdefault(lang, []).append((codes, logp))
+            held = {x: (np.concatenate([c for c, _ in own]), np.concatenate([p for _, p in own])) for x, own in parts.items()}
+            _models[model] = {x: (c[o], p[o]) for x, (c, p) in held.items() for o in [np.argsort(c, kind="stable")]}
+        else:
+            _models[model] = None
+    return _models[model]
+
+
 def lookup(model: str, langs: list[str], values: np.ndarray) -> dict[str, np.ndarray]:
-    """Log probabilities of sorted n-grams by language, read from the sorted arrays piece by piece."""
+    """Log probabilities of sorted n-grams by language; 0 for those that a language lacks."""
     out = {x: np.zeros(len(values)) for x in langs}
-    where, folder = fs.FileSystem.from_uri(model)
-    for info in where.get_file_info(fs.FileSelector(folder)):
-        if not info.path.endswith(".parquet"):
+
+    def put(lang: str, codes: np.ndarray, logp: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(codes, values), len(codes) - 1)
+        hit = np.flatnonzero(codes[at] == values)
+        out[lang][hit] = logp[at[hit]]
+
+    if (held := _held(model)) is not None:
+        for lang in langs:
+            if lang in held:
+                put(lang, *held[lang])
+        return out
+    low, high = int(values[0]), int(values[-1])
+    for file, g in _groups(model):
+        of_lang, of_code = (file.metadata.row_group(g).column(c).statistics for c in (0, 1))
+        if of_lang and of_lang.has_min_max and not any(of_lang.min <= x <= of_lang.max for x in langs):
+            continue
+        if of_lang and of_code and of_lang.has_min_max and of_code.has_min_max and of_lang.min == of_lang.max and (of_code.max < low or of_code.min > high):
             continue
-        with where.open_input_file(info.path) as f:
-            file = pq.ParquetFile(f)
-            for g in range(file.num_row_groups):
-                for b in file.iter_batches(1 << 18, row_groups=[g]):
-                    lang = b.column(0).dictionary_encode()
-                    names, which = lang.dictionary.to_pylist(), lang.indices.to_numpy()
-                    codes, logp = b.column(1).to_numpy(), b.column(2).to_numpy()
-                    at = np.searchsorted(values, codes)
-                    hit = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == codes)
-                    for k, name in enumerate(names):
-                        if name in out:
-                            own = np.flatnonzero(hit & (which == k))
-                            out[name][at[own]] = logp[own]
+        for b in file.iter_batches(1 << 18, row_groups=[g]):
+            for lang, codes, logp in _arrays(b):
+                if lang in out:
+                    put(lang, codes, logp)
     return out
 
 
@@ -211,9 +277,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
     A context has 4,096 followers at most, so the windows over contexts are small.
     """
+    few = counts.select("lang").distinct().limit(FEW_LANGS + 1).count() <= FEW_LANGS
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].select("lang", _suffix(k).alias("code")).groupBy("lang", "code").agg(F.count("*").alias("n"))
+        begins = F.shiftrightunsigned("code", CHAR_BITS * (k - 1)) == BEGIN
+        levels[k] = levels[k + 1].select("lang", _suffix(k).alias("code"), "n").groupBy("lang", "code").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).select("lang", "code", F.when(begins, F.col("all")).otherwise(F.col("kinds")).alias("n"))
     lower: DataFrame | None = None
     for k in range(1, ORDER + 1):
         rows = levels[k]
@@ -223,7 +291,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         cuts = rows.groupBy("lang").agg(*times).select("lang", *[F.expr("0.0").alias("d0")], *[cut(i).alias(f"d{i}") for i in (1, 2, 3)])
         w = Window.partitionBy("lang", "ctx")
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.join(cuts, "lang").select("lang", "code", "n", discount.alias("d"), F.shiftrightunsigned("code", CHAR_BITS).alias("ctx"))
+        rows = rows.join(F.broadcast(cuts) if few else cuts, "lang").select("lang", "code", "n", discount.alias("d"), F.shiftrightunsigned("code", CHAR_BITS).alias("ctx"))
         rows = rows.select("lang", "code", ((F.col("n") - F.col("d")) / F.sum("n").over(w)).alias("own"), (F.sum("d").over(w) / F.sum("n").over(w)).alias("rest"))
         if lower is None:
             lower = rows.select("lang", "code", (F.col("own") + F.col("rest") / (1 << CHAR_BITS)).alias("p"))
@@ -239,7 +307,8 @@ def build_model(docs: DataFrame) -> str:
     counted, model = shared_dir(spark, "gram-counts"), shared_dir(spark, "gram-model")
     count_grams(docs).write.parquet(counted)
     counts = spark.read.schema("lang string, code long, n long").parquet(counted)
-    kneser_ney(counts).sortWithinPartitions("lang", "code").write.parquet(model)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kneser_ney(counts).repartitionByRange(n, "lang", "code").sortWithinPartitions("lang", "code").write.parquet(model)
     return model
 
 
@@ -295,17 +364,17 @@ def bands(scores: DataFrame) -> DataFrame:
     rows = scores.where(~base_failed()).select(F.coalesce(F.concat(F.lit("="), P + "lang"), F.lit("")).alias(P + "key"), F.col(P + "log_perplexity").alias("x"), _spread().alias("s"))
     middle = rows.groupBy(P + "key").agg(F.percentile_approx("x", 0.5, 10000).alias("m"))
     away = F.abs(F.col("x") - F.col("m")) / F.col("s")
-    spread = rows.join(F.broadcast(middle), P + "key").groupBy(P + "key", "m").agg(F.greatest(F.percentile_approx(away, 0.5, 10000), F.lit(LEAST_SPREAD)).alias("d"))
+    few = middle.limit(FEW_LANGS + 1).count() <= FEW_LANGS
+    spread = rows.join(F.broadcast(middle) if few else middle, P + "key").groupBy(P + "key", "m").agg(F.greatest(F.percentile_approx(away, 0.5, 10000), F.lit(LEAST_SPREAD)).alias("d"))
     return spread.select(P + "key", F.col("m").alias(P + "middle"), F.col("d").alias(P + "deviation"))
 
 
-def judged(rows: DataFrame, band: list) -> DataFrame:
-    """rows of measured() with base_failed and kept under the internal prefix; band: bands' rows, one for each language."""
-    middle = F.lit(None).cast("double")
-    deviation = middle
-    for key, m, d in band:
-        own = F.col(P + "lang").isNull() if key == "" else F.col(P + "lang") == key[1:]
-        middle, deviation = F.when(own, F.lit(m)).otherwise(middle), F.when(own, F.lit(d)).otherwise(deviation)
-    away = (F.col(P + "log_perplexity") - middle) / (deviation * _spread())
+def judged(rows: DataFrame, band: DataFrame) -> DataFrame:
+    """rows of measured() with base_failed and kept under the internal prefix; band: what bands gives."""
+    few = band.limit(FEW_LANGS + 1).count() <= FEW_LANGS
+    key = F.coalesce(F.concat(F.lit("="), P + "lang"), F.lit(""))
+    found = rows.withColumn(P + "key", key).join(F.broadcast(band) if few else band, P + "key", "left")
+    away = (F.col(P + "log_perplexity") - F.col(P + "middle")) / (F.col(P + "deviation") * _spread())
     inside = F.coalesce(away.between(-LOWER, UPPER), F.lit(False))
-    return rows.withColumn(P + "base_failed", base_failed()).withColumn(P + "kept", ~F.col(P + "base_failed") & inside)
+    marked = found.withColumn(P + "base_failed", base_failed()).withColumn(P + "kept", ~F.col(P + "base_failed") & inside)
+    return marked.select(*rows.columns, P + "base_failed", P + "kept")

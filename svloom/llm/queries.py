@@ -32,7 +32,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     rows = saved(quality.measured(docs, quality.build_model(docs)).drop("text", "lang"), "quality")
-    named = quality.judged(rows, quality.bands(rows).collect())
+    named = quality.judged(rows, saved(quality.bands(rows), "bands"))
     columns = [x.split()[0] for x in quality.MEASURES.split(", ")]
     return named.select("doc_id", *[F.col(P + c).alias(c) for c in [*columns[:5], "base_failed", "kept", columns[5]]])
 

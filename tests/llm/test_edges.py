@@ -34,7 +34,7 @@ def run_all(spark, docs):
     out = {}
     out["shard"] = sharding.shard(docs, 3)
     rows = quality.measured(docs, quality.build_model(docs))
-    out["quality"] = quality.judged(rows, quality.bands(rows).collect())
+    out["quality"] = quality.judged(rows, quality.bands(rows))
     out["simhash"] = simhash.near_duplicates(docs)
     out["lines"] = line_dedup.dedup(docs)
     out["substrings"] = substring_dedup.digests(docs)

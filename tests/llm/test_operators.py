@@ -69,10 +69,10 @@ def test_shards(spark):
 def brute_scores(rows):
     """Modified Kneser-Ney by dictionaries."""
     grams = defaultdict(Counter)
-    code = lambda c: min(ord(c), 2048 + ord(c) % 2048) if ord(c) < 2048 else 2048 + ord(c) % 2048
+    code = lambda c: [max(ord(c), 1)] if ord(c) < 2048 else [2048 + (ord(c) >> 11), ord(c) & 2047]
 
     def of(word):
-        s = [2] * 4 + [code(c) for c in word] + [3]
+        s = [2] * 4 + [x for c in word for x in code(c)] + [3]
         return [tuple(s[i : i + 5]) for i in range(len(s) - 4)]
 
     for _, text, lang in rows:
@@ -82,7 +82,9 @@ def brute_scores(rows):
     for lang, top in grams.items():
         levels = {5: top}
         for k in (4, 3, 2, 1):
-            levels[k] = Counter(g[1:] for g in levels[k + 1])
+            levels[k] = Counter()
+            for g, v in levels[k + 1].items():
+                levels[k][g[1:]] += v if g[1] == 2 else 1
         below = None
         for k in range(1, 6):
             c = levels[k]
@@ -132,7 +134,7 @@ def test_band_rejects_planted_junk(spark):
     junk |= {2000 + i: " | ".join(text(rng.randint(60, 900))) for i in range(20)}
     docs = frame(spark, [(i, t, "en") for i, t in (clean | junk).items()])
     rows = quality.measured(docs, quality.build_model(docs))
-    kept = {r["doc_id"] for r in quality.judged(rows, quality.bands(rows).collect()).where(f"{P}kept").collect()}
+    kept = {r["doc_id"] for r in quality.judged(rows, quality.bands(rows)).where(f"{P}kept").collect()}
     assert not kept & junk.keys()
     assert len(kept) >= 0.95 * len(clean)
 
@@ -152,12 +154,33 @@ def test_alignment():
     rng = random.Random(4)
     for _ in range(300):
         a, b = (np.array([rng.randint(0, 4) for _ in range(rng.randint(1, 15))]) for _ in range(2))
-        score, same, length, begin, end = decontamination.align(a, b)
+        score, same, stretch, begin, end = decontamination.align(a, b)
         assert score == brute_align(a, b)
-        assert same <= length
+        assert stretch <= same
         assert begin <= end
 
 
+def test_longest_stretch():
+    rng = random.Random(5)
+    for _ in range(500):
+        steps = [rng.random() < rng.choice([0.5, 0.8, 0.95]) for _ in range(rng.randint(0, 40))]
+        best = max((sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1) if 5 * sum(steps[i:j]) >= 4 * (j - i)), default=0)
+        assert decontamination.longest_stretch(steps) == best
+
+
+def test_exact_stretch_within_a_poor_alignment(spark):
+    words = [f"w{i}" for i in range(200)]
+    text = " ".join([*words[:30], *[f"x{i}" for i in range(40)], *words[70:95]])
+    found = decontamination.leaks(spark.createDataFrame([(1, text), (2, " ".join(words[:10]))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"))
+    assert [r["doc_id"] for r in found.collect()] == [1]
+
+
+def test_short_items_match_lines(spark):
+    docs = spark.createDataFrame([(1, "so\nWhat is it?\nend"), (2, "and what is it then"), (3, None), (4, "what is it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "What is it?"), (8, ""), (9, "!!")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["begin"], r["end"]) for r in decontamination.leaks(docs, items).collect()) == [(1, 7, 1, 4), (4, 7, 0, 3)]
+
+
 def test_leaks(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
