@@ -16,8 +16,8 @@ from svloom.llm.queries import tokenizer
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    rows = quality.measured(docs, quality.build_model(docs))
-    return quality.judged(rows, quality.bands(rows).collect()).where(f"{P}kept").select(*docs.columns)
+    rows = saved(quality.measured(docs, quality.build_model(docs)), "measured")
+    return quality.judged(rows, saved(quality.bands(rows), "bands")).where(f"{P}kept").select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
