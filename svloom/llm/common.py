@@ -39,7 +39,7 @@ def whole_text(name: str = "text") -> Column:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in spark.checkpoint.dir; only where that is unset (tests in one JVM) a
+    It lies in spark.checkpoint.dir; only where that is unset and all runs in one process (tests) a
     temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +47,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             base = jvm_dir.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="svloom-")
             spark.sparkContext.setCheckpointDir(base)
@@ -92,14 +94,15 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def key_bounds(df: DataFrame, key: str, parts: int) -> np.ndarray:
-    """At most parts - 1 ascending bounds that cut the key's rows into like parts.
+def key_bounds(df: DataFrame, key: str, parts: int, distinct: bool = True) -> np.ndarray:
+    """At most parts - 1 ascending bounds that cut the key's rows into like parts; a key of many rows recurs unless distinct.
 
     Reads the key column alone; what reaches the driver is bounded by parts.
     """
     cuts = [i / parts for i in range(1, parts)]
     got = df.agg(F.percentile_approx(F.col(key).cast("long"), cuts, 10 * parts).alias("b")).first()["b"] if cuts else None
-    return np.unique(np.asarray(got or [], dtype=np.int64))
+    found = np.asarray(got or [], dtype=np.int64)
+    return np.unique(found) if distinct else found
 
 
 def part_count(spark: SparkSession, least: int = 32, most: int = 4096) -> int:

@@ -73,8 +73,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_dir(spark, "token-ids")
-    files = token_files.write_ids(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), 1, root)
-    return token_files.read_digests(spark, root, files)
+    parts = token_files.write_ids(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), 1, root)
+    return token_files.read_digests(spark, root, parts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

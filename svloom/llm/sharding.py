@@ -1,7 +1,7 @@
 """Sharding by a Feistel permutation of global row numbers.
 
-Rows are numbered from 0 in the order of their key (ties by the other order columns;
-rows equal in all of them are interchangeable). A keyed Feistel network with cycle walking
+Rows are numbered from 0 in the order of their key (ties by the other order columns, of a key
+with very many rows by a hash of them first, so that they spread; rows equal in all of them are interchangeable). A keyed Feistel network with cycle walking
 permutes the numbers; of the permuted number q, q mod n is the shard and q div n the slot.
 So shard sizes in rows differ by one at most, slots have no gaps, and both can be computed
 from a row number, a count and a seed, as can the row number from shard and slot.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from svloom.llm.common import P, key_bounds, part_count
 
 ROUNDS = 8
+#: Tasks that share the rows of a key that fills parts by itself.
+SPREAD = 32
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -66,33 +68,39 @@ def numbered(df: DataFrame, key: str, ties: Sequence[str], row: str) -> tuple[Da
 
     The key's range is cut into parts at literal bounds; counts by part make the offsets
     and a window numbers each part, so nothing passes through one task and a recomputed
-    task yields the same numbers. Null keys come first.
+    task yields the same numbers. A key that fills parts by itself, as a null may, is cut by a hash of its ties.
+    Null keys come first.
     """
     spark = df.sparkSession
-    bounds = key_bounds(df, key, part_count(spark))
+    parts = part_count(spark)
+    cuts, times = np.unique(key_bounds(df, key, parts, distinct=False), return_counts=True)
+    hot = cuts[times > 1]
+    bounds = np.unique(np.concatenate([cuts, hot[hot > np.iinfo(np.int64).min] - 1])).astype(np.int64)
+    alone = np.concatenate([[True], np.isin(bounds, hot), [False]])  # parts of one key: nulls first
 
     @F.pandas_udf("int")
     def part(x: pd.Series) -> pd.Series:
         known = x.notna().to_numpy()
         at = np.zeros(len(x), dtype=np.int32)
-        at[known] = np.searchsorted(bounds, x[known].astype("int64").to_numpy(), side="left")
+        at[known] = 1 + np.searchsorted(bounds, x[known].astype("int64").to_numpy(), side="left")
         return pd.Series(at)
 
-    keyed = df.withColumn(f"{P}part", part(F.col(key).cast("long")))
-    counts = {r[f"{P}part"]: r["count"] for r in keyed.groupBy(f"{P}part").count().collect()}
-    starts, total = [0] * (len(bounds) + 1), 0
-    for i in range(len(starts)):
-        starts[i] = total
-        total += counts.get(i, 0)
-    start = np.asarray(starts, dtype=np.int64)
+    hashed = F.pmod(F.xxhash64(*ties), F.lit(SPREAD)).cast("int") if ties else F.lit(0)
+    own = F.lit(alone.tolist())[F.col(f"{P}part")]
+    keyed = df.withColumn(f"{P}part", part(F.col(key).cast("long"))).withColumn(f"{P}sub", F.when(own, hashed).otherwise(0))
+    counts = {(r[0], r[1]): r[2] for r in keyed.groupBy(f"{P}part", f"{P}sub").count().collect()}
+    starts, total = np.zeros((len(alone), SPREAD), np.int64), 0
+    for i, j in sorted(counts):
+        starts[i, j] = total
+        total += counts[i, j]
 
     @F.pandas_udf("long")
-    def offset(i: pd.Series) -> pd.Series:
-        return pd.Series(start[i.to_numpy()])
+    def offset(i: pd.Series, j: pd.Series) -> pd.Series:
+        return pd.Series(starts[i.to_numpy(), j.to_numpy()])
 
-    w = Window.partitionBy(f"{P}part").orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties])
+    w = Window.partitionBy(f"{P}part", f"{P}sub").orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties])
     local = F.row_number().over(w)
-    return keyed.withColumn(row, local).withColumn(row, F.col(row) - 1 + offset(f"{P}part")).drop(f"{P}part"), total
+    return keyed.withColumn(row, local).withColumn(row, F.col(row) - 1 + offset(f"{P}part", f"{P}sub")).drop(f"{P}part", f"{P}sub"), total
 
 
 def shard(df: DataFrame, shards: int, seed: int = 20240601, key: str = "doc_id", ties: Sequence[str] = ()) -> DataFrame:

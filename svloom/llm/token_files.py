@@ -5,9 +5,12 @@ by frequency in the file, so common ids take one byte; the byte lengths (1 to 4)
 in control bytes of four 2-bit codes each. Decoding looks up each control byte in a table of
 lengths and gathers the data bytes, all in numpy.
 
-Layout, little-endian: 8 bytes magic; 4 counts of 8 bytes (documents, ids, ranked ids, data
-bytes); doc_ids and ids by document (8 bytes each); the ids by rank (4 bytes each); control
-bytes; data bytes.
+Layout, little-endian: 8 bytes magic; 6 counts of 8 bytes (documents, ids, ranked ids, data
+bytes, documents without a doc_id, which come first, ids in earlier files of the part); doc_ids and ids by
+document (8 bytes each); the ids by rank (4 bytes each); control bytes; data bytes.
+
+The range of doc_ids is cut into parts, and a part into files; where a document's ids start among all follows
+from its file, what lies before it in its part, and the parts' totals, so no list of files is gathered.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
@@ -25,17 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svloom.llm.common import bounded_batches, key_bounds, part_count, whole_text
-from svloom.llm.tokenizing import by_chars, chunk_encoder
+from svloom.llm.tokenizing import by_chars, encoder
 
-MAGIC = b"RANKVB1\n"
+MAGIC = b"RANKVB2\n"
 #: A file is ended by the document that takes it over so many ids.
 FILE_IDS = 1 << 22
+#: Documents that go back to Spark at once.
+ROWS = 4096
 #: Lengths of four codes by control byte.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64) + 1
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file's bytes."""
+def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, nulls: int = 0, before: int = 0) -> bytes:
+    """One file's bytes; the first doc_ids, so many as nulls, stand for none."""
     values, seen = np.unique(ids, return_counts=True)
     by_rank = values[np.lexsort((values, -seen))].astype("<u4")
     rank_of = np.zeros(int(values.max()) + 1 if len(values) else 1, dtype=np.uint32)
@@ -47,16 +51,16 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     quads = quads.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
     data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) <= codes[:, None]]
-    head = np.array([len(doc_ids), len(ids), len(by_rank), len(data)], dtype="<i8")
+    head = np.array([len(doc_ids), len(ids), len(by_rank), len(data), nulls, before], dtype="<i8")
     return b"".join([MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), by_rank.tobytes(), control.astype(np.uint8).tobytes(), data.tobytes()])
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, ids by document and all ids of a file."""
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """doc_ids, ids by document and all ids of a file; how many doc_ids are none, and the ids before it in its part."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token-id file")
-    docs, n, ranked, size = (int(x) for x in np.frombuffer(data, "<i8", 4, len(MAGIC)))
-    at = len(MAGIC) + 32
+    docs, n, ranked, size, nulls, before = (int(x) for x in np.frombuffer(data, "<i8", 6, len(MAGIC)))
+    at = len(MAGIC) + 48
     doc_ids = np.frombuffer(data, "<i8", docs, at)
     counts = np.frombuffer(data, "<i8", docs, at := at + 8 * docs)
     by_rank = np.frombuffer(data, "<u4", ranked, at := at + 8 * docs)
@@ -68,17 +72,25 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(1, 4):
         more = np.flatnonzero(lengths > k)
         ranks[more] |= body[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return doc_ids, counts, by_rank[ranks] if n else ranks
+    return doc_ids, counts, by_rank[ranks] if n else ranks, nulls, before
+
 
+def _seats(spark, n: int) -> np.ndarray:
+    """For each of n parts a key that repartition(n) sends to a task of its own."""
+    rows = spark.range(40 * n).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
+    found = {r["p"]: r["k"] for r in rows}
+    return np.array([found.get(p, 40 * n + p) for p in range(n)], np.int32)
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    enc, press, tail = chunk_encoder(path), zstandard.ZstdCompressor(level=1), np.array([end], "<u2").tobytes()
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, bounds: np.ndarray, seats: np.ndarray) -> Iterator[pa.RecordBatch]:
+    enc, press = encoder(path), zstandard.ZstdCompressor(level=1)
+    tail = np.array([end], enc.width).tobytes()
     for b in batches:
         rows, texts = b.column(0), b.column(1).to_pylist()
         for part in by_chars(texts):
             ids = rows[part].cast(pa.int64())
             at = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), pa.array([press.compress(x + tail) for x in enc.encode_all(texts[part])], pa.binary())], names=["doc_id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), pa.array(seats[at]), pa.array([press.compress(x + tail) for x in enc.encode_all(texts[part])], pa.binary())], names=["doc_id", "part", "seat", "ids"])
 
 
 def _put(root: str, name: str, data: bytes) -> None:
@@ -88,82 +100,104 @@ def _put(root: str, name: str, data: bytes) -> None:
     own = f"{folder}/_{name}.{context.taskAttemptId() if context else 0}"
     with where.open_output_stream(own) as f:
         f.write(data)
-    where.move(own, f"{folder}/{name}")
+    try:
+        where.move(own, f"{folder}/{name}")
+    except OSError:  # not every file system replaces a file, as one that an earlier attempt wrote
+        where.delete_file(f"{folder}/{name}")
+        where.move(own, f"{folder}/{name}")
+
 
+def _name(part: int, seq: int) -> str:
+    return f"ids-{part:06d}-{seq:06d}.rvb"
 
-def _written(batches: Iterator[pa.RecordBatch], root: str, file_ids: int) -> Iterator[pa.RecordBatch]:
+
+def _part(name: str) -> int:
+    return int(name.rsplit("/", 1)[-1].split("-")[1])
+
+
+def _written(batches: Iterator[pa.RecordBatch], root: str, file_ids: int, width: str) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdDecompressor()
-    now, seq, held, size = None, 0, [], 0
-    done: list[tuple[str, int, int]] = []
+    now, seq, held, size, before = None, 0, [], 0, 0
+    done: list[tuple[int, int]] = []
 
     def close() -> None:
-        nonlocal held, size, seq
+        nonlocal held, size, seq, before
         if held:
             counts = np.array([len(x) for _, x in held], np.int64)
-            name = f"ids-{now:06d}-{seq:06d}.rvb"
-            _put(root, name, pack(np.array([d for d, _ in held], np.int64), counts, np.concatenate([x for _, x in held])))
-            done.append((name, len(held), int(counts.sum())))
-            held, size, seq = [], 0, seq + 1
+            nulls = sum(d is None for d, _ in held)
+            _put(root, _name(now, seq), pack(np.array([d or 0 for d, _ in held], np.int64), counts, np.concatenate([x for _, x in held]), nulls, before))
+            done.append((now, int(counts.sum())))
+            held, size, seq, before = [], 0, seq + 1, before + int(counts.sum())
 
     for b in batches:
         for doc, part, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "ids")), strict=True):
             if part != now:
                 close()
-                now, seq = part, 0
-            held.append((np.iinfo(np.int64).min if doc is None else doc, np.frombuffer(press.decompress(ids), "<u2")))
+                now, seq, before = part, 0, 0
+            held.append((doc, np.frombuffer(press.decompress(ids), width)))
             if (size := size + len(held[-1][1])) >= file_ids:
                 close()
     close()
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "n_docs", "n_ids"])
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else ([], []), (pa.int32(), pa.int64()), strict=True)], names=["part", "n_ids"])
 
 
-def write_ids(docs: DataFrame, path: str, end: int, root: str, file_ids: int = FILE_IDS) -> list[tuple[str, int, int]]:
+def write_ids(docs: DataFrame, path: str, end: int, root: str, file_ids: int = FILE_IDS) -> dict[int, int]:
     """Writes all documents' ids, each ended by the id end, to files in the folder root.
 
-    Returns (name, documents, ids) of each file in order; there are as many as ids / file_ids and
-    parts of the range, so the list stays short. A null text is an empty one: it has the end id
-    only. Documents of equal doc_id are ordered by their ids; a null doc_id comes first and is
-    stored as the least integer. Other columns are left out.
+    Returns the ids of each part of the range; there are 4,096 parts at most. A null text is an empty one: it has
+    the end id only. Documents of equal doc_id are ordered by their ids; null doc_ids come first. Other columns
+    are left out.
     """
     spark = docs.sparkSession
     where, folder = fs.FileSystem.from_uri(root)
     where.create_dir(folder, recursive=True)
     n = part_count(spark)
-    bounds = key_bounds(docs, "doc_id", n)
-    rows = bounded_batches(docs).select("doc_id", whole_text().alias("text")).mapInArrow(lambda it: _encoded(it, path, end, bounds), "doc_id long, part int, ids binary")
-    ordered = rows.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    files = ordered.mapInArrow(lambda it: _written(it, root, file_ids), "file string, n_docs long, n_ids long")
-    return sorted(tuple(r) for r in files.collect())
+    bounds, seats, width = key_bounds(docs, "doc_id", n), _seats(spark, n), encoder(path).width
+    rows = bounded_batches(docs).select("doc_id", whole_text().alias("text")).mapInArrow(lambda it: _encoded(it, path, end, bounds, seats), "doc_id long, part int, seat int, ids binary")
+    ordered = rows.repartition(n, "seat").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    files = ordered.mapInArrow(lambda it: _written(it, root, file_ids, width), "part int, n_ids long")
+    return {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+
+
+def _doc_ids(doc_ids: np.ndarray, nulls: int) -> pa.Array:
+    return pa.array(doc_ids, pa.int64(), mask=np.arange(len(doc_ids)) < nulls)
+
+
+def _files(spark, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.rvb").load(root).select("path", "content")
 
 
 def read_ids(spark, root: str) -> DataFrame:
     """file, doc_id, at (place of the document in its file), ids: the files' documents, read back."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, data in zip(f["path"], f["content"], strict=True):
-                doc_ids, counts, ids = unpack(data)
-                ends = np.cumsum(counts)
-                yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "doc_id": doc_ids, "at": np.arange(len(doc_ids)), "ids": [ids[e - c : e].astype(np.int32) for e, c in zip(ends, counts, strict=True)]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                doc_ids, counts, ids, nulls, _ = unpack(data.as_py())
+                cuts = np.concatenate([[0], np.cumsum(counts)])
+                for i in range(0, len(doc_ids), ROWS):
+                    j = min(i + ROWS, len(doc_ids))
+                    own = pa.ListArray.from_arrays(pa.array((cuts[i : j + 1] - cuts[i]).astype(np.int32)), pa.array(ids[cuts[i] : cuts[j]].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * (j - i)), _doc_ids(doc_ids[i:j], max(0, nulls - i)), pa.array(np.arange(i, j)), own], names=["file", "doc_id", "at", "ids"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.rvb").load(root).select("path", "content").mapInPandas(work, "file string, doc_id long, at long, ids array<int>")
+    return _files(spark, root).mapInArrow(work, "file string, doc_id long, at long, ids array<int>")
 
 
-def read_digests(spark, root: str, files: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
+def read_digests(spark, root: str, parts: dict[int, int]) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files; parts: what write_ids gave."""
     begins, total = {}, 0
-    for name, _, n in files:
-        begins[name] = total
-        total += n
+    for part in sorted(parts):
+        begins[part] = total
+        total += parts[part]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                doc_ids, counts, ids = unpack(data.as_py())
+                doc_ids, counts, ids, nulls, before = unpack(data.as_py())
                 ends = np.cumsum(counts)
                 crcs = [zlib.crc32(ids[e - c : e].astype("<u4")) for e, c in zip(ends, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(ends - counts + begins[name.rsplit("/", 1)[-1]]), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([_doc_ids(doc_ids, nulls), pa.array(ends - counts + before + begins[_part(name)]), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    if not files:
+    if not parts:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.rvb").load(root).select("path", "content").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _files(spark, root).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -9,6 +9,7 @@ tokenizers that drop white space, each distinct pre-token or chunk between white
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -183,21 +184,74 @@ class TreeEncoder:
 class _Pieces(dict):
     """Ids of pre-tokens, as bytes; a missing one is encoded by the library's model."""
 
-    def __init__(self, model):
+    def __init__(self, model, width: str):
         super().__init__()
-        self.tokenize = model.tokenize
+        self.tokenize, self.width = model.tokenize, width
         self.alphabet = {b: c for c, b in _byte_of_char().items()}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         level = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-        self[piece] = ids = np.array([t.id for t in self.tokenize(level)], dtype="<u2").tobytes()
+        self[piece] = ids = np.array([t.id for t in self.tokenize(level)], dtype=self.width).tobytes()
         return ids
 
 
-class ChunkEncoder:
-    """For tokenizers that lower-case, drop white space and cut words as word_bpe_49k.json does.
+#: The components of a tokenizer that ChunkEncoder's own rules stand for, as its file names them.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+@lru_cache(8)
+def drops_space(path: str) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and cuts words as _RULES say; any other one goes to its library whole."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    # Added tokens that are normalised, stripped or whole words would be found in other places.
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"])
+    model = made["model"]
+    same = model.get("type", "BPE") == "BPE" and not model.get("dropout") and model.get("continuing_subword_prefix") is None
+    return plain and same and all(made[k] == v for k, v in _RULES.items())
+
+
+class LibraryEncoder:
+    """Any tokenizer: a .json file by tokenizers, another by sentencepiece."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            self.tok = Tokenizer.from_file(path)
+            self.tok.no_truncation()
+            self.tok.no_padding()
+            size = self.tok.get_vocab_size(with_added_tokens=True)
+            self._ids = lambda texts: [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            import sentencepiece
+
+            self.tok = sentencepiece.SentencePieceProcessor(model_file=path)
+            size = self.tok.vocab_size()
+            self._ids = lambda texts: self.tok.encode(texts, num_threads=1)
+        self.width = "<u2" if size <= 1 << 16 else "<u4"
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of the encoder's width."""
+        return [np.asarray(x, dtype=self.width).tobytes() for x in self._ids(list(texts))] if texts else []
+
+
+class ChunkEncoder(LibraryEncoder):
+    """For tokenizers that lower-case, drop white space and cut words (drops_space).
 
     Latin-1 texts are cut into pre-tokens here (in that range the rules need no tables) and each
     distinct one goes through the library's model once. Other texts go to the library by chunks
@@ -210,18 +264,13 @@ class ChunkEncoder:
     _cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_digits}]|[^\\s{_letters}{_digits}]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        super().__init__(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self.tok.model)
+        self.pieces = _Pieces(self.tok.model, self.width)
         self.chunks: dict[str, bytes] = {}
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u2").tobytes() for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
+        return super().encode_all(texts)
 
     def _by_chunks(self, texts: Sequence[str]) -> list[bytes]:
         chunks = [t.split() for t in texts]
@@ -232,7 +281,7 @@ class ChunkEncoder:
         return [b"".join(map(self.chunks.__getitem__, c)) for c in chunks]
 
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each text as little-endian 16-bit integers."""
+        """The ids of each text as little-endian integers of the encoder's width."""
         out: list[bytes] = [b""] * len(texts)
         whole, wide = [], []
         cut, pieces = self._cut.findall, self.pieces
@@ -258,8 +307,8 @@ def tree_encoder(path: str) -> TreeEncoder:
 
 
 @lru_cache(4)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> LibraryEncoder:
+    return ChunkEncoder(path) if drops_space(path) else LibraryEncoder(path)
 
 
 def by_chars(texts: Sequence[str], most: int = BATCH_CHARS) -> Iterator[slice]:

@@ -63,6 +63,18 @@ def test_shards(spark):
         assert sharding.row_of(r.shard, r.slot, 7, len(rows)) == r.row
 
 
+def test_hot_keys_are_numbered_in_many_tasks(spark):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i % 500}") for i in range(3000)], "doc_id long, text string").repartition(6)
+    numbered, n = sharding.numbered(docs, "doc_id", ["text"], "row")
+    assert n == 3000
+    rows = sorted(numbered.collect(), key=lambda r: r["row"])
+    assert [r["row"] for r in rows] == list(range(3000))
+    assert [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in rows), key=lambda x: (x is not None, x or 0))
+    texts = [r["text"] for r in rows if r["doc_id"] == 7]
+    assert sum(a != b for a, b in zip(texts, texts[1:], strict=False)) == len(set(texts)) - 1  # equal ones stay together
+    assert len(rows) == len({tuple(r) for r in rows})
+
+
 # Quality
 
 
@@ -449,7 +461,8 @@ def test_file_format():
     for n in (0, 1, 3, 4, 5, 1000):
         ids = (rng.zipf(1.3, n) % 70_000).astype(np.uint32)
         docs, ids2, back = np.array([3, 9]), np.array([n // 2, n - n // 2]), None
-        d, c, back = token_files.unpack(token_files.pack(docs, ids2, ids))
+        d, c, back, nulls, before = token_files.unpack(token_files.pack(docs, ids2, ids, 1, 7))
+        assert (nulls, before) == (1, 7)
         assert d.tolist() == [3, 9]
         assert c.tolist() == ids2.tolist()
         assert back.tolist() == ids.tolist()
@@ -457,12 +470,44 @@ def test_file_format():
         token_files.unpack(b"x" * 100)
 
 
+def test_null_ids_come_back(spark, word_bpe):
+    low = -(1 << 63)
+    docs = spark.createDataFrame([(None, "a b"), (low, "c"), (None, None), (5, "d")], "doc_id long, text string")
+    root = shared_dir(spark, "ids")
+    path = tokenizer("word_bpe_49k.json")
+    for _ in range(2):  # a second run finds the files of the first
+        got = token_files.read_digests(spark, root, token_files.write_ids(docs, path, 1, root)).collect()
+        assert {r["start"]: (r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] is not None} == {4: (low, 2), 6: (5, 2)}
+        assert sorted(r["n_tokens"] for r in got if r["doc_id"] is None) == [1, 3]
+    assert sorted((r["doc_id"] or 0, len(r["ids"])) for r in token_files.read_ids(spark, root).collect()) == [(low, 2), (0, 1), (0, 3), (5, 2)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers(spark, name):
+    path = tokenizer(name)
+    rows = [(i, t) for i, t in enumerate([" two  spaces\r\n", "two  spaces", "Upper <s> x", "", "é中\t"])]
+    if name.endswith("json"):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    else:
+        import sentencepiece
+
+        ids = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    assert not tokenizing.drops_space(path)
+    docs, root = spark.createDataFrame(rows, "doc_id long, text string"), shared_dir(spark, "ids")
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, path, shared_dir(spark, "cache")).collect()} == {i: len(ids(t)) for i, t in rows}
+    token_files.write_ids(docs, path, 2, root)
+    assert {r["doc_id"]: r["ids"] for r in token_files.read_ids(spark, root).collect()} == {i: [*ids(t), 2] for i, t in rows}
+
+
 def test_token_files(spark, word_bpe):
     rows = corpus(40)
     root = shared_dir(spark, "ids")
-    files = token_files.write_ids(frame(spark, rows), tokenizer("word_bpe_49k.json"), 1, root, file_ids=500)
-    assert len(files) > 3
-    got = {r["doc_id"]: r for r in token_files.read_digests(spark, root, files).collect()}
+    parts = token_files.write_ids(frame(spark, rows), tokenizer("word_bpe_49k.json"), 1, root, file_ids=500)
+    assert token_files.read_ids(spark, root).select("file").distinct().count() > len(parts)
+    got = {r["doc_id"]: r for r in token_files.read_digests(spark, root, parts).collect()}
     back = {r["doc_id"]: r["ids"] for r in token_files.read_ids(spark, root).collect()}
     start = 0
     for i, t, _ in rows:
