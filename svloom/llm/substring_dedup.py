@@ -4,32 +4,38 @@ Each string of LENGTH bytes has an anchor: the gram of GRAM bytes of the least h
 have equal anchors, so strings are dealt to shards by their anchor's hash and no match is lost. Neighbouring
 strings with one anchor make a run of at most LENGTH - GRAM + 1 strings; their bytes are its context.
 
-1. Of runs with equal contexts, the first in (doc_id, start) speaks for all; every string of the others
-   starts earlier there. An anchor with a single context is done.
+1. Of runs with equal contexts (by two 64-bit digests), the first in (doc_id, start) speaks for all; every string of
+   the others starts earlier there. An anchor with a single context is done.
 2. The other contexts are gathered by anchor, and each shard's suffixes sorted by external induced sorting
-   (suffix_array). Neighbours that agree over LENGTH bytes are equal strings; all but the first
-   of equal strings start earlier elsewhere.
+   (suffix_array), which carries common prefixes. Neighbours that agree over LENGTH bytes are equal strings;
+   all but the first of equal strings start earlier elsewhere.
 3. Strings found become spans of bytes, united by document.
 
-Whether the common prefix of two neighbours reaches LENGTH is read off the text, as only that is asked.
+An anchor of more than HOT contexts is split: its strings go by how far into them the anchor lies, STEP places
+at a time, and by a hash of the bytes around the anchor that all strings of these places hold. So equal strings stay
+together, and contexts that differ there part. A shard that still exceeds memory is sorted from disk.
 
 Null texts count as empty; matches never cross documents. Where doc_ids repeat or are null, rows count as
-documents in the order of (doc_id, text), nulls first. Other columns are left out.
+documents in the order of doc_id, nulls first, and of one doc_id in an order of their texts. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svloom.llm.common import bounded_batches, saved, whole_text
 from svloom.llm.sharding import numbered
-from svloom.llm.suffix_array import equal_prefix, sorted_suffixes
+from svloom.llm.suffix_array import sorted_suffixes
 
 LENGTH, GRAM = 100, 16
 #: Bits of an anchor's place in a buffer; the rest of the word is its hash, on which strings choose.
@@ -38,10 +44,16 @@ PLACE_BITS = 31
 BUFFER = 4 << 20
 #: Bytes of contexts that are sorted together, as long as whole anchors fit.
 SHARD = 4 << 20
+#: Strings that are united to spans at once.
+FOUND = 1 << 20
+#: An anchor of more contexts is split by STEP places of it.
+HOT, STEP = 4096, 22
+#: Hot anchors (8 bytes each) that may be broadcast.
+BROADCAST_ANCHORS = 100_000
 #: Bytes of spans that may be broadcast; beyond, the join is by shuffle.
 BROADCAST_BYTES = 16 << 20
 
-RUNS = "anchor long, digest long, row long, start int, n short"
+RUNS = "anchor long, digest long, check long, row long, start int, n short"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,15 +66,20 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents one after the other: begin and strings of each run, its anchor's hash and context's digest."""
+def _grams(eight: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of the grams at the first n places."""
+    return _mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + _mix(eight[8 : n + 8]))
+
+
+def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents one after the other: begin and strings of each run, its anchor's hash and context's two digests."""
     total = int(ends[-1]) if len(ends) else 0
     none = np.zeros(0, np.int64)
     if total < LENGTH:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, *[none.view(np.uint64)] * 3
     padded = np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)])
     eight = _words(padded)
-    full = _mix(eight[:total] * np.uint64(0x9E3779B97F4A7C15) + _mix(eight[8 : total + 8]))
+    full = _grams(eight, total)
     least = full & ~np.uint64((1 << PLACE_BITS) - 1) | np.arange(total, dtype=np.uint64)
     grams, width = LENGTH - GRAM + 1, 1
     while 2 * width <= grams:
@@ -82,7 +99,7 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     stop = np.flatnonzero(own & np.concatenate([~own[1:] | fresh[1:], [True]])) + 1
     n = stop - begin
     size = n + LENGTH - 1
-    digest = _mix(size.astype(np.uint64))
+    digest, check = _mix(size.astype(np.uint64)), _mix(size.astype(np.uint64) + np.uint64(0xA0761D6478BD642F))
     for k in range(0, LENGTH + grams, 8):
         left = np.clip(size - k, 0, 8)
         live = np.flatnonzero(left > 0)
@@ -92,7 +109,8 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         cut = left[live]
         word = np.where(cut < 8, word & ((np.uint64(1) << (cut % 8 * 8).astype(np.uint64)) - np.uint64(1)), word)
         digest[live] = _mix(digest[live] * np.uint64(0x9E3779B97F4A7C15) + word)
-    return begin, n, full[place[begin]], digest
+        check[live] = _mix((check[live] ^ word) * np.uint64(0xE7037ED1A0B428DB))
+    return begin, n, full[place[begin]], digest, check
 
 
 def _buffers(rows: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,25 +128,25 @@ def _buffers(rows: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray,
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for rows, data, ends in _buffers(b.column(0).to_numpy(), b.column(1).to_pylist()):
-            begin, n, anchor, digest = runs(data, ends)
+            begin, n, anchor, digest, check = runs(data, ends)
             doc = np.searchsorted(ends, begin, side="right")
             start = begin - np.concatenate([[0], ends[:-1]])[doc] if len(begin) else begin
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(rows[doc] if len(doc) else np.zeros(0, np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16))], names=["anchor", "digest", "row", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), pa.array(rows[doc] if len(doc) else np.zeros(0, np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16))], names=["anchor", "digest", "check", "row", "start", "n"])
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs come sorted by anchor, digest, row and start. Goes out: later runs of a context (first = false), and the
+    """Runs come sorted by anchor, digests, row and start. Goes out: later runs of a context (first = false), and the
     first runs of contexts whose anchor has several (first = true)."""
     names = ["anchor", "row", "start", "n", "first"]
-    before: tuple[int, int] | None = None
+    before: tuple[int, int, int] | None = None
     waiting: tuple | None = None  # the anchor's first context so far, if it is alone
 
     for b in batches:
         if not b.num_rows:
             continue
-        anchor, digest, row, start, n = (c.to_numpy() for c in b.columns)
+        anchor, digest, check, row, start, n = (c.to_numpy() for c in b.columns)
         fresh = np.concatenate([[before is None or before[0] != anchor[0]], anchor[1:] != anchor[:-1]])
-        head = fresh | np.concatenate([[before is None or before[1] != digest[0]], digest[1:] != digest[:-1]])
+        head = fresh | np.concatenate([[before is None or before[1:] != (digest[0], check[0])], (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])])
         heads = np.flatnonzero(head)
         opens = fresh[heads]
         several = ~opens
@@ -140,60 +158,117 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(heads):
             last = heads[-1]
             waiting = (int(anchor[last]), int(row[last]), int(start[last]), int(n[last])) if opens[-1] else None
-        before = (int(anchor[-1]), int(digest[-1]))
+        before = (int(anchor[-1]), int(digest[-1]), int(check[-1]))
         later = np.flatnonzero(~head)
         at = np.concatenate([out, later])
         yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(row[at]), pa.array(start[at]), pa.array(n[at]), pa.array(np.arange(len(at)) < len(out))], names=names)
 
 
+def _places(anchors: list[int], contexts: list[bytes]) -> list[int]:
+    """Where each context's anchor begins: its first gram of that hash."""
+    size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    base = np.cumsum(size) - size
+    data = np.concatenate([np.frombuffer(b"".join(contexts), np.uint8), np.zeros(16, np.uint8)])
+    n = len(data) - 16
+    hit = np.flatnonzero(_grams(_words(data), n) == np.repeat(np.array(anchors, np.int64).view(np.uint64), size))
+    owner = np.searchsorted(base, hit, side="right") - 1
+    first = np.concatenate([[True], owner[1:] != owner[:-1]])
+    return (hit[first] - base[owner[first]]).tolist()
+
+
+def _split(row: int, start: int, n: int, context: bytes, anchor: int, place: int) -> Iterator[tuple]:
+    """A run of a hot anchor as runs of its own deals."""
+    for low in range(0, LENGTH - GRAM + 1, STEP):
+        high = low + STEP - 1  # strings in which the anchor lies low to high bytes in
+        i, j = max(0, place - high), min(n - 1, place - low)
+        if i <= j:
+            common = context[place - low : place + LENGTH - high]
+            deal = xxhash.xxh64_intdigest(common, (anchor + low) & ((1 << 64) - 1))
+            yield deal - (1 << 63), row, start + i, j - i + 1, context[i : j + LENGTH]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
     for b in batches:
         out: list[tuple] = []
+        hot: list[tuple] = []
         for row, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            out += [(r["anchor"], row, r["start"], r["n"], text[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in own]
+            for r in own:
+                (hot if r["hot"] else out).append((r["anchor"], row, r["start"], r["n"], text[r["start"] : r["start"] + r["n"] + LENGTH - 1]))
+        if hot:
+            for (anchor, row, start, n, context), place in zip(hot, _places([x[0] for x in hot], [x[4] for x in hot]), strict=True):
+                out += _split(row, start, n, context, anchor, place)
         for i in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()), strict=True)], names=["anchor", "row", "start", "n", "context"])
-
-
-def shared_strings(row: np.ndarray, start: np.ndarray, n: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), kinds, strict=True)], names=["deal", "row", "start", "n", "context"])
+
+
+class Shard:
+    """Contexts one after the other as symbols (1 between them, a byte plus 2 in them), in files if there are many."""
+
+    def __init__(self) -> None:
+        self.held: list[pa.RecordBatch] = []
+        self.size = self.waiting = 0
+        self.folder: str | None = None
+
+    def add(self, b: pa.RecordBatch, size: int) -> None:
+        self.held.append(b)
+        self.size += size
+        self.waiting += size
+        if self.waiting >= 4 * SHARD:
+            self._flush()
+
+    def _arrays(self, begin: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of what is held, and row, start, strings and first symbol of each context."""
+        t = pa.Table.from_batches(self.held)
+        contexts = t["context"].to_pylist()
+        data = np.frombuffer(b"".join(contexts), np.uint8)
+        size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        symbols = np.ones(len(data) + len(size), np.uint16)
+        symbols[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.uint16) + 2
+        at = begin + np.cumsum(size + 1) - size - 1
+        return symbols, np.stack([t["row"].to_numpy(), t["start"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64), at], axis=1)
+
+    def _flush(self) -> None:
+        if self.folder is None:
+            self.folder = tempfile.mkdtemp(prefix="shard-")
+        texts, runs = os.path.join(self.folder, "text"), os.path.join(self.folder, "runs")
+        begin = os.path.getsize(texts) // 2 if os.path.exists(texts) else 0
+        for name, x in zip((texts, runs), self._arrays(begin), strict=True):
+            with open(name, "ab") as f:
+                f.write(x.tobytes())
+        self.held, self.waiting = [], 0
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.folder is None:
+            return self._arrays(0)
+        if self.held:
+            self._flush()
+        return np.memmap(os.path.join(self.folder, "text"), np.uint16, "r"), np.memmap(os.path.join(self.folder, "runs"), np.int64, "r").reshape(-1, 4)
+
+    def close(self) -> None:
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def shared_strings(shard: Shard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row and start of the strings of LENGTH that start earlier in another of these contexts."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    size = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    base = np.cumsum(size) - size
-    # Symbols: 1 between contexts, a byte plus 2 in them.
-    gap = base + np.arange(len(base))
-    symbols = np.ones(len(data) + len(base), np.uint16)
-    shift = np.repeat(np.arange(len(base)), size)
-    symbols[np.arange(len(data)) + shift] = data.astype(np.uint16) + 2
-    owner = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    wanted = gap[owner] + offset
-    owner_at = np.repeat(np.arange(len(base), dtype=np.int32), size + 1)
-    found_row, found_start = [], []
-    held: np.ndarray | None = None
-    for at in sorted_suffixes(symbols, wanted):
-        own = owner_at[at].astype(np.int64)
-        plain = at - own  # in data
-        if held is not None:
-            plain, own, at = np.concatenate([held[0], plain]), np.concatenate([held[1], own]), np.concatenate([held[2], at])
-        same = np.concatenate([[False], equal_prefix(data, plain[:-1], plain[1:], LENGTH)])
-        heads = np.flatnonzero(~same)
-        group = np.cumsum(~same) - 1
-        r, s = row[own], start[own] + at - gap[own]
-        order = np.lexsort((s, r, group))
-        later = np.ones(len(at), bool)
-        later[order[heads]] = False  # the first of each group in (row, start)
-        end = heads[-1]  # the last group may go on
-        keep = np.flatnonzero(later[:end])
-        found_row.append(r[keep])
-        found_start.append(s[keep])
-        held = np.stack([plain[end:], own[end:], at[end:]])
-    if held is not None:
-        r, s = row[held[1]], start[held[1]] + held[2] - gap[held[1]]
-        order = np.lexsort((s, r))[1:]
-        found_row.append(r[order])
-        found_start.append(s[order])
-    return (np.concatenate(found_row), np.concatenate(found_start)) if found_row else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    symbols, known = shard.arrays()
+    row, start, n, begin = (np.asarray(known[:, k]) for k in range(4))
+    first: tuple[int, int] | None = None  # of the last group, which may go on
+    for at, lcp in sorted_suffixes(symbols, LENGTH):
+        own = np.searchsorted(begin, at, side="right") - 1
+        offset = at - begin[own]
+        group = np.cumsum(lcp < LENGTH)  # 0 goes on with the last one
+        keep = np.flatnonzero(offset < n[own])
+        g, r, s = group[keep], row[own[keep]], start[own[keep]] + offset[keep]
+        if first is not None:
+            g, r, s = np.append(g, 0), np.append(r, first[0]), np.append(s, first[1])
+        order = np.lexsort((s, r, g))
+        g, r, s = g[order], r[order], s[order]
+        head = np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
+        yield r[~head], s[~head]
+        last = np.searchsorted(g, group[-1])
+        first = (int(r[last]), int(s[last])) if last < len(g) else None
 
 
 def _spans(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,36 +287,47 @@ def _spans(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts come sorted by anchor; a shard is ended between anchors."""
-
-    def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts)
-        if t.num_rows:
-            row, start = shared_strings(t["row"].to_numpy(), t["start"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64), t["context"].to_pylist())
-            row, start, end = _spans(row, start, np.full(len(row), LENGTH))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["row", "start", "end"])
-
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """Contexts come sorted by deal; a shard is ended between deals."""
+
+    def united(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        row, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        row, start, end = _spans(row, start, np.full(len(row), LENGTH))
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["row", "start", "end"])
+
+    def out(shard: Shard) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        try:
+            for x in shared_strings(shard) if shard.size else ():
+                if len(x[0]):
+                    found.append(x)
+                    size += len(x[0])
+                if size >= FOUND:
+                    yield united(found)
+                    found, size = [], 0
+            if found:
+                yield united(found)
+        finally:
+            shard.close()
+
+    shard, last = Shard(), None
     for b in batches:
+        if not b.num_rows:
+            continue
+        deal = b.column(0).to_numpy()
+        ends = [*(np.flatnonzero(deal[1:] != deal[:-1]) + 1).tolist(), b.num_rows]
+        lens = np.concatenate([[0], np.cumsum(np.fromiter(map(len, b.column(4).to_pylist()), np.int64, b.num_rows))])
+        if shard.size >= SHARD and last != deal[0]:
+            yield from out(shard)
+            shard = Shard()
         at = 0
-        anchor = b.column(0).to_numpy()
-        cuts = [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
-        lens = np.cumsum(np.fromiter(map(len, b.column(4).to_pylist()), np.int64, b.num_rows))
-        if held and b.num_rows and held[-1].column(0)[-1].as_py() != anchor[0] and size >= SHARD:
-            yield from out(held)
-            held, size = [], 0
-        for cut in cuts:
-            grown = size + int(lens[cut - 1]) - (int(lens[at - 1]) if at else 0)
-            if grown >= SHARD and cut < b.num_rows:
-                held.append(b.slice(at, cut - at))
-                yield from out(held)
-                held, size, at = [], 0, cut
-        if at < b.num_rows:
-            held.append(b.slice(at))
-            size += int(lens[-1]) - (int(lens[at - 1]) if at else 0)
-    if held:
-        yield from out(held)
+        for end in ends:
+            if shard.size + lens[end] - lens[at] >= SHARD and end < b.num_rows:
+                shard.add(b.slice(at, end - at), int(lens[end] - lens[at]))
+                yield from out(shard)
+                shard, at = Shard(), end
+        shard.add(b.slice(at), int(lens[-1] - lens[at]))
+        last = deal[-1]
+    yield from out(shard)
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +347,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = texts.select("row", whole_text().cast("binary").alias("text"))
-    dealt = data.mapInArrow(_run_rows, RUNS).repartition(n, "anchor").sortWithinPartitions("anchor", "digest", "row", "start")
+    dealt = data.mapInArrow(_run_rows, RUNS).repartition(n, "anchor").sortWithinPartitions("anchor", "digest", "check", "row", "start")
     found = saved(dealt.mapInArrow(_classes, "anchor long, row long, start int, n short, first boolean"), "runs")
-    asked = found.where("first").groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
-    contexts = data.join(asked, "row").select("row", "text", "runs").mapInArrow(_contexts, "anchor long, row long, start int, n short, context binary")
-    strings = contexts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "row long, start int, end int")
+    first = found.where("first").select("anchor", "row", "start", "n")
+    hot = saved(first.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    few = hot.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+    marked = first.join(F.broadcast(hot) if few else hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asked = marked.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("runs"))
+    contexts = data.join(asked, "row").select("row", "text", "runs").mapInArrow(_contexts, "deal long, row long, start int, n short, context binary")
+    strings = contexts.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_shards, "row long, start int, end int")
     whole = found.where("not first").select("row", "start", F.expr(f"cast(start + n + {LENGTH - 1} as int)").alias("end"))
     spans = whole.unionByName(strings).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return spans.mapInArrow(_united, "row long, starts array<int>, ends array<int>")

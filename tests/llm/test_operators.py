@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -331,12 +333,40 @@ def test_line_dedup_joins_what_the_first_lines_do_not_settle(spark):
 @pytest.mark.parametrize("held", [1 << 20, 40])
 def test_suffix_order(held, monkeypatch):
     monkeypatch.setattr(suffix_array.TupleQueue.__init__, "__defaults__", (held,))
+    monkeypatch.setattr(suffix_array, "HELD", held)
+    monkeypatch.setattr(suffix_array, "MAPPED", held)
     monkeypatch.setattr(suffix_array, "READ", 7)
     monkeypatch.setattr(suffix_array, "CHUNK", 13)
     rng = random.Random(0)
-    for _ in range(60):
+    for k in range(60):
         s = [rng.randint(1, rng.choice([1, 2, 3, 200])) for _ in range(rng.randint(1, 200))] * rng.randint(1, 3)
-        assert np.concatenate(list(suffix_array.sorted_suffixes(np.array(s)))).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        cap = rng.choice([3, 100, 254])
+        blocks = list(suffix_array.sorted_suffixes(np.array(s), cap))
+        at = np.concatenate([a for a, _ in blocks]).tolist()
+        assert at == sorted(range(len(s)), key=lambda i: s[i:], reverse=True)
+        lcp = np.concatenate([c for _, c in blocks]).tolist()
+        agree = lambda x, y: min(cap, next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))))
+        assert lcp == [0, *(agree(s[a:], s[b:]) for a, b in zip(at, at[1:], strict=False))]
+
+
+def test_suffixes_of_a_text_beyond_memory(monkeypatch):
+    """A text a hundred times as long as what queues and arrays hold."""
+    for name, value in (("HELD", 2000), ("MAPPED", 2000), ("READ", 500), ("CHUNK", 1500)):
+        monkeypatch.setattr(suffix_array, name, value)
+    monkeypatch.setattr(suffix_array.TupleQueue.__init__, "__defaults__", (2000,))
+    spilled = []
+    monkeypatch.setattr(suffix_array.Buckets, "_spill", lambda self, was=suffix_array.Buckets._spill: (spilled.append(self.size), was(self)))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    data = "".join(rng.choice(words) for _ in range(6500)).encode()[:200_000]
+    blocks = list(suffix_array.sorted_suffixes(np.frombuffer(data, np.uint8) + np.uint16(1), 100))
+    at, lcp = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    assert sorted(at) == list(range(len(data)))
+    assert len(spilled) > 50
+    for k in rng.sample(range(1, len(at)), 3000):
+        a, b = data[at[k] : at[k] + 100], data[at[k - 1] : at[k - 1] + 100]
+        assert data[at[k] :] < data[at[k - 1] :]
+        assert lcp[k] == len(os.path.commonprefix([a, b]))
 
 
 def brute_repeats(rows):
@@ -363,13 +393,49 @@ def test_substring_dedup(spark):
     assert got == brute_repeats(rows)
 
 
-def test_shards_of_suffixes_are_cut_between_anchors(spark, monkeypatch):
-    import pyarrow as pa
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """One passage with other text around it in every document."""
+    monkeypatch.setattr(substring_dedup, "HOT", 5)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [noise(140), noise(101), noise(100), noise(60)]
+    rows = [(i, noise(rng.randint(0, 150)) + rng.choice(passages)[rng.choice([0, 0, 3]) :] + noise(rng.randint(0, 150)) + "ab" * rng.choice([0, 90]), "en") for i in range(80)]
+    split = []
+    monkeypatch.setattr(substring_dedup, "_split", lambda *a, was=substring_dedup._split: split.append(a) or was(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([rows[0][1].encode()]), pa.array([[]], pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("n", pa.int16()), ("hot", pa.bool_())])))], names=["row", "text", "runs"])
+    assert not list(substring_dedup._contexts(iter([batch])))
+    got = {r[0]: tuple(r)[1:] for r in substring_dedup.digests(frame(spark, rows)).collect()}
+    assert got == brute_repeats(rows)
+
 
+def test_a_shard_beyond_memory(monkeypatch):
+    """Contexts of one deal that go to files."""
+    rng = random.Random(8)
+    shared = ["".join(rng.choice("abcd") for _ in range(150)).encode() for _ in range(9)]
+    rows = []
+    for k in range(600):
+        c = rng.choice(shared)[rng.randint(0, 20) :]
+        rows.append((5, k, rng.randint(0, 50), len(c) - 99, c))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()), strict=True)], names=["deal", "row", "start", "n", "context"])
+    unite = lambda: {(r["row"], i) for b in substring_dedup._shards(iter([batch.slice(i, 50) for i in range(0, 600, 50)])) for r in b.to_pylist() for i in range(r["start"], r["end"])}
+    whole = unite()
+    for name, value in (("HELD", 500), ("MAPPED", 500), ("READ", 100), ("CHUNK", 400)):
+        monkeypatch.setattr(suffix_array, name, value)
+    monkeypatch.setattr(substring_dedup, "SHARD", 2000)
+    assert unite() == whole
+    first, expected = {}, set()
+    for _, row, start, n, c in sorted(rows, key=lambda r: (r[1], r[2])):
+        for i in range(n):
+            if first.setdefault(c[i : i + 100], (row, start + i)) != (row, start + i):
+                expected |= {(row, start + i + j) for j in range(100)}
+    assert whole == expected
+
+
+def test_shards_of_suffixes_are_cut_between_anchors(spark, monkeypatch):
     rng = random.Random(1)
     contexts = [("".join(rng.choice("ab") for _ in range(130))).encode() for _ in range(30)]
     rows = [(k // 3, k, 0, 31, contexts[k // 2]) for k in range(30)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()), strict=True)], names=["anchor", "row", "start", "n", "context"])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()), strict=True)], names=["deal", "row", "start", "n", "context"])
     spans = lambda parts: sorted(tuple(r.values()) for b in substring_dedup._shards(iter(parts)) for r in b.to_pylist())
     whole = spans([batch])
     monkeypatch.setattr(substring_dedup, "SHARD", 300)
