@@ -2,8 +2,9 @@
 
 TreeEncoder encodes as the library does, byte-level BPE, and long texts by tree concatenation: a text is
 halved, unsplit, until a leaf is short, the leaves are encoded side by side, and at each join a window of the
-text on both sides is encoded again, a wider one until it agrees with both. ChunkEncoder encodes with
-tokenizers that drop white space, each distinct pre-token or chunk between white space once.
+text on both sides is encoded again, a wider one until it agrees with both. Short texts, leaves and windows that are
+Latin-1 are cut into pre-tokens here, each distinct one of which goes through the library's model once; others go
+to the library whole. ChunkEncoder encodes likewise with tokenizers that drop white space.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,39 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Ids(dict):
+    """Ids of pre-tokens; a missing one is encoded by the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+        self.alphabet = {b: c for c, b in _byte_of_char().items()}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED // 2:
+            self.clear()
+        self[piece] = ids = tuple([t.id for t in self.tokenize("".join(map(self.alphabet.__getitem__, piece.encode())))])
+        return ids
+
+
+#: Latin-1's letters and digits, as classes of the pre-tokenizers' patterns, and characters that Python alone counts as white space.
+_LETTERS, _DIGITS, _ODD = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", re.compile("[\x1c-\x1f\x85]")
+
+
 class TreeEncoder:
+    _odd = _ODD
+    _cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\\s{_LETTERS}{_DIGITS}]+|\\s+(?!\\S)|\\s+")
+
     def __init__(self, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF, window: int = WINDOW):
         from tokenizers import Tokenizer
 
@@ -52,6 +86,7 @@ class TreeEncoder:
         self.tok.no_padding()
         self.long_text, self.leaf, self.window = long_text, leaf, window
         self.joins = 0  # made so far
+        self._plain, self._ids = byte_level(path), _Ids(self.tok.model)
         added = self.tok.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         alphabet = _byte_of_char()
@@ -66,7 +101,17 @@ class TreeEncoder:
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
+        """The ids of each text without trees."""
+        out: list[list[int]] = [[]] * len(texts)
+        whole, cut, ids_of = [], self._cut.findall, self._ids.__getitem__
+        for i, t in enumerate(texts):
+            if self._plain and _latin(t) and not (self._odd.search(t) or any(x in t for x in self.special)):
+                out[i] = [*chain.from_iterable(map(ids_of, cut(t)))]
+            else:
+                whole.append(i)
+        for i, e in zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def encode_all(self, texts: Sequence[str]) -> list[list[int]]:
         """The ids of each text, as the library's."""
@@ -173,7 +218,7 @@ class TreeEncoder:
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """UTF-8 of the decoded text, special tokens included; broken sequences become U+FFFD."""
-        data = b"".join([self.bytes_of[i] for i in ids])
+        data = b"".join(map(self.bytes_of.__getitem__, ids))
         try:
             data.decode()
             return data
@@ -224,6 +269,18 @@ def drops_space(path: str) -> bool:
     return plain and same and all(made[k] == v for k, v in _RULES.items())
 
 
+@lru_cache(8)
+def byte_level(path: str) -> bool:
+    """Whether a tokenizer cuts texts by the usual byte-level pattern and no more, as _cut does for Latin-1."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    model = made["model"]
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"])
+    same = model.get("type", "BPE") == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+    return plain and same and made["normalizer"] is None and made["pre_tokenizer"] == usual
+
+
 class LibraryEncoder:
     """Any tokenizer: a .json file by tokenizers, another by sentencepiece."""
 
@@ -259,7 +316,7 @@ class ChunkEncoder(LibraryEncoder):
     Python counts as white space and the library doesn't go to it whole.
     """
 
-    _odd = re.compile("[\x1c-\x1f\x85]")
+    _odd = _ODD
     _letters, _digits = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
     _cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_digits}]|[^\\s{_letters}{_digits}]+")
 
@@ -355,7 +412,7 @@ def _encode_digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
         for part in by_chars(texts):
             for x in enc.encode_all(texts[part]):
                 n.append(len(x))
-                ids.append(hashlib.sha256(",".join([as_text[i] for i in x]).encode()).hexdigest())
+                ids.append(hashlib.sha256(",".join(map(as_text.__getitem__, x)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(enc.decode(x)).hexdigest())
         yield pa.RecordBatch.from_arrays([rows, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     trim()

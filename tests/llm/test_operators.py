@@ -474,6 +474,14 @@ def test_tree_encoding(byte_bpe):
     assert enc.joins > 1000
 
 
+def test_latin_texts(byte_bpe):
+    rng = random.Random(12)
+    enc = tokenizing.TreeEncoder(tokenizer("byte_bpe_50k.json"))
+    parts = [*map(chr, range(256)), "'s", "'ll", " the", "ation", "  ", "12", "\xa0\xa0", "<|endoftext|>", "\u2003", "Ā", "'S"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(6000)] + [f"a{c}{c} {c}b1{c}" for c in map(chr, range(256))]
+    assert enc.encode_all(texts) == [byte_bpe.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_texts_are_trees(byte_bpe):
     rng = random.Random(7)
     enc = tokenizing.TreeEncoder(tokenizer("byte_bpe_50k.json"))
