@@ -429,7 +429,7 @@ class Parser:
                     span = [a, self.expr()] if self.eat(":") else [a]
                     self.eat("]")
                 value = self.expr() if self.eat("=") else None
-                members.append({"name": n.text, "span": span, "value": value})
+                members.append({"name": n.text, "span": span, "value": value, "start": n.start})
                 if span is None:
                     self.declare(n, "enum_member", value)
                 self.eat(",")
@@ -457,7 +457,7 @@ class Parser:
                     self.i += 1
         kind = "tagged" if tagged else start.text
         self.add("types", kind=kind, start=start.start, scope_id=self.scope, base=json.dumps({"packed": packed, "signed": signed}), members=json.dumps(members))
-        return {"name": kind, "packed": packed, "signed": signed, "members": members, "dims": self.dims()}
+        return {"name": kind, "packed": packed, "signed": signed, "members": members, "site": start.start, "dims": self.dims()}
 
     def declaration(self) -> None:
         while self.at("var", "const", "static", "automatic"):

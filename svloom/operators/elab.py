@@ -136,38 +136,91 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*e.rows, strict=True), types, strict=True)], names=names)
 
 
+_KNOWN = "array<struct<q:string,n:string,value:bigint,err:string>>"
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packages with the references that lead out of them: all parameters whose values can be told."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            package = r["package"]
+            trees = {x["name"]: json.loads(x["value"]) for x in r["params"]}
+            known = {(x["q"], x["n"]): x["value"] if x["err"] is None else x["err"] for x in r["known"] or []}
+            outer = {(x["q"], x["n"]) for x in r["links"] or []}
+            values: dict[str, const.Value] = {}
+            # A name is its package's own, or one that was found elsewhere; others are Unresolved.
+            own = lambda q, n: q in (None, package) and n in trees  # noqa: B023, E731
+            look = lambda q, n: values[n] if own(q, n) else known.get((q, n), "Unresolved")  # noqa: B023, E731
+            waits, waiting = {}, {}
+            for name, tree in trees.items():
+                names = const.names(tree)
+                if any(not own(q, n) and (q, n) in outer and (q, n) not in known for q, n in names):
+                    continue
+                wanted = {n for q, n in names if own(q, n)}
+                waits[name] = len(wanted)
+                for n in wanted:
+                    waiting.setdefault(n, []).append(name)
+            ready = [n for n, k in waits.items() if not k]
+            while ready:
+                name = ready.pop()
+                values[name] = const.evaluate(trees[name], look)
+                for n in waiting.get(name, ()):
+                    waits[n] -= 1
+                    if not waits[n]:
+                        ready.append(n)
+            out += [(package, n, None if isinstance(v, str) else v, v if isinstance(v, str) else None) for n, v in values.items()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["package", "name", "value", "err"])
+
+
+def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [(package, q, n) for package, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for q, n in const.names(json.loads(value))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["package", "q", "n"])
+
+
 def package_values(unit: Unit) -> DataFrame:
-    """package, name, value and err of package parameters, level by level; what never settles is a Cycle."""
-    packages = unit.defs.where("kind = 'package'").select("file_id", "scope_id", F.col("name").alias("package"))
-    params = unit.symbols.where("kind in ('parameter', 'localparam', 'enum_member') and value is not null").join(packages, ["file_id", "scope_id"]).select("package", "name", "value")
-
-    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                known = {x["name"]: x["value"] if x["err"] is None else x["err"] for x in r["known"] or []}
-                tree = json.loads(r["value"])
-                keys = {f"{q or r['package']}::{n}" for q, n in const.names(tree)}
-                waits = not keys <= known.keys()
-                got = "Unresolved" if waits else const.evaluate(tree, lambda q, n: known[f"{q or r['package']}::{n}"])  # noqa: B023
-                out.append((r["package"], r["name"], None if isinstance(got, str) else got, got if isinstance(got, str) else None, waits, [k for k in keys]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())), strict=True)], names=["package", "name", "number", "err", "waits", "needs"])
-
-    schema = "package string, name string, number long, err string, waits boolean, needs array<string>"
-    full = F.concat_ws("::", "package", "name")
-    empty = F.array().cast("array<struct<name:string,value:bigint,err:string>>")
-    state = ro.written(params.withColumn("known", empty).mapInArrow(level, schema), "constants")
-    for _ in range(64):
-        done = state.where("not waits").select(full.alias("need"), F.struct(full.alias("name"), F.col("number").alias("value"), "err").alias("k"))
-        asked = state.where("waits").select("package", "name", F.explode("needs").alias("need")).join(done, "need").groupBy("package", "name").agg(F.collect_list("k").alias("known"))
-        waiting = state.where("waits").select("package", "name").join(params, ["package", "name"]).join(asked, ["package", "name"], "left")
-        after = ro.written(state.where("not waits").unionByName(waiting.select("package", "name", "value", "known").mapInArrow(level, schema)), "constants")
-        left, now = state.where("waits").count(), after.where("waits").count()
-        state = after
-        if now in (0, left):
+    """package, name, value and err of package parameters.
+
+    A package's own parameters are evaluated together, however long their chains; a round follows the references that
+    lead from package to package, until one settles nothing more. What is left then depends on itself: a Cycle.
+    """
+    schema = "package string, name string, value long, err string"
+    packages = unit.definitions().where("kind = 'package'").select("file_id", "scope_id", F.col("name").alias("package"))
+    symbols = unit.symbols.where("kind in ('parameter', 'localparam', 'enum_member') and value is not null")
+    params = ro.written(symbols.join(packages, ["file_id", "scope_id"]).select("package", "name", "value", "file_id", "symbol_id").dropDuplicates(["package", "name"]), "parameters")
+    names = params.select("package", F.col("name").alias("n"))
+    out = params.select("package", "value").mapInArrow(_references, "package string, q string, n string").distinct()
+    out = ro.written(out.where("q is not null and q <> package").unionByName(out.where("q is null").join(names, ["package", "n"], "left_anti")), "references")
+    if out.isEmpty():
+        links = unit.defs.sparkSession.createDataFrame([], "package string, q string, n string, source string, name string")
+    else:
+        owner = params.select(F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"), F.col("package").alias("source"), F.col("name").alias("name"))
+        offered = unit.package_surface().where("ns = 'value'").withColumnRenamed("name", "n").join(owner, ["target_file", "target"]).select(F.col("package").alias("from"), "n", "source", "name")
+        imports = unit.imports.withColumnRenamed("package", "from").join(packages, ["file_id", "scope_id"]).select("package", "from", "member")
+        named = out.where("q is not null").withColumn("from", F.col("q")).join(offered, ["from", "n"]).withColumn("rank", F.lit(0))
+        seen = out.where("q is null").join(imports, "package").where("member is null or member = n").withColumn("rank", F.when(F.col("member").isNull(), 1).otherwise(0)).drop("member").join(offered, ["from", "n"])
+        every = named.select("package", "q", "n", "source", "name", "rank").unionByName(seen.select("package", "q", "n", "source", "name", "rank"))
+        links = ro.written(ro.precedence_pick(every, ["package", "q", "n"], ["rank", "source", "name"]).drop("rank"), "links")
+    bodies = params.groupBy("package").agg(F.collect_list(F.struct("name", "value")).alias("params"), F.count("*").alias("total"))
+    bodies = ro.written(bodies.join(links.groupBy("package").agg(F.collect_list(F.struct("q", "n")).alias("links")), "package", "left"), "packages")
+    settled = ro.written(bodies.withColumn("known", F.lit(None).cast(_KNOWN)).select("package", "params", "links", "known").mapInArrow(_settled, schema), "constants")
+    count = settled.count()
+    while True:
+        known = links.join(settled.select(F.col("package").alias("source"), "name", "value", "err"), ["source", "name"]).groupBy("package").agg(F.collect_list(F.struct("q", "n", "value", "err")).alias("known"))
+        done = settled.groupBy("package").agg(F.count("*").alias("done"))
+        left = bodies.join(done, "package", "left").where("coalesce(done, 0) < total").select("package", "params", "links")
+        more = left.join(known, "package").select("package", "params", "links", "known").mapInArrow(_settled, schema)
+        fresh = more.join(settled.select("package", "name"), ["package", "name"], "left_anti").select("package", "name", "value", "err")
+        settled = ro.written(settled.unionByName(fresh), "constants")
+        before, count = count, settled.count()
+        if count == before:
             break
-    return state.select("package", "name", F.col("number").alias("value"), F.when(F.col("waits"), "Cycle").otherwise(F.col("err")).alias("err"))
+    lost = params.select("package", "name").join(settled, ["package", "name"], "left_anti")
+    return settled.unionByName(lost.select("package", "name", F.lit(None).cast("long").alias("value"), F.lit("Cycle").alias("err")))
 
 
 def elaborate(unit: Unit, top: str, most: int = MOST_DEPTH) -> DataFrame:
@@ -177,6 +230,11 @@ def elaborate(unit: Unit, top: str, most: int = MOST_DEPTH) -> DataFrame:
     rows = F.struct("ordinal", F.to_json(F.struct("name", "local")).alias("row"), "value")
     params = unit.params.groupBy("file_id", "def_ordinal").agg(F.collect_list(rows).alias("params"))
     values = package_values(unit).where("err is null")
+    # A package also offers what it exports of others.
+    at = unit.symbols.select(F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"), "scope_id", F.col("name").alias("own"))
+    homes = unit.definitions().where("kind = 'package'").select(F.col("file_id").alias("target_file"), "scope_id", F.col("name").alias("home"))
+    offered = unit.package_surface().where("ns = 'value'").join(at, ["target_file", "target"]).join(homes, ["target_file", "scope_id"])
+    values = offered.join(values.select(F.col("package").alias("home"), F.col("name").alias("own"), "value"), ["home", "own"]).select("package", "name", "value")
     surface = unit.imports.join(values, "package").where("member is null or member = name").groupBy("file_id").agg(F.collect_set(F.struct("name", "value")).alias("imported"))
     named = unit.uses.where("qualifier is not null").select("file_id", F.col("qualifier").alias("package"), "name").distinct().join(values, ["package", "name"])
     qualified = named.groupBy("file_id").agg(F.collect_set(F.struct(F.concat_ws("::", "package", "name").alias("name"), "value")).alias("qualified"))

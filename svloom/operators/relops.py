@@ -25,6 +25,8 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="svloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

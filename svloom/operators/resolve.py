@@ -23,6 +23,8 @@ class Unit:
     def __init__(self, facts: DataFrame):
         for table in FACTS:
             setattr(self, table, fact_table(facts, table))
+        self._surface: DataFrame | None = None
+        self._resolved: DataFrame | None = None
 
     def ancestors(self) -> DataFrame:
         """file_id, scope_id, ancestor_id and distance, each scope its own at 0."""
@@ -47,8 +49,13 @@ class Unit:
         """package, ns, name, target_file and target: what a package offers.
 
         Its own symbols come first, then explicit exports, exports of a package's all, and of all imports;
-        packages that are exported in turn are followed.
+        packages that are exported in turn are followed. Computed once a unit.
         """
+        if self._surface is None:
+            self._surface = ro.written(self._offered(), "surface")
+        return self._surface
+
+    def _offered(self) -> DataFrame:
         packages = self.definitions().where("kind = 'package'").select(F.col("name").alias("package"), "file_id", "scope_id")
         own = packages.join(self.symbols, ["file_id", "scope_id"]).select("package", "ns", "name", F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"), F.lit(0).alias("prec"))
         out = packages.join(self.exports.withColumnRenamed("package", "source"), ["file_id", "scope_id"])
@@ -59,7 +66,7 @@ class Unit:
         every = out.where("form = 'all'").select("package").distinct().join(imported.select("package", "source", "member").distinct(), "package").withColumn("prec", F.lit(3))
         edges = explicit.unionByName(wildcard).unionByName(every.select("package", "source", "member", "prec")).distinct()
         surface = own
-        for _ in range(64):
+        while True:  # names are finite and each round adds some
             there = surface.select(F.col("package").alias("source"), "ns", "name", "target_file", "target")
             more = edges.join(there, "source").where("member is null or member = name").select("package", "ns", "name", "target_file", "target", "prec")
             known = surface.select("package", "ns", "name")
@@ -67,14 +74,18 @@ class Unit:
             if fresh.isEmpty():
                 return surface.drop("prec")
             surface = ro.written(surface.unionByName(fresh), "surface")
-        raise ValueError("exports did not settle")
 
     def resolutions(self) -> DataFrame:
-        """file_id, use_ordinal, outcome, step, target_file and target of every use.
+        """file_id, use_ordinal, outcome, step, target_file and target of every use; computed once a unit.
 
         outcome: resolved, ambiguous or unresolved. A definition's target is its ordinal.
         """
-        surface = ro.written(self.package_surface(), "surface")
+        if self._resolved is None:
+            self._resolved = ro.written(self._resolve(), "resolutions")
+        return self._resolved
+
+    def _resolve(self) -> DataFrame:
+        surface = self.package_surface()
         above = ro.written(self.ancestors(), "ancestors")
         spaces = F.when(F.col("expected_ns") == "type_then_value", F.array(F.lit("type"), F.lit("value"))).otherwise(F.array("expected_ns"))
         uses = self.uses.select("file_id", "use_ordinal", "qualifier", "name", "scope_id", "order_key", "expected_ns", F.posexplode(spaces).alias("ns_rank", "ns"))

@@ -23,7 +23,7 @@ def _finding(rows: DataFrame, code: str | Column, name: str | Column = "name", s
 def use_outcomes(unit: Unit, events: DataFrame) -> DataFrame:
     """Uses with their outcome; an unresolved name where a net may be implied is implicit_net or implicit_net_forbidden."""
     uses = unit.uses.select("file_id", "use_ordinal", "name", "start", "implicit")
-    rows = uses.join(ro.written(unit.resolutions(), "resolutions"), ["file_id", "use_ordinal"])
+    rows = uses.join(unit.resolutions(), ["file_id", "use_ordinal"])
     policy = policies.default_nettype(events, uses.where("implicit")).withColumnRenamed("value", "net")
     rows = rows.join(policy, ["file_id", "start"], "left")
     lost = (F.col("outcome") == "unresolved") & F.col("implicit")

@@ -1,7 +1,7 @@
-"""Constants, declared types and assignments of a unit, by levels of what they depend on.
+"""Constants, declared types and assignments of a unit.
 
-A level evaluates, file by file, whatever names have settled so far; its results are joined to the uses
-that resolve to them for the next level. What never settles depends on itself. All joins are on
+A file's symbols are evaluated together, in the order of what they depend on; a round follows the uses that
+resolve to other files, until one settles nothing more. What is left then depends on itself. All joins are on
 (file, symbol) and (file, offset).
 """
 
@@ -19,7 +19,8 @@ from svloom.operators import relops as ro
 from svloom.operators.resolve import Unit
 
 _SETTLED = "file_id int, symbol_id int, value long, err string, type string, width int, signed boolean, four_state boolean"
-MOST_LEVELS = 64
+_KINDS = ("parameter", "localparam", "variable", "net", "port", "typedef", "genvar", "enum_member")
+_NAMED = "array<struct<start:int,value:bigint,err:string,type:string>>"
 
 
 def _starts(e) -> set[int]:
@@ -34,7 +35,7 @@ def _starts(e) -> set[int]:
     return set()
 
 
-def _rows(known: list[dict] | None) -> tuple[dict[int, dict], Typer]:
+def _rows(known: list[dict] | None, file: int) -> tuple[dict[int, dict], Typer]:
     by = {k["start"]: k for k in known or []}
 
     def value(s: int):
@@ -43,27 +44,59 @@ def _rows(known: list[dict] | None) -> tuple[dict[int, dict], Typer]:
         k = by[s]
         return k["err"] or ("NonConstant" if k["value"] is None else k["value"])
 
-    return by, Typer(value, lambda s: json.loads(by[s]["type"]) if s in by and by[s]["type"] else None)
+    return by, Typer(value, lambda s: json.loads(by[s]["type"]) if s in by and by[s]["type"] else None, file)
 
 
-def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _evaluated(symbol: dict, tree: list | None, type_: dict | None, typer: Typer) -> dict:
+    value, err = None, None
+    if tree is not None:
+        got = typer.const(tree)
+        value, err = (None, got) if isinstance(got, str) else (got, None)
+    t = typer.declared(type_) if type_ else typer.expr(tree) if tree else {"width": None, "signed": False, "four_state": False, "kind": "none", "shape": []}
+    return {"value": value, "err": err, "type": t | {"is_type": symbol["kind"] == "typedef"}}
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with the uses that lead to their own symbols or out: all symbols that can be told."""
     names = [x.split()[0] for x in _SETTLED.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
     for b in batches:
         out = []
         for r in b.to_pylist():
-            by, typer = _rows(r["known"])
-            tree = json.loads(r["value"]) if r["value"] and r["kind"] in ("parameter", "localparam") else None
-            type_ = json.loads(r["type"]) if r["type"] else None
-            if not (_starts(tree) | _starts(type_)) <= by.keys():
-                continue
-            value, err = None, None
-            if tree is not None:
-                got = typer.const(tree)
-                value, err = (None, got) if isinstance(got, str) else (got, None)
-            t = typer.declared(type_) if type_ else typer.expr(tree) if tree else {"width": None, "signed": False, "four_state": False, "kind": "none", "shape": []}
-            t |= {"is_type": r["kind"] == "typedef"}
-            out.append((r["file_id"], r["symbol_id"], value, err, json.dumps(t), t["width"], t["signed"], t["four_state"]))
+            file = r["file_id"]
+            known = {k["start"]: k | {"type": json.loads(k["type"]) if k["type"] else None} for k in r["known"] or []}
+            own = {x["start"]: x["target"] for x in r["links"] or [] if x["target_file"] == file}
+            outer = {x["start"] for x in r["links"] or [] if x["target_file"] != file}
+            done: dict[int, dict] = {}
+            at = lambda s, own=own, done=done, known=known: done.get(own[s]) if s in own else known.get(s)
+
+            def value(s: int, at=at):
+                k = at(s)
+                return None if k is None else k["err"] or ("NonConstant" if k["value"] is None else k["value"])
+
+            typer = Typer(value, lambda s, at=at: (at(s) or {}).get("type"), file)
+            symbols = {x["symbol_id"]: x for x in r["symbols"]}
+            trees, waits, waiting = {}, {}, {}
+            for i, x in symbols.items():
+                tree = json.loads(x["value"]) if x["value"] and x["kind"] in ("parameter", "localparam") else None
+                type_ = json.loads(x["type"]) if x["type"] else None
+                starts = _starts(tree) | _starts(type_)
+                if any(s in outer and s not in known for s in starts):
+                    continue
+                trees[i] = tree, type_
+                wanted = {own[s] for s in starts if s in own}
+                waits[i] = len(wanted)
+                for j in wanted:
+                    waiting.setdefault(j, []).append(i)
+            ready = [i for i, k in waits.items() if not k]
+            while ready:
+                i = ready.pop()
+                done[i] = _evaluated(symbols[i], *trees[i], typer)
+                for j in waiting.get(i, ()):
+                    waits[j] -= 1
+                    if not waits[j]:
+                        ready.append(j)
+            out += [(file, i, x["value"], x["err"], json.dumps(x["type"]), x["type"]["width"], x["type"]["signed"], x["type"]["four_state"]) for i, x in done.items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -78,25 +111,31 @@ class Types:
         self.targets = ro.written(targets.select("file_id", "start", F.col("target_file"), F.col("target").cast("int").alias("target")), "targets")
         self.settled = self._settle()
 
-    def _known(self, settled: DataFrame) -> DataFrame:
-        """file_id, start and what the use there resolves to."""
+    def _known(self, settled: DataFrame, outer: bool = False) -> DataFrame:
+        """file_id, start and what the use there resolves to; outer: in another file."""
         there = settled.select(F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"), "value", "err", "type")
-        return self.targets.join(there, ["target_file", "target"]).select("file_id", "start", "value", "err", "type")
+        targets = self.targets.where("target_file <> file_id") if outer else self.targets
+        return targets.join(there, ["target_file", "target"]).select("file_id", "start", "value", "err", "type")
 
     def _settle(self) -> DataFrame:
-        rows = self.unit.symbols.where("kind in ('parameter', 'localparam', 'variable', 'net', 'port', 'typedef', 'genvar', 'enum_member')")
+        rows = self.unit.symbols.where(F.col("kind").isin(*_KINDS))
         left = ro.written(rows.select("file_id", "symbol_id", "kind", F.when(F.col("kind").isin("parameter", "localparam"), F.col("value")).alias("value"), "type"), "symbols")
-        needs = ro.written(left.mapInArrow(_needs, "file_id int, symbol_id int, start int"), "needs")
-        settled = ro.written(left.join(needs, ["file_id", "symbol_id"], "left_anti").withColumn("known", F.lit(None).cast("array<struct<start:int,value:bigint,err:string,type:string>>")).mapInArrow(_level, _SETTLED), "settled")
-        for _ in range(MOST_LEVELS):
-            known = self._known(settled)
-            open_ = needs.join(settled.select("file_id", "symbol_id"), ["file_id", "symbol_id"], "left_anti")
-            got = open_.join(known, ["file_id", "start"], "left").groupBy("file_id", "symbol_id").agg(F.collect_list(F.when(F.col("type").isNotNull(), F.struct("start", "value", "err", "type"))).alias("known"), F.bool_and(F.col("type").isNotNull()).alias("ready"))
-            more = ro.written(left.join(got.where("ready"), ["file_id", "symbol_id"]).select("file_id", "symbol_id", "kind", "value", "type", "known").mapInArrow(_level, _SETTLED), "settled")
-            if more.isEmpty():
+        there = left.select(F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"))
+        links = self.targets.join(there, ["target_file", "target"]).groupBy("file_id").agg(F.collect_list(F.struct("start", "target_file", "target")).alias("links"))
+        files = left.groupBy("file_id").agg(F.collect_list(F.struct("symbol_id", "kind", "value", "type")).alias("symbols"), F.count("*").alias("total"))
+        files = ro.written(files.join(links, "file_id", "left"), "files")
+        settled = ro.written(files.withColumn("known", F.lit(None).cast(_NAMED)).select("file_id", "symbols", "links", "known").mapInArrow(_solved, _SETTLED), "settled")
+        count = settled.count()
+        while True:
+            done = settled.groupBy("file_id").agg(F.count("*").alias("done"))
+            open_ = files.join(done, "file_id", "left").where("coalesce(done, 0) < total").select("file_id", "symbols", "links")
+            known = self._known(settled, outer=True).groupBy("file_id").agg(F.collect_list(F.struct("start", "value", "err", "type")).alias("known"))
+            more = open_.join(known, "file_id").select("file_id", "symbols", "links", "known").mapInArrow(_solved, _SETTLED)
+            fresh = more.join(settled.select("file_id", "symbol_id"), ["file_id", "symbol_id"], "left_anti").select(settled.columns)
+            settled = ro.written(settled.unionByName(fresh), "settled")
+            before, count = count, settled.count()
+            if count == before:
                 return settled
-            settled = ro.written(settled.unionByName(more), "settled")
-        return settled
 
     def symbols(self) -> DataFrame:
         """Each symbol with value, err, width, signed, four_state; err is Cycle where nothing could be told."""
@@ -106,7 +145,7 @@ class Types:
         return found.withColumn("err", F.when(lost, "Cycle").otherwise(F.col("err"))).drop("has")
 
     def _per_file(self, rows: DataFrame, schema: str, work: Callable[[dict, Typer], list[tuple]]) -> DataFrame:
-        """work on each row with all that the file's uses resolve to."""
+        """work on each row; a file's rows come together, with all that the file's uses resolve to."""
         known = self._known(self.settled).groupBy("file_id").agg(F.collect_list(F.struct("start", "value", "err", "type")).alias("known"))
         kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
         names = [x.split()[0] for x in schema.split(", ")]
@@ -114,23 +153,27 @@ class Types:
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = [x for r in b.to_pylist() for x in work(r, _rows(r["known"])[1])]
+                out = []
+                for f in b.to_pylist():
+                    typer = _rows(f["known"], f["file_id"])[1]
+                    out += [x for r in f["rows"] for x in work(r, typer)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-        return rows.join(known, "file_id", "left").mapInArrow(each, schema)
+        files = rows.groupBy("file_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+        return files.join(known, "file_id", "left").mapInArrow(each, schema)
 
     def enum_members(self) -> DataFrame:
-        """file_id, start (of the enum), ordinal, name, value, err, generated."""
+        """file_id, start (of the enum), ordinal, name, value, err, generated, and at, where the member is declared."""
         work = lambda r, t: [(r["file_id"], r["start"], *m) for m in t.members(json.loads(r["base"]), json.loads(r["members"]))]
-        return self._per_file(self.unit.types.where("kind = 'enum'").select("file_id", "start", "base", "members"), "file_id int, start int, ordinal int, name string, value long, err string, generated boolean", work)
+        return self._per_file(self.unit.types.where("kind = 'enum'").select("file_id", "start", "base", "members"), "file_id int, start int, ordinal int, name string, value long, err string, generated boolean, at int", work)
 
     def enum_findings(self) -> DataFrame:
         """enum_overflow, enum_duplicate_value and enum_bad_range; overflown members are no duplicates."""
-        members = self.enum_members()
-        broken = members.where("err in ('Overflow', 'BadRange', 'RangeLimit')").select("file_id", "start", "name", F.when(F.col("err") == "Overflow", "enum_overflow").otherwise("enum_bad_range").alias("code"))
-        twice = ro.duplicates_after_first(members.where("value is not null").drop("ordinal").withColumn("at", F.col("name")), ["file_id", "start", "value"], ["at"])
-        return broken.unionByName(twice.select("file_id", "start", "name", F.lit("enum_duplicate_value").alias("code")))
+        members = self.enum_members().withColumnRenamed("ordinal", "nth")
+        broken = members.where("err in ('Overflow', 'BadRange', 'RangeLimit')").withColumn("code", F.when(F.col("err") == "Overflow", "enum_overflow").otherwise("enum_bad_range"))
+        twice = ro.duplicates_after_first(members.where("value is not null"), ["file_id", "start", "value"], ["nth"]).withColumn("code", F.lit("enum_duplicate_value"))
+        return broken.select("file_id", F.col("at").alias("start"), "name", "code").unionByName(twice.select("file_id", F.col("at").alias("start"), "name", "code"))
 
     def known_value_sets(self) -> DataFrame:
         """file_id, start and the sorted values of each enum, null if one can't be told."""
@@ -167,14 +210,3 @@ class Types:
     def truncations(self) -> DataFrame:
         """Assignments of a sized expression that is wider than what it is assigned to (a warning)."""
         return self.assignments().where("rhs_sized and rhs_width > lhs_width")
-
-
-def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The uses that each symbol's value and type wait for."""
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            wanted = _starts(json.loads(r["value"]) if r["value"] else None) | _starts(json.loads(r["type"]) if r["type"] else None)
-            out += [(r["file_id"], r["symbol_id"], s) for s in sorted(wanted)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*out, strict=True)], names=["file_id", "symbol_id", "start"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from svloom.functions import consteval as ce
 from svloom.functions import lexer, parser
 from svloom.functions import preprocess as pp
 from svloom.operators import connect, cursor, elab, members, policies, rules
@@ -17,6 +18,7 @@ from svloom.operators import relops as ro
 from svloom.operators.resolve import Unit
 from svloom.operators.types import Types
 from svloom.plans.lane_b import query, read
+from svloom.sources import sv_files
 from svloom.streaming import changes
 
 NATIONS, REGIONS, TOP = 1_000_000, 2_000_000, 3_000_000
@@ -31,11 +33,14 @@ NATION_TEXT = "'package nat_' || n_nationkey || '; parameter K = ' || n_nationke
 REGION_TEXT = "'package reg_' || r_regionkey || '; parameter B = 3 * ' || r_regionkey || ' + 1; typedef enum { A' || r_regionkey || ', Z } e_t; endpackage' || chr(10)"
 
 
+_TOP_BEGIN, _TOP_END = "module leaf(input logic a); endmodule\nmodule design_top;\n", "endmodule\n"
+
+
 def design(spark: SparkSession, d: str) -> DataFrame:
     """file_id, path, text and includes (none)."""
     own = lambda t, key, base, stem, text: read(spark, d, t).select((F.col(key) + base).cast("int").alias("file_id"), F.concat(F.lit(stem), key, F.lit(".sv")).alias("path"), F.expr(text).alias("text"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: F.format_string("  sup_%d s_%d(.a(1'b1));\n", k, k)), "")
-    top = read(spark, d, "supplier").agg(F.concat(F.lit("module leaf(input logic a); endmodule\nmodule design_top;\n"), lines, F.lit("endmodule\n")).alias("text")).select(F.lit(TOP).alias("file_id"), F.lit("top.sv").alias("path"), "text")
+    top = read(spark, d, "supplier").agg(F.concat(F.lit(_TOP_BEGIN), lines, F.lit(_TOP_END)).alias("text")).select(F.lit(TOP).alias("file_id"), F.lit("top.sv").alias("path"), "text")
     files = own("supplier", "s_suppkey", 0, "sup_", SUPPLIER_TEXT).unionByName(own("nation", "n_nationkey", NATIONS, "nat_", NATION_TEXT)).unionByName(own("region", "r_regionkey", REGIONS, "reg_", REGION_TEXT)).unionByName(top)
     return files.withColumn("includes", F.array().cast("array<struct<kind:string,spelling:string,file_id:int,text:string>>"))
 
@@ -48,9 +53,10 @@ def unit(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Unit]:
 
 
 @query(f"""SELECT s_suppkey AS file_id, strlen({SUPPLIER_TEXT}) AS n_bytes, 0::BIGINT AS n_errors FROM supplier UNION ALL SELECT n_nationkey + {NATIONS}, strlen({NATION_TEXT}), 0 FROM nation
-UNION ALL SELECT r_regionkey + {REGIONS}, strlen({REGION_TEXT}), 0 FROM region""")
+UNION ALL SELECT r_regionkey + {REGIONS}, strlen({REGION_TEXT}), 0 FROM region
+UNION ALL SELECT {TOP}, sum(strlen('  sup_' || s_suppkey || ' s_' || s_suppkey || '(.a(1''b1));' || chr(10)))::BIGINT + {len(_TOP_BEGIN) + len(_TOP_END)}, 0 FROM supplier""")
 def sv_tokens(spark, d):
-    tokens = lexer.tokens(design(spark, d).where(f"file_id <> {TOP}"))
+    tokens = lexer.tokens(design(spark, d))
     return tokens.groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.sum("len").alias("n_bytes"), F.sum(F.when(F.col("kind") == "error", 1).otherwise(0)).cast("long").alias("n_errors"))
 
 
@@ -216,3 +222,65 @@ def sv_changes(spark, d):
     nation = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("file_id"), F.concat(F.lit("n"), "n_nationkey").alias("path"), F.expr(TYPED_TEXT).alias("text"), F.array().cast("array<struct<kind:string,spelling:string,file_id:int,text:string>>").alias("includes"))
     edited = F.when(F.col("file_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("  "))).when(F.col("file_id") % 3 == 1, F.replace("text", F.lit("word_t"), F.lit("term_t"))).otherwise(F.col("text"))
     return changes.changed(changes.fingerprints(nation), changes.fingerprints(nation.withColumn("text", edited)))
+
+
+# Chains, literals, includes and enums
+
+DEEP_TEXT = """'package deep_' || n_nationkey || ';' || array_join(transform(sequence(200, 1, -1), i -> 'parameter A' || i || ' = A' || (i - 1) || ' + 1;'), '') || 'parameter A0 = ' || n_nationkey || ';'
+|| 'parameter X = Y; parameter Y = X; parameter Z = nowhere + 1; endpackage module dm_' || n_nationkey || '; import deep_' || n_nationkey || '::*; localparam L0 = A200;' || array_join(transform(sequence(1, 200), i -> 'localparam L' || i || ' = L' || (i - 1) || ' + 1;'), '') || 'endmodule'"""
+_DEEP_ODD = "SELECT n_nationkey AS file_id, v.name, NULL::BIGINT AS value, v.err FROM nation JOIN (VALUES ('X', 'Cycle'), ('Y', 'Cycle'), ('Z', 'Unresolved')) v(name, err) ON true"
+
+
+def written_texts(spark: SparkSession, d: str, table: str, key: str, text: str) -> Unit:
+    """The facts of a file a row."""
+    return Unit(ro.written(parser.facts(read(spark, d, table).select(F.col(key).cast("int").alias("file_id"), F.expr(text).alias("text"))), "facts"))
+
+
+@query(f"SELECT n_nationkey AS file_id, 'A' || i AS name, (n_nationkey + i)::BIGINT AS value, NULL AS err FROM nation, range(0, 201) r(i) UNION ALL {_DEEP_ODD}")
+def sv_deep_constants(spark, d):
+    values = elab.package_values(written_texts(spark, d, "nation", "n_nationkey", DEEP_TEXT))
+    return values.select(F.regexp_extract("package", "_(.*)", 1).cast("int").alias("file_id"), "name", "value", "err")
+
+
+@query(f"""SELECT n_nationkey AS file_id, 'A' || i AS name, (n_nationkey + i)::BIGINT AS value, NULL AS err FROM nation, range(0, 201) r(i) UNION ALL {_DEEP_ODD}
+UNION ALL SELECT n_nationkey, 'L' || i, (n_nationkey + 200 + i)::BIGINT, NULL FROM nation, range(0, 201) r(i)""")
+def sv_deep_parameters(spark, d):
+    return Types(written_texts(spark, d, "nation", "n_nationkey", DEEP_TEXT)).symbols().where("kind in ('parameter', 'localparam')").select("file_id", "name", "value", "err")
+
+
+#: What stands before the digits, and whether these are the row's own.
+_LITERALS = (("'h", "own"), ("8'h", "own"), ("8'bx", ""), ("8'sh", "own"), ("'hFFFFFFFF", "long"), ("8'shx", ""), ("12'h00000000000000000000", "own"), ("64'hFFFFFFFFFFFFFFFF", ""), ("'h7fffffffffffffff", ""), ("65'h", "own"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN p_partkey * 1000003 WHEN 1 THEN (p_partkey * 1000003) % 256 WHEN 6 THEN (p_partkey * 1000003) % 4096 WHEN 7 THEN -1 WHEN 8 THEN 9223372036854775807 END::BIGINT AS value,
+CASE p_partkey % 10 WHEN 2 THEN 'NonConstant' WHEN 3 THEN 'Unsupported' WHEN 4 THEN 'Overflow' WHEN 5 THEN 'NonConstant' WHEN 9 THEN 'Overflow' END AS err FROM part""")
+def sv_literals(spark, d):
+    digits = F.hex(F.col("p_partkey") * 1000003)
+    text = F.lit(None).cast("string")
+    for i, (head, rest) in enumerate(_LITERALS):
+        own = F.concat(F.lit(head), {"own": digits, "long": F.lpad(digits, 16, "0"), "": F.lit("")}[rest])
+        text = F.when(F.col("p_partkey") % 10 == i, own).otherwise(text)
+    got = ce.based_literal(text)
+    return read(spark, d, "part").select("p_partkey", got["value"].alias("value"), got["err"].alias("err"))
+
+
+INCLUDING = """'string s = "`include <no.svh> /* ";' || chr(10) || '// `include "no.svh"' || chr(10) || '`include "h_' || n_regionkey || '.svh"' || chr(10) || '/* `include <no.svh> */ `include <h_' || (n_regionkey + 1) % 5 || '.svh>' || chr(10)"""
+
+
+@query(f"""SELECT n_nationkey AS file_id, v.kind, 'h_' || (CASE v.kind WHEN 'quoted' THEN n_regionkey ELSE (n_regionkey + 1) % 5 END) || '.svh' AS spelling, {REGIONS} + (CASE v.kind WHEN 'quoted' THEN n_regionkey ELSE (n_regionkey + 1) % 5 END) AS target_file_id
+FROM nation JOIN (VALUES ('quoted'), ('angle')) v(kind) ON true""")
+def sv_includes(spark, d):
+    roots = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("file_id"), F.concat(F.lit("src/n_"), "n_nationkey", F.lit(".sv")).alias("path"), F.expr(INCLUDING).alias("text"))
+    heads = read(spark, d, "region").select((F.col("r_regionkey") + REGIONS).cast("int").alias("file_id"), F.concat(F.lit("inc/h_"), "r_regionkey", F.lit(".svh")).alias("path"), F.lit("").alias("text"))
+    return sv_files.include_map(ro.written(roots.unionByName(heads), "sources"), ["inc"])
+
+
+ENUMS_TEXT = "'package en_' || n_nationkey || '; typedef enum logic [2:0] { B = 1, A = 1, C = ' || (n_nationkey % 12) || ', D' || ' } e_t; endpackage'"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, n_nationkey % 12 AS c, {ENUMS_TEXT} AS t FROM nation)
+SELECT k AS file_id, 'A' AS name, 'enum_duplicate_value' AS code, strpos(t, 'A = 1') - 1 AS start FROM n UNION ALL SELECT k, 'C', 'enum_overflow', strpos(t, 'C = ') - 1 FROM n WHERE c > 7 UNION ALL SELECT k, 'C', 'enum_duplicate_value', strpos(t, 'C = ') - 1 FROM n WHERE c = 1
+UNION ALL SELECT k, 'D', 'enum_overflow', strpos(t, ', D') + 1 FROM n WHERE c + 1 > 7 UNION ALL SELECT k, 'D', 'enum_duplicate_value', strpos(t, ', D') + 1 FROM n WHERE c + 1 = 1""")
+def sv_enum_findings(spark, d):
+    found = Types(written_texts(spark, d, "nation", "n_nationkey", ENUMS_TEXT)).enum_findings()
+    return found.select("file_id", "name", "code", F.col("start").cast("long").alias("start"))

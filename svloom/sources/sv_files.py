@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from svloom.functions.lexer import lex
 from svloom.operators import relops as ro
 
 SOURCES = "file_id int, path string, text string"
@@ -37,20 +40,33 @@ def read(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return numbered(rows).select("file_id", "path", "text")
 
 
+_REQUEST = re.compile(r'[ \t]*("[^"\n]*"|<[^>\n]*>)')
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out: dict[tuple[int, str, str], None] = {}
+        for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            at = 0
+            for t in lex(text) if text and "`include" in text else ():
+                at += len(t.text)
+                if t.kind == "directive" and t.text == "`include" and (m := _REQUEST.match(text, at)):
+                    out[file, "quoted" if m[1][0] == '"' else "angle", m[1][1:-1]] = None
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.string()), strict=True)], names=["file_id", "kind", "spelling"])
+
+
 def include_requests(sources: DataFrame) -> DataFrame:
-    """file_id, kind (quoted or angle) and spelling of the `include directives outside comments and strings."""
-    code = F.regexp_replace("text", r'(?s)//[^\n]*|/\*.*?\*/', " ")
-    found = F.regexp_extract_all(code, F.lit(r'(?m)`include[ \t]+("[^"\n]*"|<[^>\n]*>)'), F.lit(1))
-    words = sources.select("file_id", F.explode(F.array_distinct(found)).alias("w"))
-    return words.select("file_id", F.when(F.col("w").startswith('"'), "quoted").otherwise("angle").alias("kind"), F.expr("substring(w, 2, length(w) - 2)").alias("spelling"))
+    """file_id, kind (quoted or angle) and spelling of the `include directives, each once a file; comments and strings hold none."""
+    return sources.select("file_id", "text").mapInArrow(_requests, "file_id int, kind string, spelling string").distinct()
 
 
-def include_map(sources: DataFrame, include_dirs: Sequence[str] = ()) -> DataFrame:
-    """file_id, kind, spelling and target_file_id: the first place on the search path that has the file.
+def include_map(sources: DataFrame, include_dirs: Sequence[str] = (), asking: DataFrame | None = None) -> DataFrame:
+    """file_id, kind, spelling and target_file_id: the first place on the search path that has the file; asking: of those sources alone.
 
     Quoted names are sought beside the including file first, then in the include folders; others in the folders.
     """
-    asked = include_requests(sources).join(sources.select("file_id", "path"), "file_id")
+    asked = include_requests(sources if asking is None else asking).join(sources.select("file_id", "path"), "file_id")
     beside = F.when(F.col("path").contains("/"), F.concat(F.regexp_extract("path", "^(.*)/", 1), F.lit("/"), "spelling")).otherwise(F.col("spelling"))
     places = [F.when(F.col("kind") == "quoted", beside), *[F.concat(F.lit(d.rstrip("/") + "/"), F.col("spelling")) for d in include_dirs]]
     tried = asked.select("file_id", "kind", "spelling", F.posexplode(F.array(*places)).alias("rank", "path")).where("path is not null")
@@ -58,16 +74,15 @@ def include_map(sources: DataFrame, include_dirs: Sequence[str] = ()) -> DataFra
     return ro.precedence_pick(found, ["file_id", "kind", "spelling"], ["rank", "target_file_id"]).select("file_id", "kind", "spelling", "target_file_id")
 
 
-def include_closure(includes: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def include_closure(includes: DataFrame, roots: DataFrame) -> DataFrame:
     """file_id of all roots and of the files that they include, however indirectly."""
     seen = ro.written(roots.select("file_id").distinct(), "includes")
     edge = includes.select("file_id", F.col("target_file_id").alias("next")).distinct()
-    for _ in range(most):
+    while True:  # files are finite and each round adds some
         more = ro.written(seen.join(edge, "file_id").select(F.col("next").alias("file_id")).distinct().join(seen, "file_id", "left_anti"), "includes")
         if more.isEmpty():
             return seen
         seen = ro.written(seen.unionByName(more), "includes")
-    raise ValueError("includes are nested too deeply")
 
 
 def with_includes(sources: DataFrame, includes: DataFrame) -> DataFrame:
