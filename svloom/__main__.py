@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from svloom.functions import preprocess as pp
 from svloom.functions.parser import facts
-from svloom.operators import connect, elab, members, rules
+from svloom.operators import connect, elab, legality, members, rules
 from svloom.operators import relops as ro
 from svloom.operators.resolve import Unit
 from svloom.operators.types import Types
@@ -29,7 +29,7 @@ def unit_findings(unit: Unit, events: DataFrame, top: str | None) -> DataFrame:
     types = Types(unit)
     columns = ["file_id", "code", "severity", "name", "start"]
     found = rules.findings(unit, events).select(columns)
-    found = found.unionByName(connect.findings(unit).select(columns))
+    found = found.unionByName(connect.findings(unit).select(columns)).unionByName(legality.findings(types).select(columns))
     for rows, severity in ((members.method_findings(types), "error"), (members.system_findings(unit), "error"), (types.enum_findings(), "error"), (types.packed_union_findings(), "error")):
         found = found.unionByName(rows.withColumn("severity", F.lit(severity)).select(columns))
     cut = types.truncations().select("file_id", F.lit("assignment_truncation").alias("code"), F.lit("warning").alias("severity"), F.format_string("%d to %d bits", "rhs_width", "lhs_width").alias("name"), "start")

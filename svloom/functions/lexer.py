@@ -12,19 +12,26 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Fixed values of the language: the reserved words that the grammar here gives a meaning to.
+#: Fixed values of the language: reserved words that aren't made by a rule below.
+_WORDS = """
+    accept_on alias always always_comb always_ff always_latch and assert assign assume automatic before begin bind bins binsof bit break buf byte case casex casez
+    cell chandle checker class clocking cmos config const constraint context continue cover covergroup coverpoint cross deassign default defparam design disable
+    dist do edge else end enum event eventually expect export extends extern final first_match for force foreach forever fork forkjoin function generate genvar
+    global if iff ifnone ignore_bins illegal_bins implements implies import incdir include initial inout input inside instance int integer interconnect interface
+    intersect join join_any join_none large let liblist library local localparam logic longint macromodule matches medium modport module nand negedge nettype new
+    nexttime nmos nor noshowcancelled not null or output package packed parameter pmos posedge primitive priority program property protected pulldown pullup
+    pulsestyle_ondetect pulsestyle_onevent pure rand randc randcase randsequence real realtime ref reg reject_on release repeat restrict return scalared sequence
+    shortint shortreal showcancelled signed small soft solve specify specparam static string strong struct super table tagged task this throughout time
+    timeprecision timeunit tran tri triand trior trireg type typedef union unique unsigned until until_with untyped use uwire var vectored virtual void wait
+    wait_order wand weak while wildcard wire with within wor xnor xor
+""".split()
+#: Blocks that end in a word of their own, words with a strength or level of 0 or 1, resistive gates, and strong and synchronous properties.
+_ENDED = "case checker class clocking config function generate group interface module package primitive program property specify sequence table task".split()
+_LEVELLED = "bufif notif highz pull strong supply tri tranif rtranif weak".split()
 KEYWORDS = frozenset(
-    """
-    always always_comb always_ff always_latch and assert assign assume automatic begin bind bit break buf byte case casex casez
-    chandle checker class const constraint continue cover default defparam disable do edge else end endcase endchecker endclass
-    endfunction endgenerate endinterface endmodule endpackage endprimitive endprogram endtask enum event export extends extern
-    final for force foreach forever fork forkjoin function generate genvar highz0 highz1 if iff import initial inout input inside
-    int integer interconnect interface join join_any join_none large localparam logic longint macromodule matches medium modport
-    module nand negedge nettype new nor not null or output package packed parameter posedge primitive priority program property
-    pull0 pull1 real realtime ref reg release repeat return sequence shortint shortreal signed small soft specify specparam static
-    string strong0 strong1 struct supply0 supply1 tagged task this time timeprecision timeunit tri tri0 tri1 triand trior trireg
-    type typedef union unique unique0 unsigned uwire var vectored void wait wand weak0 weak1 while wire with wor xnor xor
-    """.split()
+    [*_WORDS, *("end" + w for w in _ENDED), *(w + k for w in _LEVELLED for k in "01"), "unique0", *("r" + w for w in ("cmos", "nmos", "pmos", "tran"))]
+    + ["s_" + w for w in ("always", "eventually", "nexttime", "until", "until_with")]
+    + ["sync_" + w for w in ("accept_on", "reject_on")]
 )
 NET_KINDS = ("wire", "tri", "tri0", "tri1", "wand", "wor", "triand", "trior", "trireg", "uwire", "supply0", "supply1", "interconnect")
 TRIVIA = ("space", "line_comment", "block_comment")

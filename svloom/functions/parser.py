@@ -2,7 +2,7 @@
 
 It never fails: what it doesn't know is skipped to the next semicolon. Facts are rows of tables:
 defs, scopes, symbols, imports, exports, uses, params, ports, bodies (what elaboration needs, as a
-tree), types (enum and record members) and sites (statements that rules look at). Offsets are bytes of the
+tree), types (enum and record members), callables and sites (what rules look at, syntax errors included). Offsets are bytes of the
 expanded text. order_key counts imports, uses and declarations in reading order.
 """
 
@@ -21,6 +21,8 @@ from svloom.functions.lexer import NET_KINDS, TRIVIA, Token, lex
 #: Fixed values of the language.
 DATA_TYPES = ("bit", "logic", "reg", "byte", "shortint", "int", "longint", "integer", "time", "real", "realtime", "shortreal", "string", "chandle", "event", "void")
 UNITS = {"module": "endmodule", "macromodule": "endmodule", "interface": "endinterface", "program": "endprogram", "package": "endpackage", "primitive": "endprimitive", "checker": "endchecker"}
+#: Blocks that are passed over.
+PASSED = {"property": "endproperty", "sequence": "endsequence", "covergroup": "endgroup", "clocking": "endclocking", "specify": "endspecify", "config": "endconfig"}
 DIRECTIONS = ("input", "output", "inout", "ref")
 LEVELS = (("->", "<->"), ("||",), ("&&",), ("|",), ("^", "^~", "~^"), ("&",), ("==", "!=", "===", "!==", "==?", "!=?"), ("<", "<=", ">", ">=", "inside"), ("<<", ">>", "<<<", ">>>"), ("+", "-"), ("*", "/", "%"), ("**",))
 POWER = {op: 2 * i + 2 for i, ops in enumerate(LEVELS) for op in ops}
@@ -36,10 +38,11 @@ class Parser:
         self.t = [t for t in lex(text) if t.kind not in TRIVIA]
         self.i = 0
         self.order = 0
-        self.facts: dict[str, list[dict]] = {k: [] for k in ("defs", "scopes", "symbols", "imports", "exports", "uses", "params", "ports", "bodies", "types", "sites")}
+        self.facts: dict[str, list[dict]] = {k: [] for k in ("defs", "scopes", "symbols", "imports", "exports", "uses", "params", "ports", "bodies", "types", "callables", "sites")}
         self.scope = self.open("file", None, None)
         self.loops = 0
         self.callable: str | None = None
+        self.accesses: dict[int, dict] = {}  # sites of members of named things, by the name's place
         self.implicit = False  # whether an undeclared name here would declare a net
 
     # Tokens
@@ -110,8 +113,23 @@ class Parser:
     def use(self, t: Token, ns: str, qualifier: str | None = None) -> None:
         self.add("uses", use_ordinal=len(self.facts["uses"]), qualifier=qualifier, name=t.text.lstrip("\\"), expected_ns=ns, scope_id=self.scope, order_key=self.key(), start=t.start, len=t.len, implicit=self.implicit)
 
-    def site(self, kind: str, t: Token, detail: str | None = None) -> None:
-        self.add("sites", kind=kind, start=t.start, len=t.len, scope_id=self.scope, loop_depth=self.loops, callable=self.callable, detail=detail)
+    def site(self, kind: str, t: Token, detail: str | None = None) -> dict:
+        return self.add("sites", kind=kind, start=t.start, len=t.len, scope_id=self.scope, loop_depth=self.loops, callable=self.callable, detail=detail)
+
+    def problem(self, t: Token, what: str) -> None:
+        """A syntax error; at the end of the text it lies on the last token."""
+        self.site("syntax", t if t is not STOP or not self.t else self.t[-1], what)
+
+    def close(self, opened: Token, *ends: str) -> None:
+        if not self.eat(*ends):
+            self.problem(opened, f"missing {ends[0]}")
+
+    def semicolon(self) -> None:
+        """The end of a declaration or statement; where another one begins instead, one is missing."""
+        if self.now is STOP or self.now.kind == "keyword" and not self.at("with", "matches", "inside"):
+            self.problem(self.now, "expected ;")
+            return
+        self.skip_to(";")
 
     # Units
 
@@ -128,10 +146,13 @@ class Parser:
 
     def unit(self) -> None:
         self.eat("extern")
-        kind = self.take().text
+        outside = self.t[self.i - 1].text == "extern" if self.i else False
+        opened = self.take()
+        kind = opened.text
         self.eat("static") or self.eat("automatic")
         t = self.name()
         if t is None:
+            self.problem(opened, "expected a name")
             return
         kind = "module" if kind == "macromodule" else kind
         ordinal = len(self.facts["defs"])
@@ -144,12 +165,15 @@ class Parser:
             self.param_ports(ordinal)
         if self.at("("):
             self.port_list(ordinal)
-        self.skip_to(";")
+        self.semicolon()
+        if outside:
+            self.scope = outer
+            return
         if kind == "primitive":
             while self.now is not STOP and not self.at("endprimitive"):
                 self.i += 1
-        self.items(body, UNITS[kind], unit=ordinal)
-        self.eat(UNITS[kind])
+        self.items(body, UNITS[kind], *UNITS, unit=ordinal)
+        self.close(opened, UNITS[kind])
         if self.eat(":"):
             self.take()
         self.add("bodies", ordinal=ordinal, body=json.dumps(body))
@@ -194,9 +218,10 @@ class Parser:
                 direction = self.take().text
             if self.at(*NET_KINDS, "var"):
                 self.i += 1
-            type_, modport = None, None
+            type_, modport, interface = None, None, None
             if self.starts_type() or self.now.kind == "ident" and (self.peek().kind == "ident" or self.peek().text in ("::", ".") and self.peek(3).kind == "ident"):
                 if self.now.kind == "ident" and self.peek().text == ".":
+                    interface = self.now.text
                     self.use(self.take(), "definition")
                     self.i += 1
                     modport = self.take().text
@@ -210,7 +235,7 @@ class Parser:
                 dims = self.dims()
                 value = self.expr() if self.eat("=") else None
                 self.declare(t, "port", value, (type_ or {"name": "logic", "dims": [], "signed": False}) | {"unpacked": dims})
-                self.add("ports", def_ordinal=ordinal, ordinal=n, name=t.text, direction=direction, modport=modport)
+                self.add("ports", def_ordinal=ordinal, ordinal=n, name=t.text, direction=direction, modport=modport, interface=interface)
                 n += 1
             elif not self.at(",", ")"):
                 self.i += 1
@@ -219,7 +244,16 @@ class Parser:
     # Items
 
     def items(self, body: list, *ends: str, unit: int | None = None) -> None:
-        while self.now is not STOP and not self.at(*ends):
+        while self.now is not STOP:
+            if self.at(*ends):
+                if self.now.text not in UNITS:
+                    return
+                # A unit in another: nested if it names itself and the outer one has an end left, else the end is missing.
+                rest = sum((t.text == ends[0]) - (UNITS.get(t.text) == ends[0]) for t in self.t[self.i :] if t.kind == "keyword")
+                if rest < 1:
+                    return
+                self.unit()
+                continue
             before = self.i
             self.item(body, unit)
             if self.i == before:
@@ -252,10 +286,11 @@ class Parser:
                 left = self.expr()
                 self.implicit = False
                 right = self.expr() if self.eat("=") else None
+                self.written(left, False)
                 self.site("assign", start, json.dumps([left, right]))
                 if not self.eat(","):
                     break
-            self.skip_to(";")
+            self.semicolon()
         elif self.at("always", "always_comb", "always_ff", "always_latch", "initial", "final"):
             self.i += 1
             self.statement()
@@ -285,7 +320,7 @@ class Parser:
                     if known:
                         known["direction"] = direction
                     else:
-                        self.add("ports", def_ordinal=unit, ordinal=len(own), name=n.text, direction=direction, modport=None)
+                        self.add("ports", def_ordinal=unit, ordinal=len(own), name=n.text, direction=direction, modport=None, interface=None)
                 if not self.eat(","):
                     break
             self.skip_to(";")
@@ -294,13 +329,34 @@ class Parser:
             self.skip_strength()
             type_ = self.type_() if self.starts_type() or self.at("[", "signed", "unsigned") else {"name": "logic", "dims": [], "signed": False}
             self.declarators("net", type_)
+        elif self.at("timeunit", "timeprecision"):
+            self.i += 1
+            words = []
+            while self.now is not STOP and not self.at(";") and self.now.kind != "keyword":
+                words.append(self.take().text)
+            self.site(t.text, t, "".join(words))
+            self.semicolon()
         elif self.at("var", "const", "static", "automatic") or self.starts_type():
+            if self.at("automatic"):
+                self.site("automatic", t)
             self.declaration()
         elif t.kind == "ident":
             self.instance_or_declaration(body)
         elif self.eat(";"):
             pass
+        elif self.at(*PASSED):
+            while self.now is not STOP and not self.at(PASSED[t.text], *UNITS.values()):
+                self.i += 1
+            self.close(t, PASSED[t.text])
+            if self.eat(":"):
+                self.name()
+        elif t.kind == "keyword" and t.text.startswith("end"):
+            self.i += 1  # of something that isn't read here
+            if self.eat(":"):
+                self.name()
         else:
+            if t.kind in ("op", "number", "based", "string"):
+                self.problem(t, f"unexpected {t.text}")
             self.i += 1
             self.skip_to(";")
 
@@ -376,7 +432,7 @@ class Parser:
                 found.append(["queue", self.expr() if self.eat(":") else None])
             elif self.at("*"):
                 self.i += 1
-                found.append(["assoc"])
+                found.append(["assoc", "*"])
             elif self.at(*DATA_TYPES):
                 self.type_()
                 found.append(["assoc"])
@@ -460,19 +516,24 @@ class Parser:
         return {"name": kind, "packed": packed, "signed": signed, "members": members, "site": start.start, "dims": self.dims()}
 
     def declaration(self) -> None:
+        constant = False
         while self.at("var", "const", "static", "automatic"):
-            self.i += 1
+            constant |= self.take().text == "const"
         type_ = self.type_() if not (self.now.kind == "ident" and self.peek().text in ("=", ";", ",", "[")) else {"name": "logic", "signed": False, "dims": []}
-        self.declarators("variable", type_)
+        self.declarators("variable", type_, constant)
 
-    def declarators(self, kind: str, type_: dict) -> None:
+    def declarators(self, kind: str, type_: dict, constant: bool = False) -> None:
         while n := self.name():
             dims = self.dims()
             value = self.expr() if self.eat("=") else None
+            if constant and value is None:
+                self.site("const_uninitialised", n, n.text)
+            if type_.get("name") == "void":
+                self.site("void_variable", n, n.text)
             self.declare(n, kind, value, type_ | {"unpacked": dims})
             if not self.eat(","):
                 break
-        self.skip_to(";")
+        self.semicolon()
 
     def instance_or_declaration(self, body: list) -> None:
         k = 1
@@ -653,7 +714,8 @@ class Parser:
     # Subprograms and statements
 
     def subprogram(self) -> None:
-        kind = self.take().text
+        opened = self.take()
+        kind = opened.text
         self.eat("static") or self.eat("automatic")
         if kind == "function" and (self.starts_type() or self.at("[") or self.now.kind == "ident" and self.peek().kind == "ident"):
             self.type_()
@@ -662,29 +724,41 @@ class Parser:
             self.skip_to("end" + kind)
             return
         self.declare(t, kind)
+        params: list[dict] = []
+        row = self.add("callables", ordinal=len(self.facts["callables"]), name=t.text, kind=kind, start=t.start, scope_id=self.scope, params="[]")
+        direction = "input"
         outer, self.scope = self.scope, self.open(kind, self.scope, t.text)
         was, self.callable, loops, self.loops = self.callable, kind, self.loops, 0
         if self.eat("("):
             while self.now is not STOP and not self.eat(")"):
-                self.eat(*DIRECTIONS)
+                self.eat("const")
+                if self.at(*DIRECTIONS):
+                    direction = self.take().text
                 self.eat("var")
-                if self.starts_type() or self.at("[") or self.now.kind == "ident" and self.peek().kind == "ident":
-                    self.type_()
+                type_ = self.type_() if self.starts_type() or self.at("[") or self.now.kind == "ident" and self.peek().kind == "ident" else None
                 if n := self.name():
-                    self.dims()
-                    self.declare(n, "variable", self.expr() if self.eat("=") else None)
+                    type_ = (type_ or {"name": "logic", "signed": False, "dims": []}) | {"unpacked": self.dims()}
+                    value = self.expr() if self.eat("=") else None
+                    self.declare(n, "variable", None, type_)
+                    params.append({"name": n.text, "direction": direction, "optional": value is not None})
                 elif not self.at(",", ")"):
                     self.i += 1
                 self.eat(",")
         self.skip_to(";")
-        while self.now is not STOP and not self.at("end" + kind):
-            before = self.i
-            if self.at(*DIRECTIONS):
-                self.i += 1
-            self.statement()
+        while self.now is not STOP and not self.at("end" + kind, *UNITS, *UNITS.values()):
+            before, known = self.i, len(self.facts["symbols"])
+            own = self.take().text if self.at(*DIRECTIONS) else None
+            if own:
+                typed = self.starts_type() or self.at("[") or self.now.kind == "ident" and self.peek().kind == "ident"
+                self.declarators("variable", self.type_() if typed else {"name": "logic", "signed": False, "dims": []})
+            else:
+                self.statement()
+            if own:
+                params += [{"name": x["name"], "direction": own, "optional": False} for x in self.facts["symbols"][known:]]
             if self.i == before:
                 self.i += 1
-        self.eat("end" + kind)
+        row["params"] = json.dumps(params)
+        self.close(opened, "end" + kind)
         if self.eat(":"):
             self.take()
         self.scope, self.callable, self.loops = outer, was, loops
@@ -745,11 +819,19 @@ class Parser:
             if n := self.name():
                 self.use(n, "value")
             self.eat("[")
+            found, own = [], None
             while self.now is not STOP and not self.eat("]"):
                 if v := self.name():
-                    self.declare(v, "variable")
+                    self.declare(v, "variable", None, {"name": "int", "signed": True, "dims": [], "unpacked": []})
+                    self.site("loop_variable", v, v.text)
+                    own = v.text
+                elif self.eat(","):
+                    found.append(own)
+                    own = None
                 else:
                     self.i += 1
+            if n:
+                self.site("foreach", n, json.dumps({"array": n.text, "vars": [*found, own]}))
             self.skip_to(")")
             self.loop()
             self.scope = outer
@@ -797,24 +879,33 @@ class Parser:
         start = self.now
         left = self.expr(no_compare=True)
         if self.at(*ASSIGN):
+            self.written(left, self.now.text not in ("=", "<="))
             self.i += 1
             if self.at("#", "@"):
                 self.i += 1
                 self.primary()
             self.site("assign", start, json.dumps([left, self.expr()]))
         if end:
-            self.skip_to(";")
+            self.semicolon()
+
+    def written(self, left: Node, also_read: bool) -> None:
+        """Notes that a member on the left side is written."""
+        while left and left[0] in ("index", "range"):
+            left = left[2] if left[0] == "range" else left[1]
+        if left and left[0] == "field" and left[1][0] == "name" and (site := self.accesses.get(left[1][3])):
+            site["detail"] = json.dumps(json.loads(site["detail"]) | {"access": "both" if also_read else "write"})
 
     def block(self) -> None:
-        ends = ("end",) if self.take().text == "begin" else ("join", "join_any", "join_none")
+        opened = self.take()
+        ends = ("end",) if opened.text == "begin" else ("join", "join_any", "join_none")
         owner = self.take().text if self.eat(":") else None
         outer, self.scope = self.scope, self.open("block", self.scope, owner)
-        while self.now is not STOP and not self.at(*ends):
+        while self.now is not STOP and not self.at(*ends, "endmodule", "endinterface", "endpackage", "endprogram", "endfunction", "endtask"):
             before = self.i
             self.statement()
             if self.i == before:
                 self.i += 1
-        self.eat(*ends)
+        self.close(opened, *ends)
         if self.eat(":"):
             self.take()
         self.scope = outer
@@ -872,15 +963,22 @@ class Parser:
             elif self.at(".") and self.peek().kind in ("ident", "keyword"):
                 self.i += 1
                 e = ["field", e, self.take().text]
+                if e[1][0] == "name" and e[1][1] is None:
+                    self.accesses[e[1][3]] = self.site("member", Token("ident", e[1][2], e[1][3], len(e[1][2].encode())), json.dumps({"name": e[1][2], "member": e[2], "access": "read"}))
             elif self.at("(") and e[0] in ("name", "field"):
                 t = self.now
-                e = ["call", e, self.arguments()]
+                given = [x for x in self.connections() if len(x) == 2]
+                if e[0] == "name":
+                    self.site("call", Token("ident", e[2], e[3], len(e[2].encode())), json.dumps([{"name": x[0], "given": x[1] is not None} for x in given]))
+                e = ["call", e, [x[1] for x in given]]
                 if e[1][0] == "field":
                     self.site("method", t, json.dumps([e, bool(self.at("with"))]))
                     if self.eat("with"):
                         self.parens()
             elif self.at("'") and self.peek().text == "(":
                 self.i += 2
+                if e[0] == "name":  # a type or a number of bits
+                    next(u for u in reversed(self.facts["uses"]) if u["start"] == e[3])["expected_ns"] = "type_then_value"
                 e = ["cast", e, self.expr()]
                 self.eat(")")
             elif self.at("++", "--") and e[0] in ("name", "index", "field"):
@@ -920,6 +1018,12 @@ class Parser:
                 return ["name", t.text, m.text, m.start]
             self.use(t, "value")
             return ["name", None, t.text.lstrip("\\"), t.start]
+        if self.eat("new"):
+            size = None
+            if self.eat("["):
+                size = self.expr()
+                self.skip_to("]") if not self.eat("]") else None
+            return ["new", size, self.arguments() if self.at("(") else []]
         if self.at(*DATA_TYPES) or self.at("signed", "unsigned", "const"):
             word = self.take().text
             if self.at("'") and self.peek().text == "(":
@@ -984,9 +1088,10 @@ FACTS = {
     "exports": "scope_id int, ordinal int, form string, package string, member string, start int",
     "uses": "use_ordinal int, qualifier string, name string, expected_ns string, scope_id int, order_key int, start int, len int, implicit boolean",
     "params": "def_ordinal int, ordinal int, name string, local boolean, value string",
-    "ports": "def_ordinal int, ordinal int, name string, direction string, modport string",
+    "ports": "def_ordinal int, ordinal int, name string, direction string, modport string, interface string",
     "bodies": "ordinal int, body string",
     "types": "kind string, start int, scope_id int, base string, members string",
+    "callables": "ordinal int, name string, kind string, start int, scope_id int, params string",
     "sites": "kind string, start int, len int, scope_id int, loop_depth int, callable string, detail string",
 }
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from svloom.functions import consteval as ce
 from svloom.functions import lexer, parser
 from svloom.functions import preprocess as pp
-from svloom.operators import connect, cursor, elab, members, policies, rules
+from svloom.operators import connect, cursor, elab, legality, members, policies, rules
 from svloom.operators import relops as ro
 from svloom.operators.resolve import Unit
 from svloom.operators.types import Types
@@ -284,3 +284,114 @@ UNION ALL SELECT k, 'D', 'enum_overflow', strpos(t, ', D') + 1 FROM n WHERE c +
 def sv_enum_findings(spark, d):
     found = Types(written_texts(spark, d, "nation", "n_nationkey", ENUMS_TEXT)).enum_findings()
     return found.select("file_id", "name", "code", F.col("start").cast("long").alias("start"))
+
+
+# Legality: each part becomes a file that follows a rule or breaks it, by its key
+
+
+def _cases(table: str, key: str, cases: list[tuple[str, list[tuple[str, str]]]]) -> tuple[str, str]:
+    """The text of a row's file, and SQL for the findings: (text, [(code, name)]) by the key's remainder."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    text = f"CASE {key} % {len(cases)} " + " ".join(f"WHEN {i} THEN {quoted(t)}" for i, (t, _) in enumerate(cases)) + " END"
+    rows = ", ".join(f"({i}, {quoted(code)}, {quoted(name)})" for i, (_, found) in enumerate(cases) for code, name in found)
+    return text, f"SELECT {key} AS file_id, v.code, v.name FROM {table} JOIN (VALUES {rows}) v(k, code, name) ON v.k = {key} % {len(cases)}"
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select(F.col("file_id").cast("long").alias("file_id"), "code", "name")
+
+
+DECLARATIONS, _DECLARATIONS_SQL = _cases("part", "p_partkey", [
+    ("module m; typedef struct { int a; real b; } s; typedef union tagged { void x; int y; } t; int q[$:4]; const int c = 1; endmodule", []),
+    ("module m; typedef struct { void a; int b; } s; endmodule", [("void_member", "a")]),
+    ("module m; typedef struct packed { logic [3:0] a; real b; } s; endmodule", [("packed_member_type", "b")]),
+    ("module m; typedef struct { int x; } u; typedef struct packed { u a; byte b; string c; } s; endmodule", [("packed_member_type", "a"), ("packed_member_type", "c")]),
+    ("module m; typedef enum real { A, B } e; endmodule", [("enum_base", "enum")]),
+    ("module m; int n; int q[$:n]; int r[$:0]; endmodule", [("queue_bound_not_constant", "q"), ("queue_bound_not_positive", "r")]),
+    ("module m; localparam N = 2 - 3; int a[N]; const int c; endmodule", [("array_size_not_positive", "a"), ("const_uninitialised", "c")]),
+    ("module m; automatic int a; initial begin automatic int b; end void v; endmodule", [("automatic_outside_procedure", "automatic"), ("void_variable", "v")]),
+])
+
+
+@query(_DECLARATIONS_SQL)
+def sv_declaration_findings(spark, d):
+    return _told(legality.declaration_findings(Types(written_texts(spark, d, "part", "p_partkey", DECLARATIONS))))
+
+
+ASSIGNMENTS, _ASSIGNMENTS_SQL = _cases("part", "p_partkey", [
+    ("module m; typedef enum { A, B } e; e x, y; int i; int p[3]; int q[3]; initial begin x = y; x = A; x = e'(1); i = x; p = q; end endmodule", []),
+    ("module m; typedef enum { A, B } e; typedef enum { C, D } f; e x; f y; initial begin x = y; x = 1; end e z = y; endmodule", [("enum_assignment", "=")] * 2 + [("enum_assignment", "z")]),
+    ("module m; typedef struct { int a; } s; typedef struct { int a; } t; s x, w; t y; int i; initial begin x = w; x = y; i = x; x = i; end endmodule", [("record_assignment", "=")] * 3),
+    ("module m; typedef struct packed { int a; } s; typedef struct packed { int a; } t; s x; t y; int i; initial begin x = y; i = x; x = i; end endmodule", []),
+    ("module m; int a[3]; int b[4]; int c; int d[]; initial begin a = b; c = a; d = a; a = c; end endmodule", [("array_assignment", "=")] * 3),
+    ("module m; assign w = x; endmodule", []),
+])
+
+
+@query(_ASSIGNMENTS_SQL)
+def sv_assignment_findings(spark, d):
+    return _told(legality.assignment_findings(Types(written_texts(spark, d, "part", "p_partkey", ASSIGNMENTS))))
+
+
+_F = "module m; int x; function int f(input int a, int b = 2, int c = 3); return a; endfunction task t; input i; output [3:0] o; endtask initial begin "
+CALLS, _CALLS_SQL = _cases("part", "p_partkey", [
+    (_F + "x = f(1) + f(1, 2) + f(1, .c(3)) + f(.a(1)) + f(1, , 3); t(1, x); lost(1); end endmodule", []),
+    (_F + "x = f(1, 2, 3, 4); end endmodule", [("too_many_arguments", "f")]),
+    (_F + "x = f(); t(1); x = f(, 2); end endmodule", [("missing_argument", "a"), ("missing_argument", "o"), ("missing_argument", "a")]),
+    (_F + "x = f(1, .z(2)); end endmodule", [("unknown_argument", "z")]),
+    (_F + "x = f(1, .a(2)) + f(1, .b(1), .b(2)); end endmodule", [("duplicate_argument", "a"), ("duplicate_argument", "b")]),
+    (_F + "x = x(1); end endmodule", [("not_callable", "x")]),
+])
+
+
+@query(_CALLS_SQL)
+def sv_argument_findings(spark, d):
+    return _told(legality.call_findings(written_texts(spark, d, "part", "p_partkey", CALLS)))
+
+
+LOOPS, _LOOPS_SQL = _cases("part", "p_partkey", [
+    ("module m; int a[3][4]; int s; string t; int w[*]; initial begin foreach (a[i, j]) s = s + i; foreach (a[i]) s = i; foreach (t[k]) s = k; foreach (a[, j]) s = j; end endmodule", []),
+    ("module m; int a[3][4]; int s; initial foreach (a[i, j, k, l]) s = i; endmodule", [("foreach_too_many_variables", "a")]),
+    ("module m; int a[3][4]; int s; initial foreach (a[i, i]) s = i; endmodule", [("foreach_duplicate_variable", "i")]),
+    ("module m; int a[3][4]; initial foreach (a[i]) i = 1; endmodule", [("foreach_variable_assigned", "i")]),
+    ("module m; real r; int w[*]; int s; initial begin foreach (r[i]) s = i; foreach (w[j]) s = j; end endmodule", [("foreach_not_array", "r"), ("foreach_wildcard", "w")]),
+])
+
+
+@query(_LOOPS_SQL)
+def sv_loop_findings(spark, d):
+    return _told(legality.loop_findings(Types(written_texts(spark, d, "part", "p_partkey", LOOPS))))
+
+
+_I = "'interface bus_' || n_nationkey || '; logic a, b, c; modport mp(input a, output b, ref c); endinterface module m_' || n_nationkey || '(bus_' || n_nationkey || '.mp p); '"
+MEMBERS_TEXT = f"{_I} || (CASE n_nationkey % 5 WHEN 0 THEN 'logic x; assign x = p.a; assign p.b = x; assign p.c = p.c;' WHEN 1 THEN 'assign p.a = 1;' WHEN 2 THEN 'logic x; assign x = p.b;' WHEN 3 THEN 'assign p.z = 1;' ELSE 'initial begin p.a += 1; p.b += 1; end' END) || ' endmodule'"
+
+
+@query("""SELECT n_nationkey AS file_id, v.code, v.name FROM nation JOIN (VALUES (1, 'modport_write', 'a'), (2, 'modport_read', 'b'), (3, 'modport_member', 'z'), (4, 'modport_write', 'a'), (4, 'modport_read', 'b')) v(k, code, name) ON v.k = n_nationkey % 5""")
+def sv_modport_findings(spark, d):
+    return _told(legality.modport_findings(written_texts(spark, d, "nation", "n_nationkey", MEMBERS_TEXT)))
+
+
+SYNTAX, _SYNTAX_SQL = _cases("part", "p_partkey", [
+    ("module m; wire a; assign a = 1; initial begin a = 1; end function void f(); endfunction endmodule", []),
+    ("module m; wire a", [("syntax", "expected ;"), ("syntax", "missing endmodule")]),
+    ("module m; wire a; assign a = 1 endmodule", [("syntax", "expected ;")]),
+    ("module m; initial begin a = 1; endmodule", [("syntax", "missing end")]),
+    ("module ; endmodule", [("syntax", "expected a name")]),
+    ("module m; 5; function f; endmodule", [("syntax", "unexpected 5"), ("syntax", "missing endfunction")]),
+    ("package p; class c; rand int x; constraint k { x > 0; } endclass endpackage module m; property q; @(posedge c) a |-> b; endproperty endmodule", []),
+])
+
+
+@query(_SYNTAX_SQL)
+def sv_syntax_findings(spark, d):
+    return _told(legality.syntax_findings(written_texts(spark, d, "part", "p_partkey", SYNTAX)))
+
+
+TIMES_TEXT = "(CASE n_nationkey % 4 WHEN 0 THEN '' ELSE '`timescale 1ns/1ps' END) || chr(10) || 'module m; ' || (CASE n_nationkey % 4 WHEN 2 THEN 'timeunit 1us;' WHEN 3 THEN 'timeunit 10ns / 100ps;' ELSE '' END) || ' endmodule'"
+
+
+@query("""SELECT n_nationkey AS file_id, 'm' AS name, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '1ns' WHEN 2 THEN '1us' ELSE '10ns' END AS unit, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 3 THEN '100ps' ELSE '1ps' END AS precision FROM nation""")
+def sv_time_parameters(spark, d):
+    sources = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("file_id"), F.lit("t.sv").alias("path"), F.expr(TIMES_TEXT).alias("text"), F.array().cast("array<struct<kind:string,spelling:string,file_id:int,text:string>>").alias("includes"))
+    return legality.time_parameters(Unit(ro.written(parser.facts(pp.expanded(sources)), "facts")), pp.directive_events(sources))

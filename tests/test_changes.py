@@ -32,7 +32,24 @@ def test_stream_yields_changed_names_only(spark, tmp_path):
     os.remove(folder / "a.sv")
     (folder / "a2.sv").write_text("module a2; endmodule")
     run()
-    assert seen == [["a.sv", "b.sv"], ["a2.sv"]]
+    assert seen == [["a.sv", "b.sv"], ["a.sv", "a2.sv"]]  # the one is gone
+
+
+def test_a_changed_header_changes_what_includes_it(spark):
+    head, other = ("/s/h.svh", "wire w;"), ("/s/c.sv", "module c; endmodule")
+    mid = ("/s/m.svh", '`include "h.svh"\nwire v;')
+    files = lambda h: spark.createDataFrame([("/s/a.sv", 'module a;\n`include "h.svh"\nendmodule'), ("/s/b.sv", '// `include "h.svh"\nmodule b; string s = "`include <h.svh>"; endmodule'), h, mid, other], "path string, text string")
+    none = spark.createDataFrame([], changes._STATE)
+    first, found = changes.update(spark, files(head), files(head), none)
+    assert {r["path"] for r in found.collect()} == {"/s/a.sv", "/s/b.sv", "/s/h.svh", "/s/m.svh", "/s/c.sv"}
+    first = spark.createDataFrame(first.collect(), changes._STATE)
+    assert {r["path"]: r["includes"] for r in first.collect()} == {"/s/a.sv": ["/s/h.svh"], "/s/b.sv": [], "/s/h.svh": [], "/s/m.svh": ["/s/h.svh"], "/s/c.sv": []}
+    second = files(("/s/h.svh", "wire q;"))
+    _, found = changes.update(spark, second, second.where("path = '/s/h.svh'"), first)
+    assert {(r["path"], r["what"]) for r in found.collect()} == {(p, "names") for p in ("/s/a.sv", "/s/h.svh", "/s/m.svh")}
+    fewer = second.where("path <> '/s/c.sv'")
+    _, found = changes.update(spark, fewer, fewer.limit(0), first)
+    assert {(r["path"], r["what"]) for r in found.collect()} == {("/s/c.sv", "removed")}
 
 
 def test_layout_changes_no_fingerprint(spark):
