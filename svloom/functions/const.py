@@ -142,3 +142,11 @@ def environment(params: list[dict], given: Mapping[str, Value], positional: list
             value = evaluate(p["value"], own) if p["value"] else "Unresolved"
         env[p["name"]] = value
     return env
+
+
+def span(ends: list[int]) -> range:
+    """The numbers of the names that a range in an enum stands for: [n] for 0 to n - 1, [a:b] from a to b either way."""
+    if len(ends) == 1:
+        return range(ends[0])
+    step = 1 if ends[0] <= ends[1] else -1
+    return range(ends[0], ends[1] + step, step)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from svloom.functions import const
 from svloom.functions.lexer import NET_KINDS, TRIVIA, Token, lex
 
 #: Fixed values of the language.
@@ -486,8 +487,13 @@ class Parser:
                     self.eat("]")
                 value = self.expr() if self.eat("=") else None
                 members.append({"name": n.text, "span": span, "value": value, "start": n.start})
+                ends = [const.evaluate(x, lambda q, n: "Unresolved") for x in span or []]
                 if span is None:
                     self.declare(n, "enum_member", value)
+                elif not any(isinstance(x, str) for x in ends):
+                    # Names of a range whose ends are plain numbers; others can't be told before names are resolved.
+                    for k in const.span(ends)[:65_536]:
+                        self.declare(Token("ident", f"{n.text}{k}", n.start, n.len), "enum_member")
                 self.eat(",")
         self.add("types", kind="enum", start=start.start, scope_id=self.scope, base=json.dumps(base), members=json.dumps(members))
         return {"name": "enum", "signed": base["signed"], "base": base, "site": start.start, "dims": self.dims()}

@@ -395,3 +395,13 @@ TIMES_TEXT = "(CASE n_nationkey % 4 WHEN 0 THEN '' ELSE '`timescale 1ns/1ps' END
 def sv_time_parameters(spark, d):
     sources = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("file_id"), F.lit("t.sv").alias("path"), F.expr(TIMES_TEXT).alias("text"), F.array().cast("array<struct<kind:string,spelling:string,file_id:int,text:string>>").alias("includes"))
     return legality.time_parameters(Unit(ro.written(parser.facts(pp.expanded(sources)), "facts")), pp.directive_events(sources))
+
+
+RANGES_TEXT = "'package rp_' || n_nationkey || '; typedef enum { R[' || (n_nationkey % 4) || '], S[3:2], T } e_t; endpackage module rm_' || n_nationkey || '; import rp_' || n_nationkey || '::*; int x; initial begin x = R0 + R2 + S2 + S4 + T; end enum { S2, R1 } y; endmodule'"
+
+
+@query("""SELECT n_nationkey AS file_id, v.name, CASE WHEN v.least <= n_nationkey % 4 THEN 'resolved' ELSE 'unresolved' END AS outcome FROM nation JOIN (VALUES ('R0', 1), ('R2', 3), ('S4', 9), ('T', 0), ('S2', 0)) v(name, least) ON true""")
+def sv_range_names(spark, d):
+    u = written_texts(spark, d, "nation", "n_nationkey", RANGES_TEXT)
+    names = u.uses.select("file_id", "use_ordinal", "name").where("name not in ('x', 'e_t')")
+    return u.resolutions().join(names, ["file_id", "use_ordinal"]).select("file_id", "name", "outcome")
