@@ -119,18 +119,27 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(own[child])
         return np.concatenate(a), np.concatenate(b)
 
-    key, x = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-    for batch in batches:
-        key = np.concatenate([key, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)])
-        x = np.concatenate([x, batch.column(2).to_numpy().view(np.uint64)])
-        if len(key) and (whole := np.flatnonzero(np.any(key != key[-1], axis=1))).size:
-            end = whole[-1] + 1
-            a, b = links(key[:end], x[:end])
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-            key, x = key[end:], x[end:]
-    if len(x):
+    def out(key: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         a, b = links(key, x)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # of one key, as it comes
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        x = batch.column(2).to_numpy().view(np.uint64)
+        if held and (held[0][0][0] == key[-1]).all():
+            held.append((key, x))
+            continue
+        whole = np.flatnonzero(np.any(key != key[-1], axis=1))
+        end = whole[-1] + 1 if len(whole) else 0
+        parts = [*held, (key[:end], x[:end])]
+        if sum(len(p[1]) for p in parts):
+            yield out(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts]))
+        held = [(key[end:], x[end:])]
+    if held:
+        yield out(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
 
 
 def linked_pairs(nodes: DataFrame) -> DataFrame:
