@@ -28,6 +28,8 @@ DIRECTIONS = ("input", "output", "inout", "ref")
 LEVELS = (("->", "<->"), ("||",), ("&&",), ("|",), ("^", "^~", "~^"), ("&",), ("==", "!=", "===", "!==", "==?", "!=?"), ("<", "<=", ">", ">=", "inside"), ("<<", ">>", "<<<", ">>>"), ("+", "-"), ("*", "/", "%"), ("**",))
 POWER = {op: 2 * i + 2 for i, ops in enumerate(LEVELS) for op in ops}
 PREFIX = ("+", "-", "!", "~", "&", "~&", "|", "~|", "^", "~^", "^~", "++", "--")
+#: Kinds of expressions that can be assigned to.
+TARGETS = ("name", "index", "range", "field", "cat", "stream", "pattern")
 ASSIGN = ("=", "<=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "<<<=", ">>>=")
 STOP = Token("end", "", 0, 0)
 
@@ -975,7 +977,7 @@ class Parser:
                 t = self.now
                 given = [x for x in self.connections() if len(x) == 2]
                 if e[0] == "name":
-                    self.site("call", Token("ident", e[2], e[3], len(e[2].encode())), json.dumps([{"name": x[0], "given": x[1] is not None} for x in given]))
+                    self.site("call", Token("ident", e[2], e[3], len(e[2].encode())), json.dumps([{"name": x[0], "given": x[1] is not None, "target": bool(x[1]) and x[1][0] in TARGETS} for x in given]))
                 e = ["call", e, [x[1] for x in given]]
                 if e[1][0] == "field":
                     self.site("method", t, json.dumps([e, bool(self.at("with"))]))
@@ -985,7 +987,9 @@ class Parser:
                 self.i += 2
                 if e[0] == "name":  # a type or a number of bits
                     next(u for u in reversed(self.facts["uses"]) if u["start"] == e[3])["expected_ns"] = "type_then_value"
-                e = ["cast", e, self.expr()]
+                to, e = e, ["cast", e, self.expr()]
+                if to[0] == "name":
+                    self.site("cast", Token("ident", to[2], to[3], len(to[2].encode())), json.dumps(e))
                 self.eat(")")
             elif self.at("++", "--") and e[0] in ("name", "index", "field"):
                 e = ["un", self.take().text, e]

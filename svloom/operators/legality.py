@@ -10,6 +10,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from svloom.functions.parser import TARGETS
 from svloom.functions.typing import Typer
 from svloom.operators import policies
 from svloom.operators import relops as ro
@@ -110,30 +111,62 @@ def _mismatch(a: dict, b: dict) -> str | None:
     return None
 
 
+def _made(a: dict, right: list, t: Typer) -> str | None:
+    """Why new[n] can't be assigned to a type a."""
+    if right[0] != "new" or right[1] is None or not _known(a):
+        return None
+    if not _unpacked(a) or a["shape"][0]["form"] != "dynamic":
+        return "new_not_dynamic"
+    n = t.const(right[1])
+    return "new_size_negative" if isinstance(n, int) and n < 0 else None
+
+
 def _assigned(r: dict, t: Typer) -> list[tuple]:
     left, right = json.loads(r["detail"])
-    why = _mismatch(t.expr(left), t.expr(right)) if left and right else None
+    if not left or not right:
+        return []
+    if left[0] not in (*TARGETS, "none"):
+        return [(r["file_id"], "invalid_target", r["name"], r["start"])]
+    a = t.expr(left)
+    why = _made(a, right, t) or _mismatch(a, t.expr(right))
     return [(r["file_id"], why, r["name"], r["start"])] if why else []
 
 
 def _initialised(r: dict, t: Typer) -> list[tuple]:
-    why = _mismatch(t.declared(json.loads(r["type"])), t.expr(json.loads(r["value"])))
+    a, right = t.declared(json.loads(r["type"])), json.loads(r["value"])
+    why = _made(a, right, t) or _mismatch(a, t.expr(right))
     return [(r["file_id"], why, r["name"], r["start"])] if why else []
 
 
 def assignment_findings(types: Types) -> DataFrame:
-    """array_assignment, enum_assignment and record_assignment, of statements and of initial values."""
+    """array_assignment, enum_assignment, record_assignment, new_not_dynamic and new_size_negative, of statements and of initial
+    values, and invalid_target."""
     sites = types.unit.sites.where("kind = 'assign'").select("file_id", "start", "detail", F.lit("=").alias("name"))
     first = types.unit.symbols.where("kind = 'variable' and value is not null and type is not null").select("file_id", "name", "start", "type", "value")
     return _findings(types._per_file(sites, _FOUND, _assigned).unionByName(types._per_file(first, _FOUND, _initialised)))
 
 
+def _cast(r: dict, t: Typer) -> list[tuple]:
+    _, to, what = json.loads(r["detail"])
+    type_, n = t.type_of(to[3]), t.const(what)
+    ok = type_ and type_.get("is_type") and type_["kind"] == "enum" and not type_["shape"][:-1] and isinstance(n, int)
+    return [(r["file_id"], r["start"], to[2], type_["id"], n)] if ok else []
+
+
+def cast_findings(types: Types) -> DataFrame:
+    """cast_enum_range: a constant that is none of the enum's values (a warning)."""
+    casts = types._per_file(types.unit.sites.where("kind = 'cast'").select("file_id", "start", "detail"), "file_id int, start int, name string, id string, value long", _cast)
+    known = types.known_value_sets().where("values is not null").select(F.concat_ws(":", "file_id", "start").alias("id"), "values")
+    out = casts.join(known, "id").where(~F.array_contains("values", F.col("value")))
+    return _findings(out.select("file_id", F.lit("cast_enum_range").alias("code"), "name", "start"), "warning")
+
+
 # Calls
 
 
 def call_findings(unit: Unit) -> DataFrame:
-    """not_callable, too_many_arguments, missing_argument, unknown_argument and duplicate_argument."""
-    given = F.from_json("detail", "array<struct<name:string,given:boolean>>")
+    """not_callable, too_many_arguments, missing_argument, unknown_argument, duplicate_argument and argument_not_assignable."""
+    given = F.from_json("detail", "array<struct<name:string,given:boolean,target:boolean>>")
     calls = unit.sites.where("kind = 'call'").select("file_id", "start", given.alias("given"))
     uses = unit.uses.select("file_id", "use_ordinal", "start", "name")
     targets = unit.resolutions().where("outcome = 'resolved' and step <> 'definition'").join(uses, ["file_id", "use_ordinal"]).select("file_id", "start", "name", "target_file", F.col("target").cast("int").alias("target"))
@@ -150,11 +183,14 @@ def call_findings(unit: Unit) -> DataFrame:
     unknown = F.filter("named", lambda x: ~F.exists("params", lambda p: p["name"] == x["name"]))
     twice = F.filter(F.transform("params", lambda p, i: F.struct(p["name"].alias("name"), ((F.size(F.filter("named", lambda x: x["name"] == p["name"])) + at_place(i).cast("int")) > 1).alias("bad"))), lambda x: x["bad"])
 
+    value_only = lambda p, i: F.exists("named", lambda x: (x["name"] == p["name"]) & x["given"] & ~x["target"]) | F.coalesce(F.get("placed", i)["given"] & ~F.get("placed", i)["target"], F.lit(False))
+    fixed = F.filter(F.transform("params", lambda p, i: F.struct(p["name"].alias("name"), (p["direction"].isin("output", "inout", "ref") & value_only(p, i)).alias("bad"))), lambda x: x["bad"])
+
     def each(what: Column, code: str) -> DataFrame:
         return rows.select("file_id", F.lit(code).alias("code"), F.explode(F.transform(what, lambda x: x["name"])).alias("name"), "start")
 
     many = rows.where("size(placed) > size(params)").select("file_id", F.lit("too_many_arguments").alias("code"), "name", "start")
-    return _findings(wrong.unionByName(many).unionByName(each(lacking, "missing_argument")).unionByName(each(unknown, "unknown_argument")).unionByName(each(twice, "duplicate_argument")))
+    return _findings(wrong.unionByName(many).unionByName(each(lacking, "missing_argument")).unionByName(each(unknown, "unknown_argument")).unionByName(each(twice, "duplicate_argument")).unionByName(each(fixed, "argument_not_assignable")))
 
 
 # Loops
@@ -234,5 +270,5 @@ def time_parameters(unit: Unit, events: DataFrame) -> DataFrame:
 
 def findings(types: Types) -> DataFrame:
     """All findings of this module."""
-    found = declaration_findings(types).unionByName(assignment_findings(types)).unionByName(call_findings(types.unit))
+    found = declaration_findings(types).unionByName(assignment_findings(types)).unionByName(cast_findings(types)).unionByName(call_findings(types.unit))
     return found.unionByName(loop_findings(types)).unionByName(modport_findings(types.unit)).unionByName(syntax_findings(types.unit))

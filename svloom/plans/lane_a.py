@@ -325,6 +325,8 @@ ASSIGNMENTS, _ASSIGNMENTS_SQL = _cases("part", "p_partkey", [
     ("module m; typedef struct packed { int a; } s; typedef struct packed { int a; } t; s x; t y; int i; initial begin x = y; i = x; x = i; end endmodule", []),
     ("module m; int a[3]; int b[4]; int c; int d[]; initial begin a = b; c = a; d = a; a = c; end endmodule", [("array_assignment", "=")] * 3),
     ("module m; assign w = x; endmodule", []),
+    ("module m; int d[]; int e[] = new[3]; int f[3]; initial begin d = new[4]; f = new[2]; d = new[1 - 2]; end endmodule", [("new_not_dynamic", "="), ("new_size_negative", "=")]),
+    ("module m; int a; initial begin 3 = a; a + 1 = 2; {a, a} = 3; end endmodule", [("invalid_target", "=")] * 2),
 ])
 
 
@@ -341,6 +343,7 @@ CALLS, _CALLS_SQL = _cases("part", "p_partkey", [
     (_F + "x = f(1, .z(2)); end endmodule", [("unknown_argument", "z")]),
     (_F + "x = f(1, .a(2)) + f(1, .b(1), .b(2)); end endmodule", [("duplicate_argument", "a"), ("duplicate_argument", "b")]),
     (_F + "x = x(1); end endmodule", [("not_callable", "x")]),
+    (_F + "t(1, 5); t(x, {x, x}); t(.i(2), .o(x + 1)); end endmodule", [("argument_not_assignable", "o")] * 2),
 ])
 
 
@@ -405,3 +408,11 @@ def sv_range_names(spark, d):
     u = written_texts(spark, d, "nation", "n_nationkey", RANGES_TEXT)
     names = u.uses.select("file_id", "use_ordinal", "name").where("name not in ('x', 'e_t')")
     return u.resolutions().join(names, ["file_id", "use_ordinal"]).select("file_id", "name", "outcome")
+
+
+CASTS_TEXT = "'module ca_' || n_nationkey || '; typedef enum int { A = 1, B = 3 } e_t; e_t x; initial begin x = e_t''(' || n_nationkey || '); x = e_t''(B); end endmodule'"
+
+
+@query("SELECT n_nationkey AS file_id, 'cast_enum_range' AS code, 'warning' AS severity, 'e_t' AS name FROM nation WHERE n_nationkey NOT IN (1, 3)")
+def sv_cast_findings(spark, d):
+    return legality.cast_findings(Types(written_texts(spark, d, "nation", "n_nationkey", CASTS_TEXT))).select("file_id", "code", "severity", "name")
