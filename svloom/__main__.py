@@ -1,5 +1,6 @@
 """python -m svloom check [--top MODULE] [-I FOLDER]... FILE...   findings of a compilation unit; exit code 1 if any is an error
 python -m svloom facts FILE   the fact rows of one file
+python -m svloom tree FILE   its syntax tree
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from svloom.functions import preprocess as pp
 from svloom.functions.parser import facts
+from svloom.functions.tree import listing
 from svloom.operators import connect, elab, legality, members, rules
 from svloom.operators import relops as ro
 from svloom.operators.resolve import Unit
@@ -59,12 +61,15 @@ def check(spark: SparkSession, files: list[str], folders: list[str], top: str |
 
 def main(argv: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="svloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("verb", choices=("check", "facts"))
+    parser.add_argument("verb", choices=("check", "facts", "tree"))
     parser.add_argument("--top")
     parser.add_argument("-I", dest="folders", action="append", default=[])
     parser.add_argument("files", nargs="+")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("svloom").getOrCreate()
+    if args.verb == "tree":
+        print(listing(sv_files.read(spark, [uri(args.files[0])]).first()["text"]))
+        return 0
     if args.verb == "facts":
         for r in facts(sv_files.read(spark, [uri(args.files[0])])).toLocalIterator():
             print(r["table"], r["row"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svloom.functions import consteval as ce
-from svloom.functions import lexer, parser
+from svloom.functions import lexer, parser, tree
 from svloom.functions import preprocess as pp
 from svloom.operators import connect, cursor, elab, legality, members, policies, rules
 from svloom.operators import relops as ro
@@ -416,3 +416,11 @@ CASTS_TEXT = "'module ca_' || n_nationkey || '; typedef enum int { A = 1, B = 3
 @query("SELECT n_nationkey AS file_id, 'cast_enum_range' AS code, 'warning' AS severity, 'e_t' AS name FROM nation WHERE n_nationkey NOT IN (1, 3)")
 def sv_cast_findings(spark, d):
     return legality.cast_findings(Types(written_texts(spark, d, "nation", "n_nationkey", CASTS_TEXT))).select("file_id", "code", "severity", "name")
+
+
+@query(f"""WITH t AS (SELECT n_nationkey AS file_id, {NATION_TEXT} AS x FROM nation) SELECT file_id, 'file' AS kind, 0 AS ordinal, 0 AS start, strlen(x) AS end_ FROM t UNION ALL SELECT file_id, 'unit', 0, 0, strlen(x) - 1 FROM t
+UNION ALL SELECT file_id, 'item', 0, strpos(x, 'parameter K') - 1, strpos(x, '; parameter R') FROM t UNION ALL SELECT file_id, 'item', 1, strpos(x, 'parameter R') - 1, strpos(x, '; export') FROM t UNION ALL SELECT file_id, 'item', 2, strpos(x, 'export') - 1, strpos(x, ' endpackage') - 1 FROM t""")
+def sv_nodes(spark, d):
+    texts = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("file_id"), F.expr(NATION_TEXT).alias("text"))
+    found = tree.nodes(texts).where("kind in ('file', 'unit', 'item')")
+    return found.select("file_id", "kind", "ordinal", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"))

@@ -242,3 +242,33 @@ def test_column_constants(spark):
     rows = spark.createDataFrame([("8'hFF",), ("64'hFFFFFFFFFFFFFFFF",), ("4'bx",), ("65'd1",), ("8'sd1",), ("'d7",)], "t string")
     got = [tuple(r["v"]) for r in rows.select(ce.based_literal(F.col("t")).alias("v")).collect()]
     assert got == [(255, None), (-1, None), (None, "NonConstant"), (None, "Overflow"), (None, "Unsupported"), (7, None)]
+
+
+def test_trees():
+    from svloom.functions.tree import listing, tree
+
+    text = "module m; wire a; assign a = 1 + 2; endmodule // end"
+    nodes = tree(text)
+    assert [(n[2], text[n[4] : n[5]]) for n in nodes if n[2] in ("unit", "item")] == [("unit", "module m; wire a; assign a = 1 + 2; endmodule"), ("item", "wire a;"), ("item", "assign a = 1 + 2;")]
+    assert [n[0] for n in nodes] == list(range(len(nodes)))
+    assert all(n[1] is None or nodes[n[1]][4] <= n[4] <= n[5] <= nodes[n[1]][5] for n in nodes)
+    assert [n[:4] for n in tree(text.replace("// end", "").replace(" ", "\n  "))] == [n[:4] for n in nodes]
+    lines = listing(text).split("\n")
+    assert lines[0] == f"file@0..{len(text)}"
+    assert '    keyword@0..6 "module"' in lines
+    assert sum('"' in x for x in lines) == sum(t.kind not in ("space", "line_comment") for t in lex(text))
+    base = [t.text for t in lex("module m import p::*; #(parameter N = 4) (input a); for (genvar i=0;i<N;i++) begin : g sub #(.X(i)) u(.a(d), .*); end endmodule")]
+    rng = random.Random(4)
+    for _ in range(200):
+        s = "".join(rng.sample(base, rng.randint(0, len(base))))
+        assert sum('"' in x for x in listing(s).split("\n")) >= sum(t.kind not in ("space", "line_comment", "block_comment") for t in lex(s))
+
+
+def test_check_reports_findings(spark, tmp_path):
+    from svloom.__main__ import check
+
+    (tmp_path / "inc").mkdir()
+    (tmp_path / "inc" / "h.svh").write_text("wire h;")
+    (tmp_path / "a.sv").write_text('module a;\n`include "h.svh"\ntypedef enum { A, B } e;\ne x;\ninitial x = 1;\nint c\nendmodule\n')
+    rows = check(spark, [str(tmp_path / "a.sv")], [str(tmp_path / "inc")], None).collect()
+    assert [(r["line"], r["message"].split(": ")[1:]) for r in rows] == [(5, ["error[enum_assignment]", "="]), (7, ["error[syntax]", "expected ;"])]
