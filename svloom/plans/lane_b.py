@@ -227,7 +227,8 @@ def asof_coalesce(spark, d):
 @query("""WITH s AS (SELECT user_id, event_id AS span, epoch(ts)::BIGINT AS a, epoch(ts)::BIGINT + 100000 AS b FROM events WHERE event_type = 'signup')
 SELECT e.event_id, s.span FROM events e JOIN s ON s.user_id = e.user_id AND e.event_type = 'error' AND s.a <= epoch(e.ts)::BIGINT AND epoch(e.ts)::BIGINT < s.b""")
 def interval_containment(spark, d):
-    events = read(spark, d, "events").withColumn("at", F.expr("unix_seconds(cast(ts as timestamp))"))
+    # The nearest second, halves to the even one, as the SQL's cast has it.
+    events = read(spark, d, "events").withColumn("at", F.expr("cast(rint(unix_micros(cast(ts as timestamp)) / 1e6D) as bigint)"))
     spans = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span"), F.col("at").alias("a"), (F.col("at") + 100000).alias("b"))
     return ro.interval_join(events.where("event_type = 'error'").select("user_id", "event_id", "at"), spans, ["user_id"], "at", "a", "b", 100000).select("event_id", "span")
 
