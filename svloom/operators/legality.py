@@ -169,13 +169,12 @@ def call_findings(unit: Unit) -> DataFrame:
     given = F.from_json("detail", "array<struct<name:string,given:boolean,target:boolean>>")
     calls = unit.sites.where("kind = 'call'").select("file_id", "start", given.alias("given"))
     uses = unit.uses.select("file_id", "use_ordinal", "start", "name")
-    targets = unit.resolutions().where("outcome = 'resolved' and step <> 'definition'").join(uses, ["file_id", "use_ordinal"]).select("file_id", "start", "name", "target_file", F.col("target").cast("int").alias("target"))
+    targets = unit.resolutions().where("outcome = 'resolved' and step <> 'definition'").join(uses.hint("merge"), ["file_id", "use_ordinal"]).select("file_id", "start", "name", "target_file", F.col("target").cast("int").alias("target"))
     there = unit.symbols.select(F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"), "kind", F.col("start").alias("declared"))
-    found = calls.join(targets, ["file_id", "start"]).join(there, ["target_file", "target"])
-    wrong = found.where("kind in ('variable', 'net', 'port', 'parameter', 'localparam', 'genvar', 'enum_member')").select("file_id", F.lit("not_callable").alias("code"), "name", "start")
+    found = calls.join(targets.hint("merge"), ["file_id", "start"]).join(there.hint("merge"), ["target_file", "target"])
     params = F.from_json("params", "array<struct<name:string,direction:string,optional:boolean>>")
     callables = unit.callables.select(F.col("file_id").alias("target_file"), F.col("start").alias("declared"), params.alias("params"))
-    rows = found.join(callables, ["target_file", "declared"])
+    rows = found.join(callables.hint("merge"), ["target_file", "declared"], "left")
     rows = rows.withColumn("placed", F.filter("given", lambda x: x["name"].isNull())).withColumn("named", F.filter("given", lambda x: x["name"].isNotNull()))
     has = lambda name: F.exists("named", lambda x: x["name"] == name)
     at_place = lambda i: F.coalesce(F.get("placed", i)["given"], F.lit(False))
@@ -186,11 +185,20 @@ def call_findings(unit: Unit) -> DataFrame:
     value_only = lambda p, i: F.exists("named", lambda x: (x["name"] == p["name"]) & x["given"] & ~x["target"]) | F.coalesce(F.get("placed", i)["given"] & ~F.get("placed", i)["target"], F.lit(False))
     fixed = F.filter(F.transform("params", lambda p, i: F.struct(p["name"].alias("name"), (p["direction"].isin("output", "inout", "ref") & value_only(p, i)).alias("bad"))), lambda x: x["bad"])
 
-    def each(what: Column, code: str) -> DataFrame:
-        return rows.select("file_id", F.lit(code).alias("code"), F.explode(F.transform(what, lambda x: x["name"])).alias("name"), "start")
+    none = F.array().cast("array<struct<code:string,name:string>>")
+    told = lambda code, name: F.struct(F.lit(code).alias("code"), name.alias("name"))
 
-    many = rows.where("size(placed) > size(params)").select("file_id", F.lit("too_many_arguments").alias("code"), "name", "start")
-    return _findings(wrong.unionByName(many).unionByName(each(lacking, "missing_argument")).unionByName(each(unknown, "unknown_argument")).unionByName(each(twice, "duplicate_argument")).unionByName(each(fixed, "argument_not_assignable")))
+    def each(what: Column, code: str) -> Column:
+        return F.coalesce(F.transform(what, lambda x: told(code, x["name"])), none)
+
+    def own(when: Column, code: str) -> Column:
+        return F.when(when, F.array(told(code, F.col("name")))).otherwise(none)
+
+    wrong = own(F.col("kind").isin("variable", "net", "port", "parameter", "localparam", "genvar", "enum_member"), "not_callable")
+    many = own(F.col("params").isNotNull() & (F.size("placed") > F.size("params")), "too_many_arguments")
+    every = F.concat(wrong, many, each(lacking, "missing_argument"), each(unknown, "unknown_argument"), each(twice, "duplicate_argument"), each(fixed, "argument_not_assignable"))
+    # One pass over the calls for all rules.
+    return _findings(rows.select("file_id", "start", F.explode(every).alias("f")).select("file_id", "f.code", "f.name", "start"))
 
 
 # Loops

@@ -19,8 +19,11 @@ def _ordered(keys: Keys, order: Keys):
     return Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
 
 
-def written(df: DataFrame, what: str = "step") -> DataFrame:
-    """df, written to the shared folder of the cluster and read again, so that its lineage is cut."""
+def written(df: DataFrame, what: str = "step", by: Keys = ()) -> DataFrame:
+    """df, written to the shared folder of the cluster and read again, so that its lineage is cut.
+
+    With by, a filter on these columns reads its own rows only.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -30,8 +33,8 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
         base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="svloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def asof_last(df: DataFrame, keys: Keys, order: Keys, value: Column, out: str, default: Column | None = None) -> DataFrame:

@@ -8,15 +8,42 @@ a cluster however many files there are; nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.functions.parser import FACTS, fact_table
+from svloom.functions.parser import FACTS, TOGETHER, fact_table
 from svloom.operators import relops as ro
 
 STEPS = ("lexical", "explicit_import", "wildcard_import", "unit", "definition")
 
 
+_ABOVE = "file_id int, scope_id int, ancestor_id int, distance int"
+
+
+def _above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with their scopes: each scope with those around it."""
+    names = [x.split()[0] for x in _ABOVE.split(", ")]
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in out], names=names)
+    out: tuple[list[int], ...] = ([], [], [], [])
+    for b in batches:
+        for file, scopes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parents = {x["scope_id"]: x["parent_id"] for x in scopes}
+            for scope in parents:
+                at, distance = scope, 0
+                while at is not None:
+                    for column, x in zip(out, (file, scope, at, distance), strict=True):
+                        column.append(x)
+                    if len(out[0]) >= TOGETHER:
+                        yield made(out)
+                        out = ([], [], [], [])
+                    at, distance = parents.get(at), distance + 1
+    if out[0]:
+        yield made(out)
+
+
 class Unit:
     """Fact tables of the files of one compilation unit."""
 
@@ -27,16 +54,13 @@ class Unit:
         self._resolved: DataFrame | None = None
 
     def ancestors(self) -> DataFrame:
-        """file_id, scope_id, ancestor_id and distance, each scope its own at 0."""
-        scopes = self.scopes.select(F.concat_ws(":", "file_id", "scope_id").alias("child"), F.when(F.col("parent_id").isNotNull(), F.concat_ws(":", "file_id", "parent_id")).alias("parent"))
-        above = ro.closure(scopes, "child", "parent")
-        part = lambda c, i: F.split(F.col(c), ":")[i].cast("int")
-        own = self.scopes.select("file_id", "scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-        return own.unionByName(above.select(part("child", 0).alias("file_id"), part("child", 1).alias("scope_id"), part("ancestor", 1).alias("ancestor_id"), F.col("distance").cast("int").alias("distance")))
+        """file_id, scope_id, ancestor_id and distance, each scope its own at 0; a file's scopes nest in it alone, so a file is one step."""
+        return self.scopes.groupBy("file_id").agg(F.collect_list(F.struct("scope_id", "parent_id")).alias("scopes")).mapInArrow(_above, _ABOVE)
 
     def definitions(self) -> DataFrame:
         """The first definition of each name in the unit (by file, then order)."""
-        return ro.precedence_pick(self.defs, ["name"], ["file_id", "ordinal"])
+        first = self.defs.groupBy("name").agg(F.min(F.struct("file_id", "ordinal", *[c for c in self.defs.columns if c not in ("file_id", "ordinal", "name")])).alias("d"))
+        return first.select("name", "d.*").select(self.defs.columns)
 
     def duplicate_definitions(self) -> DataFrame:
         return ro.duplicates_after_first(self.defs, ["name"], ["file_id", "ordinal"]).drop("ordinal")
@@ -89,13 +113,13 @@ class Unit:
         above = ro.written(self.ancestors(), "ancestors")
         spaces = F.when(F.col("expected_ns") == "type_then_value", F.array(F.lit("type"), F.lit("value"))).otherwise(F.array("expected_ns"))
         uses = self.uses.select("file_id", "use_ordinal", "qualifier", "name", "scope_id", "order_key", "expected_ns", F.posexplode(spaces).alias("ns_rank", "ns"))
-        plain = uses.where("qualifier is null").join(above, ["file_id", "scope_id"])
+        plain = uses.where("qualifier is null").join(above.hint("merge"), ["file_id", "scope_id"])  # files of equal rows look small, but must not be sent to all
 
         def rows(df: DataFrame, step: int, distance: str = "distance") -> DataFrame:
             return df.select("file_id", "use_ordinal", (F.col("ns_rank") * 10 + step).alias("rank"), F.col(distance).alias("distance"), "target_file", "target")
 
         bound = self.symbols.groupBy("file_id", "scope_id", "ns", "name").agg(F.min("symbol_id").alias("target")).withColumnRenamed("scope_id", "ancestor_id").withColumn("target_file", F.col("file_id"))
-        lexical = rows(plain.join(bound, ["file_id", "ancestor_id", "ns", "name"]), 0)
+        lexical = rows(plain.join(bound.hint("merge"), ["file_id", "ancestor_id", "ns", "name"]), 0)
         imports = self.imports.withColumnRenamed("scope_id", "ancestor_id").withColumnRenamed("order_key", "import_key").drop("start", "ordinal")
         visible = plain.join(imports, ["file_id", "ancestor_id"]).where("import_key < order_key")
         explicit = rows(visible.where("member = name").join(surface, ["package", "ns", "name"]), 1)
@@ -112,7 +136,7 @@ class Unit:
         one = F.col("f.low") == F.col("f.high")
         step = F.element_at(F.array(*map(F.lit, STEPS)), (F.col("f.rank") % 10 + 1).cast("int"))
         decided = first.select("file_id", "use_ordinal", F.when(one, "resolved").otherwise("ambiguous").alias("outcome"), step.alias("step"), F.when(one, F.col("f.low.target_file")).alias("target_file"), F.when(one, F.col("f.low.target")).alias("target"))
-        every = self.uses.select("file_id", "use_ordinal").join(decided, ["file_id", "use_ordinal"], "left")
+        every = self.uses.select("file_id", "use_ordinal").join(decided.hint("merge"), ["file_id", "use_ordinal"], "left")
         return every.withColumn("outcome", F.coalesce("outcome", F.lit("unresolved")))
 
     def import_conflicts(self) -> DataFrame:

@@ -107,35 +107,34 @@ class Types:
     def __init__(self, unit: Unit):
         self.unit = unit
         uses = unit.uses.select("file_id", "use_ordinal", "start")
-        targets = unit.resolutions().where("outcome = 'resolved' and step <> 'definition'").join(uses, ["file_id", "use_ordinal"])
+        targets = unit.resolutions().where("outcome = 'resolved' and step <> 'definition'").join(uses.hint("merge"), ["file_id", "use_ordinal"])
         self.targets = ro.written(targets.select("file_id", "start", F.col("target_file"), F.col("target").cast("int").alias("target")), "targets")
         self.settled = self._settle()
+        self._by_file: DataFrame | None = None
 
     def _known(self, settled: DataFrame, outer: bool = False) -> DataFrame:
         """file_id, start and what the use there resolves to; outer: in another file."""
         there = settled.select(F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"), "value", "err", "type")
         targets = self.targets.where("target_file <> file_id") if outer else self.targets
-        return targets.join(there, ["target_file", "target"]).select("file_id", "start", "value", "err", "type")
+        return targets.join(there.hint("merge"), ["target_file", "target"]).select("file_id", "start", "value", "err", "type")
 
     def _settle(self) -> DataFrame:
         rows = self.unit.symbols.where(F.col("kind").isin(*_KINDS))
         left = ro.written(rows.select("file_id", "symbol_id", "kind", F.when(F.col("kind").isin("parameter", "localparam"), F.col("value")).alias("value"), "type"), "symbols")
         there = left.select(F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"))
-        links = self.targets.join(there, ["target_file", "target"]).groupBy("file_id").agg(F.collect_list(F.struct("start", "target_file", "target")).alias("links"))
+        links = self.targets.join(there.hint("merge"), ["target_file", "target"]).groupBy("file_id").agg(F.collect_list(F.struct("start", "target_file", "target")).alias("links"))
         files = left.groupBy("file_id").agg(F.collect_list(F.struct("symbol_id", "kind", "value", "type")).alias("symbols"), F.count("*").alias("total"))
-        files = ro.written(files.join(links, "file_id", "left"), "files")
+        files = ro.written(files.join(links.hint("merge"), "file_id", "left"), "files")
         settled = ro.written(files.withColumn("known", F.lit(None).cast(_NAMED)).select("file_id", "symbols", "links", "known").mapInArrow(_solved, _SETTLED), "settled")
-        count = settled.count()
         while True:
             done = settled.groupBy("file_id").agg(F.count("*").alias("done"))
             open_ = files.join(done, "file_id", "left").where("coalesce(done, 0) < total").select("file_id", "symbols", "links")
             known = self._known(settled, outer=True).groupBy("file_id").agg(F.collect_list(F.struct("start", "value", "err", "type")).alias("known"))
             more = open_.join(known, "file_id").select("file_id", "symbols", "links", "known").mapInArrow(_solved, _SETTLED)
-            fresh = more.join(settled.select("file_id", "symbol_id"), ["file_id", "symbol_id"], "left_anti").select(settled.columns)
-            settled = ro.written(settled.unionByName(fresh), "settled")
-            before, count = count, settled.count()
-            if count == before:
+            fresh = ro.written(more.join(settled.select("file_id", "symbol_id"), ["file_id", "symbol_id"], "left_anti").select(settled.columns), "settled")
+            if fresh.isEmpty():
                 return settled
+            settled = ro.written(settled.unionByName(fresh), "settled")
 
     def symbols(self) -> DataFrame:
         """Each symbol with value, err, width, signed, four_state; err is Cycle where nothing could be told."""
@@ -146,7 +145,9 @@ class Types:
 
     def _per_file(self, rows: DataFrame, schema: str, work: Callable[[dict, Typer], list[tuple]]) -> DataFrame:
         """work on each row; a file's rows come together, with all that the file's uses resolve to."""
-        known = self._known(self.settled).groupBy("file_id").agg(F.collect_list(F.struct("start", "value", "err", "type")).alias("known"))
+        if self._by_file is None:
+            self._by_file = ro.written(self._known(self.settled).groupBy("file_id").agg(F.collect_list(F.struct("start", "value", "err", "type")).alias("known")), "known")
+        known = self._by_file
         kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
         names = [x.split()[0] for x in schema.split(", ")]
         types = [kinds[x.split()[1]] for x in schema.split(", ")]
@@ -161,7 +162,7 @@ class Types:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
         files = rows.groupBy("file_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
-        return files.join(known, "file_id", "left").mapInArrow(each, schema)
+        return files.join(known.hint("merge"), "file_id", "left").mapInArrow(each, schema)
 
     def enum_members(self) -> DataFrame:
         """file_id, start (of the enum), ordinal, name, value, err, generated, and at, where the member is declared."""
