@@ -37,6 +37,12 @@ def written(df: DataFrame, what: str = "step", by: Keys = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+def dealt(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """df of so many rows, each of which takes long, dealt by key to a few tasks a core however few bytes it has."""
+    parts = min(4 * df.sparkSession.sparkContext.defaultParallelism, rows // 2_000 + 1)
+    return df.repartition(parts, F.xxhash64(key))  # not by the key itself: such a dealing is dropped behind a join by it
+
+
 def asof_last(df: DataFrame, keys: Keys, order: Keys, value: Column, out: str, default: Column | None = None) -> DataFrame:
     """The value in force at each row: the last non-null one up to and including it, else the default."""
     w = _ordered(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

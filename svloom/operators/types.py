@@ -125,7 +125,8 @@ class Types:
         links = self.targets.join(there.hint("merge"), ["target_file", "target"]).groupBy("file_id").agg(F.collect_list(F.struct("start", "target_file", "target")).alias("links"))
         files = left.groupBy("file_id").agg(F.collect_list(F.struct("symbol_id", "kind", "value", "type")).alias("symbols"), F.count("*").alias("total"))
         files = ro.written(files.join(links.hint("merge"), "file_id", "left"), "files")
-        settled = ro.written(files.withColumn("known", F.lit(None).cast(_NAMED)).select("file_id", "symbols", "links", "known").mapInArrow(_solved, _SETTLED), "settled")
+        self._count = files.count()
+        settled = ro.written(ro.dealt(files.withColumn("known", F.lit(None).cast(_NAMED)).select("file_id", "symbols", "links", "known"), self._count, "file_id").mapInArrow(_solved, _SETTLED), "settled")
         while True:
             done = settled.groupBy("file_id").agg(F.count("*").alias("done"))
             open_ = files.join(done, "file_id", "left").where("coalesce(done, 0) < total").select("file_id", "symbols", "links")
@@ -162,7 +163,7 @@ class Types:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
         files = rows.groupBy("file_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
-        return files.join(known.hint("merge"), "file_id", "left").mapInArrow(each, schema)
+        return ro.dealt(files.join(known.hint("merge"), "file_id", "left"), self._count, "file_id").mapInArrow(each, schema)
 
     def enum_members(self) -> DataFrame:
         """file_id, start (of the enum), ordinal, name, value, err, generated, and at, where the member is declared."""

@@ -234,8 +234,7 @@ _DEEP_ODD = "SELECT n_nationkey AS file_id, v.name, NULL::BIGINT AS value, v.err
 def written_texts(spark: SparkSession, d: str, table: str, key: str, text: str) -> Unit:
     """The facts of a file a row. Texts take a hundred times their rows' room and time, so the rows are dealt out first."""
     rows = read(spark, d, table)
-    parts = min(4 * spark.sparkContext.defaultParallelism, rows.count() // 2_000 + 1)
-    texts = rows.repartition(parts, key).select(F.col(key).cast("int").alias("file_id"), F.expr(text).alias("text"))
+    texts = ro.dealt(rows, rows.count(), key).select(F.col(key).cast("int").alias("file_id"), F.expr(text).alias("text"))
     return Unit(ro.written(parser.typed_facts(texts), "facts", by=["table"]))
 
 
