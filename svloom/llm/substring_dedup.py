@@ -5,7 +5,8 @@ have equal anchors, so strings are dealt to shards by their anchor's hash and no
 strings with one anchor make a run of at most LENGTH - GRAM + 1 strings; their bytes are its context.
 
 1. Of runs with equal contexts (by two 64-bit digests), the first in (doc_id, start) speaks for all; every string of
-   the others starts earlier there. An anchor with a single context is done.
+   the others starts earlier there. A string holds the SIDE bytes left of its anchor's gram or those right of it,
+   so a context that shares neither with another one of its anchor has no string in common with any, and is done.
 2. The other contexts are gathered by anchor, and each shard's suffixes sorted by external induced sorting
    (suffix_array), which carries common prefixes. Neighbours that agree over LENGTH bytes are equal strings;
    all but the first of equal strings start earlier elsewhere.
@@ -38,6 +39,10 @@ from svloom.llm.sharding import numbered
 from svloom.llm.suffix_array import sorted_suffixes
 
 LENGTH, GRAM = 100, 16
+#: Bytes beside an anchor's gram: strings in which it begins at most LEFT bytes in hold those right of it, all others those left of it.
+SIDE, LEFT = 40, 42
+#: Contexts of one anchor that are compared by their sides; of an anchor with more, all are gathered.
+COMPARED = 1 << 18
 #: Bits of an anchor's place in a buffer; the rest of the word is its hash, on which strings choose.
 PLACE_BITS = 31
 #: Bytes of documents that are handled at once; a document is never cut.
@@ -53,7 +58,7 @@ BROADCAST_ANCHORS = 100_000
 #: Bytes of spans that may be broadcast; beyond, the join is by shuffle.
 BROADCAST_BYTES = 16 << 20
 
-RUNS = "anchor long, digest long, check long, row long, start int, n short"
+RUNS = "anchor long, digest long, check long, row long, start int, n short, sides long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,12 +76,23 @@ def _grams(eight: np.ndarray, n: int) -> np.ndarray:
     return _mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + _mix(eight[8 : n + 8]))
 
 
-def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents one after the other: begin and strings of each run, its anchor's hash and context's two digests."""
+def _side(eight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Digests of 32 bits, above 0, of the SIDE bytes from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(0, SIDE, 8):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + eight[at + k])
+    return out >> np.uint64(32) | np.uint64(1)
+
+
+def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents one after the other: begin and strings of each run, its anchor's hash, context's two digests and sides.
+
+    Sides: digests of what lies right (upper half) and left of the anchor, 0 where no string of the run needs that one.
+    """
     total = int(ends[-1]) if len(ends) else 0
     none = np.zeros(0, np.int64)
     if total < LENGTH:
-        return none, none, *[none.view(np.uint64)] * 3
+        return none, none, *[none.view(np.uint64)] * 4
     padded = np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)])
     eight = _words(padded)
     full = _grams(eight, total)
@@ -110,7 +126,11 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         word = np.where(cut < 8, word & ((np.uint64(1) << (cut % 8 * 8).astype(np.uint64)) - np.uint64(1)), word)
         digest[live] = _mix(digest[live] * np.uint64(0x9E3779B97F4A7C15) + word)
         check[live] = _mix((check[live] ^ word) * np.uint64(0xE7037ED1A0B428DB))
-    return begin, n, full[place[begin]], digest, check
+    sides, at = np.zeros(len(begin), np.uint64), place[begin]
+    right, left = np.flatnonzero(at - stop + 1 <= LEFT), np.flatnonzero(at - begin > LEFT)
+    sides[right] = _side(eight, at[right] + GRAM) << np.uint64(32)
+    sides[left] |= _side(eight, at[left] - SIDE)
+    return begin, n, full[at], digest, check, sides
 
 
 def _buffers(rows: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,40 +148,71 @@ def _buffers(rows: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray,
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for rows, data, ends in _buffers(b.column(0).to_numpy(), b.column(1).to_pylist()):
-            begin, n, anchor, digest, check = runs(data, ends)
+            begin, n, anchor, digest, check, sides = runs(data, ends)
             doc = np.searchsorted(ends, begin, side="right")
             start = begin - np.concatenate([[0], ends[:-1]])[doc] if len(begin) else begin
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), pa.array(rows[doc] if len(doc) else np.zeros(0, np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16))], names=["anchor", "digest", "check", "row", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), pa.array(rows[doc] if len(doc) else np.zeros(0, np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(sides.view(np.int64))], names=["anchor", "digest", "check", "row", "start", "n", "sides"])
+
+
+def _alike(group: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Whether a context shares a side with another one of its group."""
+    out = np.zeros(len(group), bool)
+    for side in (sides >> np.uint64(32), sides & np.uint64(0xFFFFFFFF)):
+        own = np.flatnonzero(side)
+        key = group[own].astype(np.uint64) << np.uint64(32) | side[own]
+        order = np.argsort(key, kind="stable")
+        equal = key[order[1:]] == key[order[:-1]]
+        out[own[order[1:][equal]]] = out[own[order[:-1][equal]]] = True
+    return out
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs come sorted by anchor, digests, row and start. Goes out: later runs of a context (first = false), and the
-    first runs of contexts whose anchor has several (first = true)."""
+    first runs of contexts that share a side with another one of their anchor (first = true)."""
     names = ["anchor", "row", "start", "n", "first"]
     before: tuple[int, int, int] | None = None
-    waiting: tuple | None = None  # the anchor's first context so far, if it is alone
+    waiting: list[list[np.ndarray]] = []  # first runs of the contexts of the last anchor so far
+    held, all_go = 0, False  # how many these are; whether there were too many to compare
+
+    def out(columns: list[np.ndarray], first: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns[:4]), pa.array(np.full(len(columns[0]), first))], names=names)
+
+    def compared(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        group = np.cumsum(np.concatenate([[False], columns[0][1:] != columns[0][:-1]]))
+        at = np.flatnonzero(_alike(group, columns[4].view(np.uint64)))
+        return out([c[at] for c in columns], True)
 
     for b in batches:
         if not b.num_rows:
             continue
-        anchor, digest, check, row, start, n = (c.to_numpy() for c in b.columns)
+        anchor, digest, check, row, start, n, sides = (c.to_numpy() for c in b.columns)
         fresh = np.concatenate([[before is None or before[0] != anchor[0]], anchor[1:] != anchor[:-1]])
         head = fresh | np.concatenate([[before is None or before[1:] != (digest[0], check[0])], (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])])
-        heads = np.flatnonzero(head)
-        opens = fresh[heads]
-        several = ~opens
-        # An anchor's first context goes out as well if a second one follows.
-        several[:-1] |= opens[:-1] & ~opens[1:]
-        out = heads[several]
-        if waiting is not None and len(heads) and not opens[0]:
-            yield pa.RecordBatch.from_arrays([pa.array([waiting[0]]), pa.array([waiting[1]]), pa.array([waiting[2]], pa.int32()), pa.array([waiting[3]], pa.int16()), pa.array([True])], names=names)
-        if len(heads):
-            last = heads[-1]
-            waiting = (int(anchor[last]), int(row[last]), int(start[last]), int(n[last])) if opens[-1] else None
         before = (int(anchor[-1]), int(digest[-1]), int(check[-1]))
-        later = np.flatnonzero(~head)
-        at = np.concatenate([out, later])
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(row[at]), pa.array(start[at]), pa.array(n[at]), pa.array(np.arange(len(at)) < len(out))], names=names)
+        columns = [anchor, row, start, n, sides]
+        yield out([c[~head] for c in columns], False)
+        # Up to the first fresh row, the last anchor goes on; from the last fresh row on, its anchor may go on.
+        starts = np.flatnonzero(fresh)
+        cut, end = (starts[0], starts[-1]) if len(starts) else (b.num_rows, 0)
+        goes_on = np.flatnonzero(head[:cut])
+        if all_go:
+            yield out([c[goes_on] for c in columns], True)
+        elif len(goes_on):
+            waiting.append([c[goes_on] for c in columns])
+            held += len(goes_on)
+        if len(starts):
+            whole = cut + np.flatnonzero(head[cut:end])
+            waiting.append([c[whole] for c in columns])
+            yield compared(waiting)
+            last = end + np.flatnonzero(head[end:])
+            waiting, held, all_go = [[c[last] for c in columns]], len(last), False
+        if held > COMPARED:
+            for part in waiting:
+                yield out(part, True)
+            waiting, held, all_go = [], 0, True
+    if waiting:
+        yield compared(waiting)
 
 
 def _places(anchors: list[int], contexts: list[bytes]) -> list[int]:

@@ -393,6 +393,33 @@ def test_substring_dedup(spark):
     assert got == brute_repeats(rows)
 
 
+def test_contexts_that_share_only_an_anchor_are_not_sorted(monkeypatch):
+    """Phrases shorter than a string make anchors of many contexts; only those that may share a string go on, however rows are batched."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+    phrase, passages = noise(50), [noise(100) for _ in range(9)]
+    apart = [noise(150) + phrase + noise(150) for _ in range(60)]
+    alike = [noise(rng.randint(0, 150)) + passages[i % 9] + noise(rng.randint(0, 150)) for i in range(60)]
+
+    def asked(texts, rows):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])
+        table = pa.Table.from_batches(substring_dedup._run_rows(iter([batch]))).sort_by([(c, "ascending") for c in ("anchor", "digest", "check", "row", "start")])
+        out = pa.Table.from_batches(substring_dedup._classes(iter(table.to_batches(max_chunksize=rows))))
+        anchors = table["anchor"].to_pylist()
+        assert len(set(anchors)) < len(anchors)
+        return sorted(tuple(r.values()) for r in out.to_pylist())
+
+    assert asked(apart, 5000) == []
+    found = asked(apart + alike, 5000)
+    assert found and {r[1] for r in found} == set(range(60, 120))
+    # Each document's whole passage is in a context of its own that goes on, or in a later run of one.
+    where = {(r[1], i) for r in found for i in range(r[2], r[2] + r[3])}
+    assert all((60 + i, t.index(passages[i % 9])) in where for i, t in enumerate(alike))
+    assert asked(apart + alike, 7) == asked(apart + alike, 1) == found
+    monkeypatch.setattr(substring_dedup, "COMPARED", 3)
+    assert set(asked(apart + alike, 7)) >= set(found)
+
+
 def test_hot_anchors_are_split(spark, monkeypatch):
     """One passage with other text around it in every document."""
     monkeypatch.setattr(substring_dedup, "HOT", 5)
