@@ -2,16 +2,16 @@
 
 A line is the set of its words (cut at white space). Words are ordered by rarity: SKETCH counters
 hold how often the words of their bucket occur in the corpus, and a word's key is its counter's level
-before its hash, so all lines share one order whatever the counters merge. Lines with equal sets
-become one, the first by (doc_id, position). Of n keys the n - ceil(t n) + 1 rarest form the prefix:
-two lines with a Jaccard similarity of t share a key there. Lines that share a prefix key, whose lengths
+before its hash, so all lines share one order whatever the counters merge. Equal lines, told by two
+64-bit digests of their bytes, become one, the first by (doc_id, position). Of n keys the n - ceil(t n) + 1 rarest form the prefix:
+two lines with a Jaccard similarity of t share a key there. Lines meet under a prefix key and a class of lengths: each
+in its own, and in the next one with those keys that a line of that length could still need. Lines that meet, whose lengths
 allow t, whose places leave enough keys behind, and whose parity sketches differ in no more bits than
 the sets may, are candidates; their Jaccard similarity is verified on the whole sets of 64-bit
-word hashes; equal sets are told by two 64-bit digests of them. A line goes if
-an earlier line is similar: earlier by doc_id, then position, judged on the input.
+word hashes. A line goes if an earlier line is similar: earlier by doc_id, then position, judged on the input.
 
-Groups of copies cost rows in proportion: each line is tried against the first and the LAST
-lines before it under each of its LEADS rarest keys; only lines that this doesn't settle are joined to all others.
+Groups of similar lines cost rows in proportion: under those of its LEADS rarest keys that more than HOT lines
+have, each line is tried against the first line and NEAR others; only lines that this doesn't settle are joined to all others.
 
 Lines without a word stay. A null text stays null. Rows that repeat a doc_id are versions of one
 document: lines at the same place are never earlier than one another. Null doc_ids come first.
@@ -19,6 +19,8 @@ document: lines at the same place are never earlier than one another. Null doc_i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +32,17 @@ SKETCH = 1 << 18
 SIMILARITY = 80
 #: Rarest keys of a line, and the neighbours under each of them that are tried before all others.
 LEADS, NEAR = 6, 5
+#: Lines under one key that are joined to one another without such a trial.
+HOT = 200
 #: Lines of fewer words have a parity sketch of 64 bits, others one of 128.
 FEW = 64
 #: Rows of 64 bytes at most that may be broadcast, so 25 MB; beyond, the join is by shuffle.
 BROADCAST_ROWS = 400_000
+#: Postings a shuffle partition, of some 100 bytes each, that are joined through a hash table; more are sorted.
+HASHED_ROWS = 1_500_000
+#: The greatest level, and the least key of a word that occurs more than HOT times.
+_TOP = 126
+_HOT_KEY = min(_TOP, math.floor(6 * math.log2(HOT + 1)) + 1) << 56
 #: Stands for a null doc_id.
 _FIRST = -(1 << 63)
 
@@ -74,7 +83,7 @@ def rarity(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).cast("int").alias("id")).agg(F.count("*").alias("n"))
-    level = F.shiftleft(F.least(F.lit(126), F.floor(6 * F.log2(F.coalesce("n", F.lit(0)) + 1)) + 1).cast("long"), 56)
+    level = F.shiftleft(F.least(F.lit(_TOP), F.floor(6 * F.log2(F.coalesce("n", F.lit(0)) + 1)) + 1).cast("long"), 56)
     every = spark.range(SKETCH).select(F.col("id").cast("int").alias("id")).join(counts, "id", "left").select("id", level.alias("level"))
     group = every.groupBy(F.shiftright("id", 9).alias("g")).agg(F.sort_array(F.collect_list(F.struct("id", "level"))).alias("s"))
     whole = group.agg(F.sort_array(F.collect_list(F.struct("g", "s"))).alias("s"))
@@ -86,8 +95,7 @@ def line_sets(rows: DataFrame, levels: DataFrame) -> DataFrame:
 
     def key(h: Column) -> Column:
         # Without nulls, arrays are sorted as plain longs; a line's functions run for each word, so they are few.
-        level = F.coalesce(F.get(f"{P}levels", _bucket(h)), F.lit(0).cast("long"))
-        return level.bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.coalesce(F.get(f"{P}levels", _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
 
     # A filter on n would have the keys made twice.
     worded = rows.where(F.btrim("line", F.lit(" " + _RARE)) != "")
@@ -132,6 +140,25 @@ def _candidate(later: str, earlier: str) -> str:
     )
 
 
+def _class(n: str) -> str:
+    """A class of lengths; lines whose lengths allow the similarity are of one class or of neighbours."""
+    return f"cast(floor(ln({n}) / ln(100 / {SIMILARITY})) as int)"
+
+
+def postings(lines: DataFrame) -> DataFrame:
+    """lines by meet, a hash of a prefix key and a class of lengths, with i, the key's place, and whether the line is a guest there.
+
+    A guest is the shorter one of a pair: where all others have m keys or more it needs no keys beyond n - _needed(n, m).
+    """
+    least = f"greatest(n, cast(floor(pow(100 / {SIMILARITY}, g) * 0.999999) as int))"
+    own = lines.withColumn("g", F.expr(_class("n"))).withColumn("guest", F.lit(False)).withColumn("own", F.col("prefix"))
+    visits = lines.withColumn("g", F.explode(F.expr(f"filter(array({_class('n')} + 1), g -> g <= {_class(f'n * 100 / {SIMILARITY}')})"))).withColumn("guest", F.lit(True))
+    visits = visits.withColumn("own", F.expr(f"slice(prefix, 1, greatest(0, cast(n - {_needed('n', least)} + 1 as int)))"))
+    at = [c for c in lines.columns if c != "prefix"]
+    both = own.unionByName(visits).select(*at, "g", "guest", F.posexplode("own").alias("i", "key"))
+    return both.select(*at, "guest", "i", F.xxhash64("key", "g").alias("meet"))
+
+
 _PAIR = ("p.doc_id", "p.pos", "q.doc_id as doc_id2", "q.pos as pos2")
 
 
@@ -160,12 +187,22 @@ def line_flags(docs: DataFrame) -> DataFrame:
     levels = saved(rarity(docs), "rarity")
     sets = line_sets(lines(docs), levels)
     prefix = F.slice("keys", F.lit(1), F.expr(f"cast(n - ((n * {SIMILARITY} + 99) div 100) + 1 as int)"))
-    whole = saved(sets.select("doc_id", "pos", "n", F.xxhash64("keys").alias("s0"), F.xxhash64(F.lit(1), "keys").alias("s1"), _parity(0).alias("b0"), _parity(1).alias("b1"), prefix.alias("prefix")), "line-sets")
-    marks = saved(whole.select("doc_id", "pos", "s0", "s1"), "line-marks")
-    first = saved(whole.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "pos", "n", "b0", "b1", "prefix")).alias("f")).select("f.*"), "line-firsts")
+    digests = F.xxhash64("line").alias("s0"), F.xxhash64(F.lit(1), "line").alias("s1")
+    row = F.monotonically_increasing_id().alias("row")
+    whole = saved(sets.select(row, "doc_id", "pos", "n", *digests, _parity(0).alias("b0"), _parity(1).alias("b1"), prefix.alias("prefix")), "line-sets")
+    marks = whole.select("row", "doc_id", "pos", "s0", "s1")
+    leaders = saved(marks.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "pos", "row")).alias("f"), F.count("*").alias("c")), "line-leaders")
+    groups = leaders.where("c > 1").select("s0", "s1", F.col("f.doc_id").alias("kd"), F.col("f.pos").alias("kp"))
+    copies = saved(marks.join(_small(groups), ["s0", "s1"]).where("kd <> doc_id or kp <> pos").select("doc_id", "pos"), "line-copies")
+    first = whole.join(leaders.select(F.col("f.row").alias("row")).hint("shuffle_hash"), "row", "left_semi")
+    first = saved(first.select("doc_id", "pos", "n", "b0", "b1", "prefix"), "line-firsts")
     forget(whole)
+    forget(leaders)
 
-    leads = first.select("doc_id", "pos", "n", "b0", "b1", F.posexplode(F.slice("prefix", 1, LEADS)).alias("i", "key"))
+    # Only keys that may be hot by the counters are counted.
+    leads = first.select("doc_id", "pos", "n", "b0", "b1", F.posexplode(F.slice("prefix", 1, LEADS)).alias("i", "key")).where(F.col("key") >= _HOT_KEY)
+    hot = saved(leads.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot-keys")
+    leads = leads.join(_small(hot), "key", "left_semi")
     own = F.struct("doc_id", "pos", "n", "b0", "b1", "i")
     # Every key has an order of its own, so that a line has other neighbours under each.
     around = Window.partitionBy("key").orderBy(F.xxhash64("key", "doc_id", "pos"), "doc_id", "pos")
@@ -175,16 +212,15 @@ def line_flags(docs: DataFrame) -> DataFrame:
     settled = verified(docs, tried.where(_candidate("p", "q")).selectExpr(*_PAIR).distinct())
 
     flagged = first.join(_small(settled.withColumn("settled", F.lit(True))), ["doc_id", "pos"], "left").withColumn("open", F.col("settled").isNull())
-    posted = flagged.select("doc_id", "pos", "n", "b0", "b1", "open", F.posexplode("prefix").alias("i", "key"))
+    posted = postings(flagged.select("doc_id", "pos", "n", "b0", "b1", "open", "prefix"))
     # The condition names open on both sides, so both are one exchange.
-    asked = "(p.open or q.open and q.n < 0)"
-    pairs = posted.alias("p").join(posted.alias("q"), F.expr(f"p.key = q.key and {asked} and {_candidate('p', 'q')}")).selectExpr(*_PAIR).distinct()
+    asked = "(p.open or q.open and q.n < 0) and not (p.guest and q.guest)"
+    amount = first.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    light = 2 * amount <= HASHED_ROWS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = posted.hint("shuffle_hash") if light else posted
+    pairs = posted.alias("p").join(others.alias("q"), F.expr(f"p.meet = q.meet and {asked} and {_candidate('p', 'q')}")).selectExpr(*_PAIR).distinct()
     gone = settled.unionByName(verified(docs, pairs)).distinct()
-
-    leaders = marks.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select("s0", "s1", F.col("f.doc_id").alias("kd"), F.col("f.pos").alias("kp"))
-    stay = leaders.join(_small(gone.select(F.col("doc_id").alias("kd"), F.col("pos").alias("kp"))), ["kd", "kp"], "left_anti")
-    joined = marks.select("doc_id", "pos", "s0", "s1").join(stay, ["s0", "s1"], "left")
-    return joined.where("kp is null or kd <> doc_id or kp <> pos").groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+    return gone.unionByName(copies).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

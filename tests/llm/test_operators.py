@@ -327,6 +327,25 @@ def test_line_dedup_joins_what_the_first_lines_do_not_settle(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_at_the_limits_of_length(spark):
+    rows = []
+    for n in range(1, 90):  # supersets of five quarters, and one word more; the longer line first or last
+        for k, m in enumerate((n * 5 // 4, n * 5 // 4 + 1)):
+            short, long = (" ".join(f"n{n}k{k}w{i}" for i in range(s)) for s in (n, m))
+            rows += [(4 * n + 2 * k, (short, long)[n % 2], "en"), (4 * n + 2 * k + 1, (long, short)[n % 2], "en")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_line_dedup_lines_of_far_lengths_do_not_meet(spark):
+    sizes = (10, 12, 40)
+    rows = [(n, 0, n, list(range(n - (n * 80 + 99) // 100 + 1))) for n in sizes]
+    posted = line_dedup.postings(spark.createDataFrame(rows, "doc_id long, pos int, n int, prefix array<long>")).collect()
+    met = {n: {r["meet"] for r in posted if r["doc_id"] == n} for n in sizes}
+    assert met[10] & met[12] and not (met[10] | met[12]) & met[40]
+    assert {r["i"] for r in posted if r["doc_id"] == 40 and not r["guest"]} == set(range(9))
+
+
 # Suffix arrays
 
 
