@@ -20,6 +20,7 @@ document: lines at the same place are never earlier than one another. Null doc_i
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from svloom.llm.common import P, forget, saved
 
 #: Counters of the rarity sketch: a fixed size, whatever the vocabulary.
-SKETCH = 1 << 18
+SKETCH = 1 << 17
 #: Jaccard similarity, in hundredths.
 SIMILARITY = 80
 #: Rarest keys of a line, and the neighbours under each of them that are tried before all others.
@@ -51,16 +52,20 @@ _FIRST = -(1 << 63)
 _RARE = "\t\x0b\x0c\r"
 
 
-def _words(text: Column) -> Column:
-    """Words as the other operators cut them, with empty ones between neighbouring spaces; an empty text has one empty word."""
+def _words(text: Column, ends: bool = True) -> Column:
+    """Words as the other operators cut them, with empty ones between neighbouring spaces; an empty text has one empty word.
+
+    ends: whether the text may have line ends.
+    """
     odd = F.lit(False)
     for c in _RARE:
         odd = odd | F.contains(text, F.lit(c))
-    return F.split(F.when(odd, F.translate(text, "\n" + _RARE, " " * 5)).otherwise(F.replace(text, F.lit("\n"), F.lit(" "))), " ")
+    usual = F.replace(text, F.lit("\n"), F.lit(" ")) if ends else text
+    return F.split(F.when(odd, F.translate(text, "\n" + _RARE, " " * 5)).otherwise(usual), " ")
 
 
 def _hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(_words(line, ends=False), ""), lambda w: F.xxhash64(w))
 
 
 def _id(docs: DataFrame) -> Column:
@@ -103,11 +108,17 @@ def line_sets(rows: DataFrame, levels: DataFrame) -> DataFrame:
     return found.drop(f"{P}levels").withColumn("n", F.size("keys"))
 
 
+def _drawn(n: str) -> str:
+    """How many of a line's rarest keys its parity sketch holds: all of FEW, of more a half."""
+    return f"least({n}, greatest({FEW}, {n} div 2))"
+
+
 def _parity(half: int) -> Column:
-    """64 of 128 bits, each the parity of the keys that fall on it; lines of few words have all on the first 64, and no others."""
+    """64 of 128 bits, each the parity of the rarest keys that fall on it; lines of few words have all on the first 64, and no others."""
+    drawn = F.slice("keys", F.lit(1), F.expr(f"cast({_drawn('n')} as int)"))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     fold = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
-    own = fold(F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) == 64 * half))
+    own = fold(F.filter(drawn, lambda k: k.bitwiseAND(F.lit(64)) == 64 * half))
     few = F.col("n") < FEW
     return F.when(~few, own) if half else F.when(few, fold(F.col("keys"))).otherwise(own)
 
@@ -127,6 +138,8 @@ def _candidate(later: str, earlier: str) -> str:
     """Order, length, positional and sketch filters for two postings of one key.
 
     The shorter line shares 2t / (1 + t) of its keys at least, so a shared key lies in a shorter prefix of its own.
+    Of n keys those not shared number n - need at most, so the d rarest hold the first d - n + need shared ones at least;
+    what both sketches hold of these doesn't show where the sketches differ.
     """
     p, q = later, earlier
     n, m = f"{p}.n", f"{q}.n"
@@ -136,7 +149,7 @@ def _candidate(later: str, earlier: str) -> str:
         f" and 100 * least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m})"
         f" and least({n} - {p}.i, {m} - {q}.i) >= {need}"
         f" and if({n} <= {m}, {p}.i <= {n} - {_needed(n, n)}, {q}.i <= {m} - {_needed(m, m)})"
-        f" and {_differing(p, q)} <= {n} + {m} - 2 * {need}"
+        f" and {_differing(p, q)} <= {_drawn(n)} + {_drawn(m)} - 2 * ({need} + least({_drawn(n)} - {n}, {_drawn(m)} - {m}))"
     )
 
 
@@ -160,6 +173,14 @@ def postings(lines: DataFrame) -> DataFrame:
 
 
 _PAIR = ("p.doc_id", "p.pos", "q.doc_id as doc_id2", "q.pos as pos2")
+#: Columns of packed postings, and what they hold.
+_PACKED = {"at": "shiftleft(cast(pos as bigint), 32) | n", "how": "cast(i as bigint) * 4 + if(guest, 2, 0) + if(open, 1, 0)"}
+_HELD = {"pos": "cast(shiftright({}.at, 32) as int)", "n": "cast({}.at & 2147483647 as int)", "i": "cast(shiftright({}.how, 2) as int)", "guest": "({}.how & 2 <> 0)", "open": "({}.how & 1 <> 0)"}
+
+
+def _unpacked(sql: str) -> str:
+    """An expression of postings p and q over packed ones, whose rows are a third shorter."""
+    return re.sub(rf"\b([pq])\.({'|'.join(_HELD)})\b", lambda found: _HELD[found[2]].format(found[1]), sql)
 
 
 def _small(df: DataFrame, weight: str = "1") -> DataFrame:
@@ -175,8 +196,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = _small(wanted.select(F.col("doc_id").alias(f"{P}id")).distinct())
     near = docs.select("doc_id", "text")
     near = near.join(ids, _id(near) == F.col(f"{P}id"), "left_semi")
-    held = lines(near).join(_small(wanted), ["doc_id", "pos"], "left_semi").dropDuplicates(["doc_id", "pos"])
+    held = lines(near).join(_small(wanted), ["doc_id", "pos"], "left_semi")
     held = saved(held.select("doc_id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("w")), "candidate-lines")
+    if held.count() > wanted.count():
+        held = saved(held.dropDuplicates(["doc_id", "pos"]), "candidate-lines")
     other = held.select(F.col("doc_id").alias("doc_id2"), F.col("pos").alias("pos2"), F.col("w").alias("w2"))
     both = pairs.join(held, ["doc_id", "pos"]).join(other, ["doc_id2", "pos2"]).withColumn("shared", F.size(F.array_intersect("w", "w2")))
     return saved(both.where(100 * F.col("shared") >= SIMILARITY * (F.size("w") + F.size("w2") - F.col("shared"))).select("doc_id", "pos").distinct(), "gone")
@@ -213,12 +236,14 @@ def line_flags(docs: DataFrame) -> DataFrame:
 
     flagged = first.join(_small(settled.withColumn("settled", F.lit(True))), ["doc_id", "pos"], "left").withColumn("open", F.col("settled").isNull())
     posted = postings(flagged.select("doc_id", "pos", "n", "b0", "b1", "open", "prefix"))
+    posted = posted.select("meet", "doc_id", "b0", "b1", *[F.expr(e).alias(c) for c, e in _PACKED.items()])
     # The condition names open on both sides, so both are one exchange.
     asked = "(p.open or q.open and q.n < 0) and not (p.guest and q.guest)"
     amount = first.agg(F.sum(F.size("prefix"))).first()[0] or 0
     light = 2 * amount <= HASHED_ROWS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     others = posted.hint("shuffle_hash") if light else posted
-    pairs = posted.alias("p").join(others.alias("q"), F.expr(f"p.meet = q.meet and {asked} and {_candidate('p', 'q')}")).selectExpr(*_PAIR).distinct()
+    pairs = posted.alias("p").join(others.alias("q"), F.expr(_unpacked(f"p.meet = q.meet and {asked} and {_candidate('p', 'q')}")))
+    pairs = pairs.selectExpr("p.doc_id", _unpacked("p.pos as pos"), "q.doc_id as doc_id2", _unpacked("q.pos as pos2")).distinct()
     gone = settled.unionByName(verified(docs, pairs)).distinct()
     return gone.unionByName(copies).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 

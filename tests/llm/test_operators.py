@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from svloom.llm import chat, decontamination, line_dedup, quality, sharding, simhash, substring_dedup, suffix_array, token_counts, token_files, tokenizing
 from svloom.llm.common import P, shared_dir
@@ -346,6 +347,26 @@ def test_line_dedup_lines_of_far_lengths_do_not_meet(spark):
     assert {r["i"] for r in posted if r["doc_id"] == 40 and not r["guest"]} == set(range(9))
 
 
+def test_line_dedup_sketches_of_the_rarest_keys_lose_no_pair(spark):
+    long = spark.range(1).select(F.expr("sequence(1L, 301L)").alias("keys"), F.lit(301).alias("n"))
+    bits = long.select((F.bit_count(line_dedup._parity(0)) + F.bit_count(line_dedup._parity(1))).alias("bits")).first()["bits"]
+    assert bits % 2 == 0  # 150 of the 301 keys
+    rng = random.Random(5)
+    rows = []
+    for n in (50, 60, 63, 64, 70, 80, 100, 130, 160, 260):  # pairs that are just similar, or just not
+        for m in {n, n * 9 // 8, n * 5 // 4}:
+            for less in (0, 1):
+                shared = -(-80 * (n + m) // 180) - less
+                words = [f"n{n}m{m}l{less}w{i}" for i in range(n + m - shared)]
+                common = words[:shared]
+                rng.shuffle(common)
+                odd = rng.sample(words[shared:], 5)
+                lines = [" ".join(common + words[shared:n]), " ".join(common + words[n:]), " ".join(odd), " ".join(odd[:2])]
+                rows += [(len(rows) + i, t, "en") for i, t in enumerate(lines)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
 # Suffix arrays
 
 
