@@ -143,7 +143,7 @@ def assignment_findings(types: Types) -> DataFrame:
     values, and invalid_target."""
     sites = types.unit.sites.where("kind = 'assign'").select("file_id", "start", "detail", F.lit("=").alias("name"))
     first = types.unit.symbols.where("kind = 'variable' and value is not null and type is not null").select("file_id", "name", "start", "type", "value")
-    return _findings(types._per_file(sites, _FOUND, _assigned).unionByName(types._per_file(first, _FOUND, _initialised)))
+    return _findings(types._per_file(sites, _FOUND, _assigned, alike=True).unionByName(types._per_file(first, _FOUND, _initialised, alike=True)))
 
 
 def _cast(r: dict, t: Typer) -> list[tuple]:

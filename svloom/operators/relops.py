@@ -43,6 +43,18 @@ def dealt(df: DataFrame, rows: int, key: str) -> DataFrame:
     return df.repartition(parts, F.xxhash64(key))  # not by the key itself: such a dealing is dropped behind a join by it
 
 
+#: Rows that may be sent to all tasks.
+SENT = 100_000
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """df, already written, for a join with a larger table: sent to all tasks if its rows are few, else both sides are sorted.
+
+    The planner goes by bytes on disk and would send millions of equal rows, of the larger side too.
+    """
+    return F.broadcast(df) if df.count() <= SENT else df.hint("merge")
+
+
 def asof_last(df: DataFrame, keys: Keys, order: Keys, value: Column, out: str, default: Column | None = None) -> DataFrame:
     """The value in force at each row: the last non-null one up to and including it, else the default."""
     w = _ordered(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

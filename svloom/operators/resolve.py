@@ -109,7 +109,7 @@ class Unit:
         return self._resolved
 
     def _resolve(self) -> DataFrame:
-        surface = self.package_surface()
+        surface = ro.beside(self.package_surface())
         above = ro.written(self.ancestors(), "ancestors")
         spaces = F.when(F.col("expected_ns") == "type_then_value", F.array(F.lit("type"), F.lit("value"))).otherwise(F.array("expected_ns"))
         uses = self.uses.select("file_id", "use_ordinal", "qualifier", "name", "scope_id", "order_key", "expected_ns", F.posexplode(spaces).alias("ns_rank", "ns"))
@@ -121,13 +121,13 @@ class Unit:
         bound = self.symbols.groupBy("file_id", "scope_id", "ns", "name").agg(F.min("symbol_id").alias("target")).withColumnRenamed("scope_id", "ancestor_id").withColumn("target_file", F.col("file_id"))
         lexical = rows(plain.join(bound.hint("merge"), ["file_id", "ancestor_id", "ns", "name"]), 0)
         imports = self.imports.withColumnRenamed("scope_id", "ancestor_id").withColumnRenamed("order_key", "import_key").drop("start", "ordinal")
-        visible = plain.join(imports, ["file_id", "ancestor_id"]).where("import_key < order_key")
+        visible = plain.join(ro.beside(imports), ["file_id", "ancestor_id"]).where("import_key < order_key")
         explicit = rows(visible.where("member = name").join(surface, ["package", "ns", "name"]), 1)
         wildcard = rows(visible.where("member is null").join(surface, ["package", "ns", "name"]), 2)
         unit = self.symbols.where("scope_id = 0").select("ns", "name", F.col("file_id").alias("target_file"), F.col("symbol_id").alias("target"))
-        there = rows(uses.where("qualifier is null or qualifier = '$unit'").withColumn("distance", F.lit(0)).join(unit, ["ns", "name"]), 3)
-        defs = self.definitions().select("name", F.col("file_id").alias("target_file"), F.col("ordinal").alias("target"))
-        last = uses.where("qualifier is null and expected_ns in ('definition', 'type_then_value') and ns_rank = 0").withColumn("distance", F.lit(0)).withColumn("ns_rank", F.lit(2)).join(defs, "name")
+        there = rows(uses.where("qualifier is null or qualifier = '$unit'").withColumn("distance", F.lit(0)).join(ro.beside(unit), ["ns", "name"]), 3)
+        defs = ro.written(self.definitions().select("name", F.col("file_id").alias("target_file"), F.col("ordinal").alias("target")), "definitions")
+        last = uses.where("qualifier is null and expected_ns in ('definition', 'type_then_value') and ns_rank = 0").withColumn("distance", F.lit(0)).withColumn("ns_rank", F.lit(2)).join(ro.beside(defs), "name")
         qualified = rows(uses.where("qualifier is not null").withColumn("distance", F.lit(0)).join(surface.withColumnRenamed("package", "qualifier"), ["qualifier", "ns", "name"]), 1)
         found = lexical.unionByName(explicit).unionByName(wildcard).unionByName(there).unionByName(rows(last, 4)).unionByName(qualified)
         # The nearest scope of the best step; several targets there are ambiguous.

@@ -22,6 +22,33 @@ _SETTLED = "file_id int, symbol_id int, value long, err string, type string, wid
 _KINDS = ("parameter", "localparam", "variable", "net", "port", "typedef", "genvar", "enum_member")
 _NAMED = "array<struct<start:int,value:bigint,err:string,type:string>>"
 
+#: Bytes of texts of equal files whose results a task keeps.
+KEPT = 1 << 24
+#: In place of a file's number in its own types' ids, while equal files are worked together. JSON holds it there only.
+_SELF = "@"
+
+
+def _renamed(text: str | None, old: int | str, new: int | str) -> str | None:
+    return text.replace(f'"id": "{old}:', f'"id": "{new}:') if text else text
+
+
+class _Kept:
+    """Results by what they follow from, up to KEPT bytes."""
+
+    def __init__(self) -> None:
+        self.by: dict[str, list[tuple]] = {}
+        self.size = 0
+
+    def get(self, key: str, work: Callable[[], list[tuple]]) -> list[tuple]:
+        found = self.by.get(key)
+        if found is None:
+            found = work()
+            cost = len(key) + sum(len(x) if isinstance(x, str) else 8 for row in found for x in row)
+            if self.size + cost > KEPT:
+                self.by, self.size = {}, 0
+            self.by[key], self.size = found, self.size + cost
+        return found
+
 
 def _starts(e) -> set[int]:
     """Offsets of the uses in a tree or type."""
@@ -35,7 +62,7 @@ def _starts(e) -> set[int]:
     return set()
 
 
-def _rows(known: list[dict] | None, file: int) -> tuple[dict[int, dict], Typer]:
+def _rows(known: list[dict] | None, file: int | str) -> tuple[dict[int, dict], Typer]:
     by = {k["start"]: k for k in known or []}
 
     def value(s: int):
@@ -56,47 +83,56 @@ def _evaluated(symbol: dict, tree: list | None, type_: dict | None, typer: Typer
     return {"value": value, "err": err, "type": t | {"is_type": symbol["kind"] == "typedef"}}
 
 
+def _solve(symbols: list[dict], links: list[tuple], known: list[dict]) -> list[tuple]:
+    """symbol_id, value, err, type, width, signed and four_state of all symbols of a file that can be told; links: start and own symbol, or None behind those that lead out."""
+    known = {k["start"]: k | {"type": json.loads(k["type"]) if k["type"] else None} for k in known}
+    own = {start: target for start, target in links if target is not None}
+    outer = {start for start, target in links if target is None}
+    done: dict[int, dict] = {}
+    at = lambda s: done.get(own[s]) if s in own else known.get(s)
+
+    def value(s: int):
+        k = at(s)
+        return None if k is None else k["err"] or ("NonConstant" if k["value"] is None else k["value"])
+
+    typer = Typer(value, lambda s: (at(s) or {}).get("type"), _SELF)
+    by = {x["symbol_id"]: x for x in symbols}
+    trees, waits, waiting = {}, {}, {}
+    for i, x in by.items():
+        tree = json.loads(x["value"]) if x["value"] and x["kind"] in ("parameter", "localparam") else None
+        type_ = json.loads(x["type"]) if x["type"] else None
+        starts = _starts(tree) | _starts(type_)
+        if any(s in outer and s not in known for s in starts):
+            continue
+        trees[i] = tree, type_
+        wanted = {own[s] for s in starts if s in own}
+        waits[i] = len(wanted)
+        for j in wanted:
+            waiting.setdefault(j, []).append(i)
+    ready = [i for i, k in waits.items() if not k]
+    while ready:
+        i = ready.pop()
+        done[i] = _evaluated(by[i], *trees[i], typer)
+        for j in waiting.get(i, ()):
+            waits[j] -= 1
+            if not waits[j]:
+                ready.append(j)
+    return [(i, x["value"], x["err"], json.dumps(x["type"]), x["type"]["width"], x["type"]["signed"], x["type"]["four_state"]) for i, x in done.items()]
+
+
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files with the uses that lead to their own symbols or out: all symbols that can be told."""
+    """Files with the uses that lead to their own symbols or out: all symbols that can be told. Equal files of a task are worked once."""
     names = [x.split()[0] for x in _SETTLED.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
+    kept = _Kept()
     for b in batches:
         out = []
         for r in b.to_pylist():
             file = r["file_id"]
-            known = {k["start"]: k | {"type": json.loads(k["type"]) if k["type"] else None} for k in r["known"] or []}
-            own = {x["start"]: x["target"] for x in r["links"] or [] if x["target_file"] == file}
-            outer = {x["start"] for x in r["links"] or [] if x["target_file"] != file}
-            done: dict[int, dict] = {}
-            at = lambda s, own=own, done=done, known=known: done.get(own[s]) if s in own else known.get(s)
-
-            def value(s: int, at=at):
-                k = at(s)
-                return None if k is None else k["err"] or ("NonConstant" if k["value"] is None else k["value"])
-
-            typer = Typer(value, lambda s, at=at: (at(s) or {}).get("type"), file)
-            symbols = {x["symbol_id"]: x for x in r["symbols"]}
-            trees, waits, waiting = {}, {}, {}
-            for i, x in symbols.items():
-                tree = json.loads(x["value"]) if x["value"] and x["kind"] in ("parameter", "localparam") else None
-                type_ = json.loads(x["type"]) if x["type"] else None
-                starts = _starts(tree) | _starts(type_)
-                if any(s in outer and s not in known for s in starts):
-                    continue
-                trees[i] = tree, type_
-                wanted = {own[s] for s in starts if s in own}
-                waits[i] = len(wanted)
-                for j in wanted:
-                    waiting.setdefault(j, []).append(i)
-            ready = [i for i, k in waits.items() if not k]
-            while ready:
-                i = ready.pop()
-                done[i] = _evaluated(symbols[i], *trees[i], typer)
-                for j in waiting.get(i, ()):
-                    waits[j] -= 1
-                    if not waits[j]:
-                        ready.append(j)
-            out += [(file, i, x["value"], x["err"], json.dumps(x["type"]), x["type"]["width"], x["type"]["signed"], x["type"]["four_state"]) for i, x in done.items()]
+            links = [(x["start"], x["target"] if x["target_file"] == file else None) for x in r["links"] or []]
+            known = [k | {"type": _renamed(k["type"], file, _SELF)} for k in r["known"] or []]
+            found = kept.get(repr((r["symbols"], links, known)), lambda r=r, links=links, known=known: _solve(r["symbols"], links, known))
+            out += [(file, i, value, err, _renamed(type_, _SELF, file), *rest) for i, value, err, type_, *rest in found]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -129,10 +165,10 @@ class Types:
         settled = ro.written(ro.dealt(files.withColumn("known", F.lit(None).cast(_NAMED)).select("file_id", "symbols", "links", "known"), self._count, "file_id").mapInArrow(_solved, _SETTLED), "settled")
         while True:
             done = settled.groupBy("file_id").agg(F.count("*").alias("done"))
-            open_ = files.join(done, "file_id", "left").where("coalesce(done, 0) < total").select("file_id", "symbols", "links")
+            open_ = files.join(done.hint("merge"), "file_id", "left").where("coalesce(done, 0) < total").select("file_id", "symbols", "links")
             known = self._known(settled, outer=True).groupBy("file_id").agg(F.collect_list(F.struct("start", "value", "err", "type")).alias("known"))
-            more = open_.join(known, "file_id").select("file_id", "symbols", "links", "known").mapInArrow(_solved, _SETTLED)
-            fresh = ro.written(more.join(settled.select("file_id", "symbol_id"), ["file_id", "symbol_id"], "left_anti").select(settled.columns), "settled")
+            more = open_.join(known.hint("merge"), "file_id").select("file_id", "symbols", "links", "known").mapInArrow(_solved, _SETTLED)
+            fresh = ro.written(more.join(settled.select("file_id", "symbol_id").hint("merge"), ["file_id", "symbol_id"], "left_anti").select(settled.columns), "settled")
             if fresh.isEmpty():
                 return settled
             settled = ro.written(settled.unionByName(fresh), "settled")
@@ -144,8 +180,11 @@ class Types:
         lost = F.col("kind").isin("parameter", "localparam") & F.col("value").isNull() & F.col("err").isNull()
         return found.withColumn("err", F.when(lost, "Cycle").otherwise(F.col("err"))).drop("has")
 
-    def _per_file(self, rows: DataFrame, schema: str, work: Callable[[dict, Typer], list[tuple]]) -> DataFrame:
-        """work on each row; a file's rows come together, with all that the file's uses resolve to."""
+    def _per_file(self, rows: DataFrame, schema: str, work: Callable[[dict, Typer], list[tuple]], alike: bool = False) -> DataFrame:
+        """work on each row; a file's rows come together, with all that the file's uses resolve to.
+
+        alike: what work tells begins with the file's id and names it nowhere else, so that equal files of a task are worked once.
+        """
         if self._by_file is None:
             self._by_file = ro.written(self._known(self.settled).groupBy("file_id").agg(F.collect_list(F.struct("start", "value", "err", "type")).alias("known")), "known")
         known = self._by_file
@@ -154,11 +193,22 @@ class Types:
         types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = _Kept()
+
+            def told(rows: list[dict], known: list[dict], file: int | str) -> list[tuple]:
+                typer = _rows(known, file)[1]
+                return [x for r in rows for x in work(r, typer)]
+
             for b in batches:
                 out = []
                 for f in b.to_pylist():
-                    typer = _rows(f["known"], f["file_id"])[1]
-                    out += [x for r in f["rows"] for x in work(r, typer)]
+                    file = f["file_id"]
+                    if not alike:
+                        out += told(f["rows"], f["known"], file)
+                        continue
+                    rows = [r | {"file_id": _SELF} for r in f["rows"]]
+                    uses = [k | {"type": _renamed(k["type"], file, _SELF)} for k in f["known"] or []]
+                    out += [(file, *x[1:]) for x in kept.get(repr((rows, uses)), lambda rows=rows, uses=uses: told(rows, uses, _SELF))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
